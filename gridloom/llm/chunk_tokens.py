@@ -52,8 +52,6 @@ class ChunkTokenizer:
     def _learn(self, missing: set[str]) -> None:
         """Ids of new chunks. A final full stop or comma after a letter is a token run of its own, so
         the word before it is looked up alone; plain ASCII is lower-cased first where ids ignore case."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
         if len(self.cores) > self.limit:
             self.cores.clear()
         parts = {}
@@ -75,6 +73,8 @@ class ChunkTokenizer:
         out: list[bytes] = []
         for at in range(0, len(cut), 200):
             some = cut[at:at + 200]
+            if len(self.chunks) > self.limit:
+                self.chunks.clear()
             missing = set().union(*(c for c in some if c is not None)).difference(self.chunks)
             if missing:
                 self._learn(missing)

@@ -113,8 +113,6 @@ class PieceModel:
 
     def learn(self, words: list[str]) -> None:
         """Encode words (spaces written as U+2581) and keep their ids."""
-        if len(self.words) > self.limit:
-            self.words.clear()
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         lengths = np.array([len(w) for w in words])
         first = np.zeros(len(points), dtype=bool)
@@ -225,11 +223,10 @@ class PieceModel:
         out: list[bytes] = []
         for at in range(0, len(texts), 250):
             cut = [_WORD.findall(" " + t.replace(_GAP, " ")) if t else [] for t in texts[at:at + 250]]
+            if len(self.words) > self.limit:
+                self.words.clear()
             missing = set().union(*cut).difference(self.words)
             if missing:
-                if len(self.words) > self.limit:
-                    self.words.clear()
-                    missing = set().union(*cut)
                 self._learn_spaced(sorted(missing))
             known = self.words.__getitem__
             out += [begin + b"".join(map(known, c)) + end for c in cut]
