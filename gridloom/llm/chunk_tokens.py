@@ -11,33 +11,35 @@ from __future__ import annotations
 import os
 import re
 
+from gridloom.llm.common import Recent
+
 #: Unicode white space as the library's regular expressions see it (fixed values).
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _BYTE_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORD_CHUNK = re.compile(f"[^{_SPACE}]+")
 #: str.split() also cuts at these four; texts that hold them take the regular expression.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD_GAPS = re.compile("[\\x1c-\\x1f]")
 
 
 class ChunkTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids, as the library does for whole texts.
 
-    ``cache`` bounds the chunks kept in each worker; a full cache is emptied, never the text cut.
+    ``cache`` bounds each generation of what a worker keeps (see ``Recent``); texts are never cut.
     Strings of special tokens in a text become those tokens, as the library has it by default.
     """
 
-    def __init__(self, path: str, kind: str, cache: int = 600_000):
+    def __init__(self, path: str, kind: str, cache: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         if kind not in ("byte", "word"):
             raise ValueError("kind is 'byte' or 'word'")
-        self.kind, self.limit = kind, cache
+        self.kind = kind
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.chunks, self.cores = Recent(cache), Recent(cache)
 
     def split(self, text: str) -> list[str]:
         if self.kind == "byte":
@@ -49,23 +51,27 @@ class ChunkTokenizer:
 
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of new chunks. A final full stop or comma after a letter is a token run of its own, so
-        the word before it is looked up alone; plain ASCII is lower-cased first where ids ignore case."""
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        parts = {}
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of new chunks. ASCII marks after a letter are a token run of their own, so the word before
+        them is looked up alone; plain ASCII is lower-cased first where ids ignore case."""
+        lower = self.kind == "word"
+        parts, wanted = [], set()
         for chunk in missing:
-            core, tail = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha() and chunk[-2] < "\u0130" else (chunk, "")
-            if self.kind == "word" and core.isascii():
+            core = chunk.rstrip(_MARKS)
+            tail = chunk[len(core):]
+            if not core or not tail or not core[-1].isalpha() or core[-1] >= "\u0130":
+                core, tail = chunk, ""
+            if lower and core.isascii():
                 core = core.lower()
-            parts[chunk] = core, tail
-        new = sorted(({c for c, _ in parts.values()} | {t for _, t in parts.values() if t}).difference(self.cores))
+            parts.append((chunk, core, tail))
+            wanted.add(core)
+            wanted.add(tail)
+        new = self.cores.lacks(wanted)
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            self.cores.update(zip(some, self._whole(some)))
-        cores = self.cores
-        self.chunks.update((chunk, cores[core] + (cores[tail] if tail else b"")) for chunk, (core, tail) in parts.items())
+            self.cores.young.update(zip(some, self._whole(some)))
+        cores = self.cores.young
+        self.chunks.young.update((chunk, cores[core] + cores[tail] if tail else cores[core]) for chunk, core, tail in parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
@@ -73,12 +79,10 @@ class ChunkTokenizer:
         out: list[bytes] = []
         for at in range(0, len(cut), 200):
             some = cut[at:at + 200]
-            if len(self.chunks) > self.limit:
-                self.chunks.clear()
-            missing = set().union(*(c for c in some if c is not None)).difference(self.chunks)
+            missing = self.chunks.lacks(set().union(*(c for c in some if c is not None)))
             if missing:
                 self._learn(missing)
-            known = self.chunks.__getitem__
+            known = self.chunks.young.__getitem__
             # Texts with special strings go to the library whole.
             out += [self._whole([texts[at + i]])[0] if c is None else b"".join(map(known, c)) for i, c in enumerate(some)]
         return out

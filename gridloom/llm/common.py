@@ -71,3 +71,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     return (known.where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (fold("key") != 0))
             .join(marked, "key")
             .orderBy(F.xxhash64("key"), "key", "text").limit(rows))
+
+
+class Recent:
+    """A bounded memory of what has been worked out: when ``young`` holds ``limit`` entries it becomes the
+    old generation, and entries asked for again move back. Nothing in use is lost between calls of ``lacks``."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.young)
+
+    def lacks(self, wanted: set) -> list:
+        """Those of ``wanted`` that are not known; the others are in ``young`` afterwards."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing = wanted.difference(self.young)
+        if self.old:
+            old = self.old
+            known = [w for w in missing if w in old]
+            self.young.update((w, old[w]) for w in known)
+            missing.difference_update(known)
+        return list(missing)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches
+from gridloom.llm.common import Recent, bounded_batches
 
 _GAP = "▁"
 _WORD = re.compile(" *[^ ]+| +")
@@ -55,9 +55,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceModel:
-    """Pieces of a model file, and word ids learnt so far (at most ``cache`` words are kept)."""
+    """Pieces of a model file, and word ids learnt so far (``cache`` bounds each generation kept)."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 500_000):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         pieces = [{"text": b"", "score": 0.0, "kind": _NORMAL} | {
@@ -68,7 +68,7 @@ class PieceModel:
             raise ValueError("only the identity rule, with a space before the text and no space removed, is supported")
         if {p["kind"] for p in pieces} - {_NORMAL, _UNKNOWN, _CONTROL, _BYTE}:
             raise ValueError("user-defined and unused pieces are not supported")
-        self.limit, self.words = cache, {}
+        self.words = Recent(cache)
         text = [p["text"].decode() for p in pieces]
         self.begin, self.end = text.index("<s>"), text.index("</s>")
         self.bytes = np.full(256, -1, dtype=np.int64)
@@ -149,7 +149,7 @@ class PieceModel:
                 flat[ends[i] - sizes[i]:ends[i]] = spelt[int(symbols[i])]
             symbols, word_of = flat, np.repeat(word_of, sizes)
         ends = np.cumsum(np.bincount(word_of, minlength=len(words))).tolist()
-        data, known, start = symbols.astype("<u4").tobytes(), self.words, 0
+        data, known, start = symbols.astype("<u4").tobytes(), self.words.young, 0
         for word, end in zip(words, ends):
             known[word] = data[4 * start:4 * end]
             start = end
@@ -223,12 +223,10 @@ class PieceModel:
         out: list[bytes] = []
         for at in range(0, len(texts), 250):
             cut = [_WORD.findall(" " + t.replace(_GAP, " ")) if t else [] for t in texts[at:at + 250]]
-            if len(self.words) > self.limit:
-                self.words.clear()
-            missing = set().union(*cut).difference(self.words)
+            missing = self.words.lacks(set().union(*cut))
             if missing:
-                self._learn_spaced(sorted(missing))
-            known = self.words.__getitem__
+                self._learn_spaced(missing)
+            known = self.words.young.__getitem__
             out += [begin + b"".join(map(known, c)) + end for c in cut]
         return out
 
@@ -248,7 +246,7 @@ class PieceModel:
         written = [w.replace(" ", _GAP) for w in words]
         self.learn(written)
         for plain, w in zip(words, written):
-            self.words[plain] = self.words.pop(w)
+            self.words.young[plain] = self.words.young.pop(w)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces give nothing, the space put before the text goes again."""
