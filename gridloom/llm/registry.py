@@ -17,6 +17,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.pii_crf import pii_query
+
+    return pii_query(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity_mil import toxicity_query
+
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.piece_bpe import pieces_query
 
@@ -29,12 +41,30 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_query(spark, table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality_cnn import quality_query
+
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import packing_query
 
     return packing_query(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def op7_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.sketch_join import sketch_join_query
+
+    return sketch_join_query(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.line_dedup import line_dedup_query
+
+    return line_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.quality_rules import quality_rules_query
 
@@ -48,7 +78,8 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pieces, op4_token_store, op6_packing, op9_quality_rules, op10_max_score)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_toxicity, op3_pieces, op4_token_store, op5_quality, op6_packing, op7_sketch_join, op8_line_dedup, op9_quality_rules, op10_max_score)}
 
 
 _TOP_K_SQL = """
@@ -64,5 +95,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS l
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [array_to_string(l, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(l) - 2), i -> array_to_string(l[i:i + 3], ' '))) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, d.b FROM r JOIN d ON d.a = r.y)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_max_score": _TOP_K_SQL}
+    return {"op7_sketch_join": _JACCARD_SQL, "op10_max_score": _TOP_K_SQL}
