@@ -61,16 +61,18 @@ def fold(doc_id) -> "F.Column":
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A bounded sample of labelled rows outside the held-out fold: at most ``rows`` documents of at
-    most ``max_chars`` characters, the first by a hash of their id, so any order of the input gives
-    the same sample. Columns: key, text, label. Rows with a null id, label or text take no part;
-    an id with several labels takes the smallest."""
+    """A bounded sample of labelled rows outside the held-out fold. Columns: key, text, label.
+
+    The first ``rows`` labelled ids by a hash of the id are chosen from the labels alone, so any order of
+    the input gives the same sample; of their documents those of at most ``max_chars`` characters are
+    taken, again ``rows`` at most. Rows with a null id, label or text take no part; an id with several
+    labels takes the smallest. The chosen ids are at most ``rows``, so they are broadcast and no text is
+    shuffled."""
     marked = (labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label"))
               .where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label")))
-    known = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return (known.where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (fold("key") != 0))
-            .join(marked, "key")
-            .orderBy(F.xxhash64("key"), "key", "text").limit(rows))
+    chosen = marked.where(fold("key") != 0).orderBy(F.xxhash64("key"), "key").limit(rows)
+    known = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    return known.join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "text").limit(rows)
 
 
 class Recent:
