@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -311,8 +312,6 @@ def to_month(cube: Cube, fun: str | Callable) -> Cube:
     if isinstance(fun, str):
         return aggregate_time(cube, "month", fun)[0]
     _ordinary(cube, "to_month")
-    import pandas as pd
-
     months = sorted({_day(t).replace(day=1) for t in cube.time})
     place = {m: i for i, m in enumerate(months)}
     table = F.broadcast(cube.spark.createDataFrame([(i, place[_day(t).replace(day=1)]) for i, t in enumerate(cube.time)], "time_idx int, month_idx int"))
