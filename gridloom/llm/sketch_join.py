@@ -5,8 +5,8 @@ A document is the set of its 64-bit shingle hashes. Within a size band, hash spa
 distance of two sketches never exceeds the symmetric difference of the sets. Two sets of a band with
 Jaccard similarity at least t differ in at most d tokens (d follows from t and the band's largest
 size), so of m = d + 1 + e blocks at least e + 1 have equal sketches: pigeonhole. Keys are (band, block, sketch).
-Empty blocks give no key; a document with more than e empty ones also gives the keys of all blocks of
-a second partition, so two such documents meet there. A band takes the documents of the band below
+Poor blocks (of no or one token, which many documents share) give no key; a document with more than e
+poor blocks also gives the keys of all blocks of a second partition, so two such documents meet there. A band takes the documents of the band below
 that are large enough to link into it, so every linking pair shares a key.
 
 Candidates are verified by the Hamming distance of whole-set sketches, then by exact intersection.
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, shared_dir, written
+from gridloom.llm.common import bounded_batches, drop_dir, shared_dir, written
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SKETCH_WORDS = 64
+_BROADCAST_IDS = 400_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -74,22 +75,22 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 @functools.lru_cache(maxsize=None)
 def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower bounds of size bands (each 1.5 times the one before), the largest symmetric difference of
-    a linking pair in each, and the empty blocks allowed."""
+    a linking pair in each, and the poor blocks allowed."""
     low = [1]
     while low[-1] < 2**40:
         low.append(max(low[-1] + 1, low[-1] * 3 // 2))
     low = np.array(low, dtype=np.int64)
     differ = (2 * (low[1:] - 1) * (100 - percent)) // (100 + percent)
-    return low, differ, 1 + differ // 30
+    return low, differ, 2 + differ // 9
 
 
-def _block_words(tokens: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketch (64 bits) of each block that has tokens, and those blocks' numbers."""
+def _block_words(tokens: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the blocks that have tokens, their parity sketches (64 bits) and token counts."""
     at = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     order = np.argsort(at, kind="stable")
     at, bits = at[order], np.uint64(1) << (tokens[order] & np.uint64(63))
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.bitwise_xor.reduceat(bits, starts)
+    return at[starts], np.bitwise_xor.reduceat(bits, starts), np.diff(np.concatenate([starts, [len(at)]]))
 
 
 def _keys(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -101,11 +102,12 @@ def _keys(tokens: np.ndarray, percent: int) -> np.ndarray:
         d, e = int(differ[b]), int(spare[b])
         if not d:
             continue  # only equal sets link, and those have one fingerprint
-        places, words = _block_words(tokens, d + 1 + e)
-        out.append(_mixed(_mixed(places * np.uint64(2) + (np.uint64(b) << np.uint64(48))) ^ words))
-        if d + 1 + e - len(places) > e:
-            # Too many empty blocks: every block of another partition, empty ones too.
-            places, words = _block_words(_mixed(tokens ^ _MIX[2]), d + 1)
+        places, words, counts = _block_words(tokens, d + 1 + e)
+        rich = counts > 1
+        out.append(_mixed(_mixed(places[rich] * np.uint64(2) + (np.uint64(b) << np.uint64(48))) ^ words[rich]))
+        if d + 1 + e - int(rich.sum()) > e:
+            # Too many poor blocks: every block of another partition, poor and empty ones too.
+            places, words, _ = _block_words(_mixed(tokens ^ _MIX[2]), d + 1)
             every = np.zeros(d + 1, dtype=np.uint64)
             every[places.astype(np.int64)] = words
             out.append(_mixed(_mixed(np.arange(d + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) + (np.uint64(b) << np.uint64(48))) ^ every))
@@ -119,37 +121,39 @@ def _fingerprint(tokens: np.ndarray) -> bytes | None:
 
 
 def _described(width: int, percent: int):
+    """doc, n, fp, keys and a sketch of the whole set: 64 words of 64 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)
                 sets = [shingle_set(t, width) for t in some.column(1).to_pylist()]
                 keys = [_keys(s, percent) if len(s) else np.zeros(0, dtype=np.uint64) for s in sets]
+                sketch = np.zeros((len(sets), _SKETCH_WORDS), dtype=np.uint64)
+                for row, tokens in zip(sketch, sets):
+                    if len(tokens):
+                        places, words, _ = _block_words(tokens, _SKETCH_WORDS)
+                        row[places.astype(np.int64)] = words
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc": some.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "fp": pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64()))})
+                    "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64())),
+                    "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _SKETCH_WORDS, pa.int32()), pa.array(sketch.view(np.int64).ravel(), pa.int64()))})
 
     return run
 
 
 def _sets(width: int):
+    """fp, n and tokens of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)
                 sets = [shingle_set(t, width) for t in some.column(0).to_pylist()]
-                sketch = np.zeros((len(sets), _SKETCH_WORDS), dtype=np.uint64)
-                for row, tokens in zip(sketch, sets):
-                    if len(tokens):
-                        places, words = _block_words(tokens, _SKETCH_WORDS)
-                        row[places.astype(np.int64)] = words
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_pydict({
                     "fp": pa.array([_fingerprint(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _SKETCH_WORDS, pa.int32()), pa.array(sketch.view(np.int64).ravel(), pa.int64())),
                     "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))})
 
     return run
@@ -195,34 +199,50 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     bounded_batches(spark)
     folder = shared_dir(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = written(spark, source.mapInArrow(_described(width, percent), "doc long, n long, fp binary, keys array<bigint>"), folder, "described")
-    own = described.select("doc", "n", "fp")
+    described = written(spark, source.mapInArrow(_described(width, percent), "doc long, n long, fp binary, keys array<bigint>, sketch array<bigint>"), folder, "described")
+    own = written(spark, described.select("doc", "n", "fp"), folder, "own")
     keyed = described.where("doc is not null").select("doc", F.explode("keys").alias("key"))
-    # Most keys are one document's alone. Counts of half a key (map-side combined) find the others.
-    half = F.shiftright("key", 32).cast("int")
-    shared = keyed.groupBy(half.alias("half")).agg(F.count("*").alias("c")).where("c > 1").select("half")
-    met = keyed.withColumn("half", half).join(shared, "half").select("key", "doc")
+    # Most keys are one document's alone; counts (combined on the map side) leave the others.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = written(spark, keyed.join(shared, "key"), folder, "met")
     members = met.join(own.select("doc", "fp"), "doc").select("key", "fp").distinct()
-    members = written(spark, members, folder, "members")
     groups = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = written(spark, members.join(groups, "key"), folder, "groups")
     labels = written(spark, members.select("fp").distinct().select("fp", F.col("fp").alias("comp")), folder, "labels")
-    reps = own.where("doc is not null").join(labels.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc").alias("doc"))
-    texts = source.join(reps.select("doc").distinct(), "doc", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(width), "fp binary, n long, sketch array<bigint>, tokens array<bigint>")
-    sets = written(spark, sets.join(labels.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), folder, "sets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) that link: by size and Hamming distance first, then by exact intersection."""
-        side = lambda c, *cols: sets.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
-        close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    sketches = described.join(labels.select("fp"), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = written(spark, sketches, folder, "sketches")
+    for done in ("described", "met"):
+        drop_dir(spark, f"{folder}/{done}")
+    sets: DataFrame | None = None
+
+    def with_sets(pairs: DataFrame, name: str) -> DataFrame:
+        """Token sets of all fingerprints in ``pairs``: those known, and new ones from their texts."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("fp"), "fp", "left_anti")
+        reps = own.where("doc is not null").join(wanted, "fp").groupBy("fp").agg(F.min("doc").alias("doc"))
+        reps = written(spark, reps, folder, f"{name}-reps")
+        ids = reps.select("doc").distinct()
+        # Ids of up to a few megabytes are broadcast, so no text is shuffled; beyond, both sides are.
+        ids = F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids
+        got = source.join(ids, "doc", "left_semi").select("text").mapInArrow(_sets(width), "fp binary, n long, tokens array<bigint>")
+        got = written(spark, got.join(reps.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), folder, f"{name}-sets")
+        return got if sets is None else sets.unionByName(got)
+
+    def close_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) that sizes and the Hamming distance of sketches leave possible."""
+        side = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        close = close.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                            & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
-        close = written(spark, close, folder, f"{name}-close")
+        both = both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                          & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+        return written(spark, both.select("a", "b"), folder, f"{name}-close")
+
+    def linked(close: DataFrame, name: str) -> DataFrame:
+        """Pairs that link, by exact intersection."""
+        side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-        exact = close.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").where(
-            100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
+        exact = close.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
         return written(spark, exact.select("a", "b"), folder, f"{name}-links")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -250,7 +270,9 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, folder, f"pairs{rounds}")
-        found = verified(pairs, f"round{rounds}")
+        close = close_pairs(pairs, f"round{rounds}")
+        sets = with_sets(close, f"round{rounds}")
+        found = linked(close, f"round{rounds}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _merged(spark, folder, f"merge{rounds}", labels, found)
