@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 from gridloom.llm.common import Recent
 
@@ -17,8 +18,11 @@ from gridloom.llm.common import Recent
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _BYTE_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORD_CHUNK = re.compile(f"[^{_SPACE}]+")
-#: str.split() also cuts at these four; texts that hold them take the regular expression.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How byte-level vocabularies write a byte: printable characters stand for themselves, others follow from 256 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: str.split() also cuts at these four; texts that hold them take the regular expression.
 _ODD_GAPS = re.compile("[\\x1c-\\x1f]")
 
 
@@ -47,10 +51,33 @@ class ChunkTokenizer:
         return _WORD_CHUNK.findall(text) if _ODD_GAPS.search(text) else text.split()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
+        """Ids of texts by the library's whole pipeline."""
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cores(self, cores: list[str]) -> list[bytes]:
+        """Ids of cores. A word of plain Latin letters (after one space, where spaces join words) is one
+        token run that normalisation leaves alone, so the library's model takes it at once; its bytes
+        are written as the vocabulary writes them. All others go through the whole pipeline."""
+        out: list[bytes | None] = []
+        odd, model = [], self.library.model
+        for i, core in enumerate(cores):
+            word = core[1:] if self.kind == "byte" and core[:1] == " " else core
+            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                word = word.lower() if self.kind == "word" else word
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                if core[0] == " ":
+                    word = _BYTE_CHARS[32] + word
+                out.append(array("I", [t.id for t in model.tokenize(word)]).tobytes())
+            else:
+                out.append(None)
+                odd.append(i)
+        for at in range(0, len(odd), 20_000):
+            some = odd[at:at + 20_000]
+            for i, own in zip(some, self._whole([cores[i] for i in some])):
+                out[i] = own
+        return out
+
     def _learn(self, missing: list[str]) -> None:
         """Ids of new chunks. ASCII marks after a letter are a token run of their own, so the word before
         them is looked up alone; plain ASCII is lower-cased first where ids ignore case."""
@@ -67,9 +94,7 @@ class ChunkTokenizer:
             wanted.add(core)
             wanted.add(tail)
         new = self.cores.lacks(wanted)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            self.cores.young.update(zip(some, self._whole(some)))
+        self.cores.young.update(zip(new, self._cores(new)))
         cores = self.cores.young
         self.chunks.young.update((chunk, cores[core] + cores[tail] if tail else cores[core]) for chunk, core, tail in parts)
 
