@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, drop_dir, shared_dir, written
+from gridloom.llm.common import bounded_batches, drop_dir, release, shared_dir, written
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SKETCH_WORDS = 64
+_SKETCH_WORDS = 16
 _BROADCAST_IDS = 400_000
 
 
@@ -121,7 +121,7 @@ def _fingerprint(tokens: np.ndarray) -> bytes | None:
 
 
 def _described(width: int, percent: int):
-    """doc, n, fp, keys and a sketch of the whole set: 64 words of 64 bits."""
+    """doc, n, mark, keys and a sketch of the whole set: 16 words of 64 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
@@ -136,7 +136,7 @@ def _described(width: int, percent: int):
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc": some.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "fp": pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                    "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64())),
                     "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _SKETCH_WORDS, pa.int32()), pa.array(sketch.view(np.int64).ravel(), pa.int64()))})
 
@@ -144,7 +144,7 @@ def _described(width: int, percent: int):
 
 
 def _sets(width: int):
-    """fp, n and tokens of texts."""
+    """mark, n and tokens of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
@@ -153,7 +153,7 @@ def _sets(width: int):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_pydict({
-                    "fp": pa.array([_fingerprint(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))})
 
     return run
@@ -199,20 +199,25 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     bounded_batches(spark)
     folder = shared_dir(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = written(spark, source.mapInArrow(_described(width, percent), "doc long, n long, fp binary, keys array<bigint>, sketch array<bigint>"), folder, "described")
-    own = written(spark, described.select("doc", "n", "fp"), folder, "own")
+    described = written(spark, source.mapInArrow(_described(width, percent), "doc long, n long, mark binary, keys array<bigint>, sketch array<bigint>"), folder, "described")
+    # Sets go by a short number, ``fp``, from here on; ``mark`` is the 128-bit fingerprint.
+    nodes = described.where("mark is not null").select("mark").distinct().withColumn("fp", F.monotonically_increasing_id())
+    nodes = written(spark, nodes, folder, "nodes")
+    own = written(spark, described.select("doc", "n", "mark").join(nodes, "mark", "left"), folder, "own")
     keyed = described.where("doc is not null").select("doc", F.explode("keys").alias("key"))
     # Most keys are one document's alone; counts (combined on the map side) leave the others.
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     met = written(spark, keyed.join(shared, "key"), folder, "met")
+    release(spark)
     members = met.join(own.select("doc", "fp"), "doc").select("key", "fp").distinct()
     groups = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = written(spark, members.join(groups, "key"), folder, "groups")
     labels = written(spark, members.select("fp").distinct().select("fp", F.col("fp").alias("comp")), folder, "labels")
-    sketches = described.join(labels.select("fp"), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = described.join(nodes, "mark").join(labels.select("fp"), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = written(spark, sketches, folder, "sketches")
     for done in ("described", "met"):
         drop_dir(spark, f"{folder}/{done}")
+    release(spark)
     sets: DataFrame | None = None
 
     def with_sets(pairs: DataFrame, name: str) -> DataFrame:
@@ -225,17 +230,19 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         ids = reps.select("doc").distinct()
         # Ids of up to a few megabytes are broadcast, so no text is shuffled; beyond, both sides are.
         ids = F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids
-        got = source.join(ids, "doc", "left_semi").select("text").mapInArrow(_sets(width), "fp binary, n long, tokens array<bigint>")
-        got = written(spark, got.join(reps.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), folder, f"{name}-sets")
+        got = source.join(ids, "doc", "left_semi").select("text").mapInArrow(_sets(width), "mark binary, n long, tokens array<bigint>")
+        new = nodes.join(reps.select("fp"), "fp", "left_semi")
+        got = written(spark, got.join(new, "mark").select("fp", "n", "tokens").dropDuplicates(["fp"]), folder, f"{name}-sets")
         return got if sets is None else sets.unionByName(got)
 
     def close_pairs(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that sizes and the Hamming distance of sketches leave possible."""
-        side = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        size = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
+        side = lambda c: sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        both = fit.join(side("a"), "a").join(side("b"), "b")
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                          & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+        both = both.where(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         return written(spark, both.select("a", "b"), folder, f"{name}-close")
 
     def linked(close: DataFrame, name: str) -> DataFrame:
@@ -259,7 +266,8 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         size = state.agg(F.count("*").alias("keys"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not size["keys"]:
             break
-        last = rounds >= hub_rounds or size["pairs"] <= 4 * size["n"]
+        # Pair by pair only what hubs have left open, or little.
+        last = rounds >= hub_rounds or size["pairs"] <= (4 * size["n"] if rounds > 1 else 100_000)
         open_ = now.join(state, "key")
         if last:
             other = now.select("key", F.col("fp").alias("y"), F.col("comp").alias("y_comp"))
@@ -277,6 +285,8 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _merged(spark, folder, f"merge{rounds}", labels, found)
         members = members.join(state.select("key"), "key", "left_semi")
+        del pairs, close, found, now, parts, open_
+        release(spark)
         if last:
             break
         rounds += 1
