@@ -95,15 +95,12 @@ def link_events(cube: Cube, events: DataFrame, longitude: str = "longitude", lat
     first: dict = {}
     for i, d in enumerate(days):
         first.setdefault(d, i)
-    # Nearest day of every day that an event can have within the tolerance: a small table by date.
-    near: dict = {}
-    for shift in range(day_tolerance, -1, -1):
-        for d in sorted(first, reverse=True):
+    # The nearest day, the earlier one on ties, of every day an event can have: a small table by date.
+    best: dict = {}
+    for shift in range(day_tolerance + 1):
+        for d in sorted(first):
             for other in (d + timedelta(days=shift), d - timedelta(days=shift)):
-                near[other] = (first[d], abs(shift), d)
-    best = {}
-    for d in near:
-        best[d] = min(((abs((d - x).days), first[x], x) for s in range(day_tolerance + 1) for x in {d + timedelta(days=s), d - timedelta(days=s)} if x in first))
+                best.setdefault(other, (shift, first[d], d))
     spark = cube.spark
     table = F.broadcast(spark.createDataFrame([(d, i, x, gap) for d, (gap, i, x) in best.items()], "_day date, time_idx int, matched_date date, matched_dt_days int"))
     numbered = events.withColumn("_event", F.monotonically_increasing_id())

@@ -100,14 +100,6 @@ def aggregate_time(cube: Cube, by: str, method: str = "mean", na_rm: bool = True
     return recorded(out, "aggregate_time", {"by": by, "method": method, "na_rm": na_rm, "min_n": min_n}), got.drop("value")
 
 
-def stream_aggregate(events: DataFrame, by: str, keys: list[str], method: str = "mean", late: str = "1 day", time: str = "time", value: str = "value") -> DataFrame:
-    """The streaming relative of ``aggregate_time`` for days: a watermark and tumbling windows, so a period
-    is emitted once it can no longer change."""
-    require(by == "day" and method in ("mean", "sum", "min", "max"), "bad_argument", "streams are reduced by day with mean, sum, min or max")
-    return (events.withColumn("_v", finite(F.col(value))).withWatermark(time, late).groupBy(*keys, F.window(time, "1 day").alias("w"))
-            .agg(REDUCERS[method]("_v").alias("value"), F.count("_v").alias("n_valid")).select(*keys, F.col("w.start").alias("time"), "value", "n_valid"))
-
-
 # ---- climatology ---------------------------------------------------------------------------------
 
 
