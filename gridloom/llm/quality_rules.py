@@ -178,10 +178,14 @@ def quality_rules(docs: DataFrame, rules: list[Rule], min_words: int = 50) -> Da
     Base: fewer than ``min_words`` words, or more than half of the words in repeated 3-word windows.
     A null text has no words and fails. Null ids and repeated rows are judged like any other.
     """
+    # A filter on a verdict must not be pushed below the statistics: put into one condition, their shared
+    # steps would be worked out again and again. A condition that is not deterministic, and always
+    # true, keeps it above.
+    once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     out = statistics(docs)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    out = out.withColumns({"base_failed": once(failed), "rule": once(verdict(rules))})
+    return out.withColumn("kept", once(~F.col("base_failed") & (F.col("rule") == 0)))
 
 
 def quality_rules_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
