@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -51,11 +50,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: it does so once the driver has collected the
-    objects that stood for them, which on a large heap may take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of an operator's own steps, beside the user's: Spark deletes a step's shuffle files when
+    the step ends, and no setting of the user's session changes."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    return own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

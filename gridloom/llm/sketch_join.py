@@ -1,18 +1,25 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its 64-bit shingle hashes. Within a size band, hash space is parted into
-``m`` blocks; a block's parity sketch is 64 bits, each token flipping one of them, so the Hamming
-distance of two sketches never exceeds the symmetric difference of the sets. Two sets of a band with
-Jaccard similarity at least t differ in at most d tokens (d follows from t and the band's largest
-size), so of m = d + 1 + e blocks at least e + 1 have equal sketches: pigeonhole. Keys are (band, block, sketch).
-Poor blocks (of no or one token, which many documents share) give no key; a document with more than e
-poor blocks also gives the keys of all blocks of a second partition, so two such documents meet there. A band takes the documents of the band below
-that are large enough to link into it, so every linking pair shares a key.
-
-Candidates are verified by the Hamming distance of whole-set sketches, then by exact intersection.
-A key's group is never expanded into all its pairs at once: in each round its members are compared
-with one hub of the group, members already known to be connected drop out, and only what is left
-between different components is compared pair by pair. Components are kept by contraction.
+A document is the set of its 64-bit shingle hashes. Two sets link when their Jaccard similarity is at
+least t, so they differ in at most (1 - t) / (1 + t) times the sum of their sizes. Pairs are banded by
+that sum; a band's largest sum gives the largest difference ``d`` of its linking pairs. For a band, hash
+space is parted into ``m`` blocks and a block's parity sketch has one bit for every hash value, flipped
+by each token of the block; it is kept as the XOR of the hashes of its set bits. Each token of the
+symmetric difference changes one block at most, so the number of unequal blocks, like the Hamming
+distance, never exceeds the symmetric difference: of m = d + spare + need blocks of a linking pair at
+least spare + need are equal (pigeonhole). Keys are (band, block, sketch). Blocks without a set bit are
+alike in too many documents and give no key; a document with more than ``spare`` of them also gives the
+keys of a second partition, and if that fails too, of a third with all its blocks. So every linking pair
+shares at least ``need`` keys of one partition.
+
+That number prunes before any pair is made: a document whose keys are shared by others less than
+``need`` times in a partition goes, and of the others' keys the ``need - 1`` most frequent of each
+partition go (two sets that share ``need`` keys still share the rarest of them). Pairs of what is left
+are tested by size, by the Hamming distance of whole-set bit sketches, then by exact intersection.
+
+Groups of a key are not expanded at once: members are compared with one hub, then with hubs of growing
+number (each member is a hub in one round, chosen by its hash), and members already connected are never
+compared. Components are kept by contraction.
 """
 
 from __future__ import annotations
@@ -22,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, drop_dir, release, shared_dir, written
+from gridloom.llm.common import drop_dir, own_session, shared_dir, written
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SKETCH_WORDS = 16
-_BROADCAST_IDS = 400_000
+_SKETCH = [f"s{k}" for k in range(8)]
+_SLICES = 4
+_BAND = 1.4
+_DESCRIBED = "slice int, doc long, n long, mark binary, keys array<bigint>"
+_ROWS = 250
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,44 +83,54 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=None)
-def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower bounds of size bands (each 1.5 times the one before), the largest symmetric difference of
-    a linking pair in each, and the poor blocks allowed."""
-    low = [1]
-    while low[-1] < 2**40:
-        low.append(max(low[-1] + 1, low[-1] * 3 // 2))
-    low = np.array(low, dtype=np.int64)
-    differ = (2 * (low[1:] - 1) * (100 - percent)) // (100 + percent)
-    return low, differ, 2 + differ // 9
-
-
-def _block_words(tokens: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the blocks that have tokens, their parity sketches (64 bits) and token counts."""
-    at = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    order = np.argsort(at, kind="stable")
-    at, bits = at[order], np.uint64(1) << (tokens[order] & np.uint64(63))
+def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each band of size sums: the largest sum, the largest symmetric difference of a linking pair,
+    the blocks without a set bit that a document may have, and the keys that a linking pair shares."""
+    top = [2]
+    while top[-1] < 2**40:
+        top.append(max(top[-1] + 1, int(top[-1] * _BAND)))
+    top = np.array(top, dtype=np.int64)
+    differ = top * (100 - percent) // (100 + percent)
+    need = np.minimum(31, 1 + -(-differ // 16))
+    least = top / _BAND / (1 + 100 / percent)  # the smallest set with a partner in the band
+    spare = np.ones(len(top), dtype=np.int64)
+    for _ in range(6):  # blocks without tokens to be expected of that set, and two standard deviations
+        blocks = differ + spare + need
+        empty = blocks * np.exp(-least / blocks)
+        spare = np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64)
+    return top, differ, spare, need
+
+
+def _block_sketches(tokens: np.ndarray, bits: np.ndarray, blocks: int) -> np.ndarray:
+    """XOR of ``bits`` of the (sorted) tokens of each block."""
+    at = (((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.bitwise_xor.reduceat(bits, starts), np.diff(np.concatenate([starts, [len(at)]]))
+    out = np.zeros(blocks, dtype=np.uint64)
+    out[at[starts]] = np.bitwise_xor.reduceat(bits, starts)
+    return out
 
 
 def _keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """All keys of a set: its band's, and those of the band above if it can link into it."""
-    low, differ, spare = _bands(percent)
-    band = int(np.searchsorted(low, len(tokens), side="right")) - 1
-    out = []
-    for b in [band] + [band + 1] * (100 * len(tokens) >= percent * int(low[band + 1])):
-        d, e = int(differ[b]), int(spare[b])
+    """All keys of a set. The low 4 bits name the partition (band modulo 4, number), the next 5 ``need``."""
+    top, differ, spare, need = _bands(percent)
+    n = len(tokens)
+    first, last = np.searchsorted(top, [n - (-percent * n // 100), n + 100 * n // percent])
+    turns, out = [(tokens, _mixed(tokens))], []
+    for band in range(int(first), int(last) + 1):
+        d, e, g = int(differ[band]), int(spare[band]), int(need[band])
         if not d:
-            continue  # only equal sets link, and those have one fingerprint
-        places, words, counts = _block_words(tokens, d + 1 + e)
-        rich = counts > 1
-        out.append(_mixed(_mixed(places[rich] * np.uint64(2) + (np.uint64(b) << np.uint64(48))) ^ words[rich]))
-        if d + 1 + e - int(rich.sum()) > e:
-            # Too many poor blocks: every block of another partition, poor and empty ones too.
-            places, words, _ = _block_words(_mixed(tokens ^ _MIX[2]), d + 1)
-            every = np.zeros(d + 1, dtype=np.uint64)
-            every[places.astype(np.int64)] = words
-            out.append(_mixed(_mixed(np.arange(d + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) + (np.uint64(b) << np.uint64(48))) ^ every))
+            continue  # only equal sets link, and those are one
+        for turn in range(3):
+            if turn == len(turns):
+                again = np.sort(_mixed(turns[-1][0] ^ _MIX[2]))
+                turns.append((again, _mixed(again)))
+            blocks = d + g + (e if turn < 2 else 0)
+            sketches = _block_sketches(*turns[turn], blocks)
+            at = np.flatnonzero(sketches) if turn < 2 else np.arange(blocks)
+            place = at.astype(np.uint64) * np.uint64(4) + np.uint64(turn) + (np.uint64(band) << np.uint64(48))
+            out.append((_mixed(_mixed(place) ^ sketches[at]) << np.uint64(9)) | np.uint64(g * 16 + (band % 4) * 4 + turn))
+            if blocks - len(at) <= e:
+                break
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -120,51 +140,59 @@ def _fingerprint(tokens: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+
+
 def _described(width: int, percent: int):
-    """doc, n, mark, keys and a sketch of the whole set: 16 words of 64 bits."""
+    """For each text a row of slice -1 with the set's size and fingerprint, and its keys by slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                some = batch.slice(at, 250)
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
+                docs = some.column(0)
                 sets = [shingle_set(t, width) for t in some.column(1).to_pylist()]
                 keys = [_keys(s, percent) if len(s) else np.zeros(0, dtype=np.uint64) for s in sets]
-                sketch = np.zeros((len(sets), _SKETCH_WORDS), dtype=np.uint64)
-                for row, tokens in zip(sketch, sets):
-                    if len(tokens):
-                        places, words, _ = _block_words(tokens, _SKETCH_WORDS)
-                        row[places.astype(np.int64)] = words
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                nothing = pa.nulls(len(sets), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict({
-                    "doc": some.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64())),
-                    "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _SKETCH_WORDS, pa.int32()), pa.array(sketch.view(np.int64).ravel(), pa.int64()))})
+                    "slice": pa.array(np.full(len(sets), -1, dtype=np.int32)), "doc": docs, "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()), "keys": nothing})
+                parts = [(k >> np.uint64(9)) % np.uint64(_SLICES) for k in keys]
+                for part in range(_SLICES):
+                    yield pa.RecordBatch.from_pydict({
+                        "slice": pa.array(np.full(len(sets), part, dtype=np.int32)), "doc": docs, "n": pa.nulls(len(sets), pa.int64()),
+                        "mark": pa.nulls(len(sets), pa.binary()), "keys": _lists([k[p == part] for k, p in zip(keys, parts)])})
 
     return run
 
 
 def _sets(width: int):
-    """mark, n and tokens of texts."""
+    """doc, mark, n, tokens and the whole set's bit sketch (8 blocks of 64 bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                some = batch.slice(at, 250)
-                sets = [shingle_set(t, width) for t in some.column(0).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
+                sets = [shingle_set(t, width) for t in some.column(1).to_pylist()]
+                sketch = np.zeros((len(sets), len(_SKETCH)), dtype=np.uint64)
+                for row, tokens in zip(sketch, sets):
+                    if len(tokens):
+                        row[:] = _block_sketches(tokens, np.uint64(1) << (tokens & np.uint64(63)), len(_SKETCH))
                 yield pa.RecordBatch.from_pydict({
-                    "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))})
+                    "doc": some.column(0), "mark": pa.array([_fingerprint(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": _lists(sets),
+                    **{name: pa.array(sketch[:, k].view(np.int64)) for k, name in enumerate(_SKETCH)}})
 
     return run
 
 
 def _merged(spark, folder: str, name: str, labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (fp, comp) after joining the components at both ends of each edge (a, b)."""
+    """Labels (doc, comp) after joining the components at both ends of each edge (a, b). Each label is
+    the smallest document of its component if it was before."""
     step = 0
     while True:
-        ends = edges.join(labels.select(F.col("fp").alias("a"), F.col("comp").alias("ca")), "a").join(
-            labels.select(F.col("fp").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
+        ends = edges.join(labels.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(
+            labels.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
         both = ends.select(F.col("ca").alias("u"), F.col("cb").alias("v")).unionByName(ends.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
         up = written(spark, up, folder, f"{name}-up{step}")
@@ -173,18 +201,45 @@ def _merged(spark, folder: str, name: str, labels: DataFrame, edges: DataFrame)
         jump = 0
         while True:  # let every component point at the end of its chain
             over = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            up = written(spark, up.join(over, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("w") != F.col("v")).alias("moved")), folder, f"{name}-up{step}-{jump}")
-            again = not up.where("moved").isEmpty()
-            up = up.select("u", "v")
-            if not again:
+            up = written(spark, up.select("u", "v").join(over, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("w") != F.col("v")).alias("moved")), folder, f"{name}-up{step}-{jump}")
+            if up.where("moved").isEmpty():
                 break
             jump += 1
-        labels = written(spark, labels.join(up.withColumnRenamed("u", "comp"), "comp", "left").select("fp", F.coalesce("v", "comp").alias("comp")), folder, f"{name}-labels{step}")
+        up = up.select(F.col("u").alias("comp"), "v")
+        labels = written(spark, labels.join(up, "comp", "left").select("doc", F.coalesce("v", "comp").alias("comp")), folder, f"{name}-labels{step}")
         step += 1
 
 
+def _view() -> Column:
+    return F.col("key").bitwiseAND(F.lit(15))
+
+
+def _need() -> Column:
+    return F.shiftrightunsigned("key", 4).bitwiseAND(F.lit(31))
+
+
+def _candidates(spark, folder: str, described, own: DataFrame) -> DataFrame:
+    """key, doc, c: keys that may bring a linking pair together, their documents and how many those are."""
+    lead = written(spark, own.where("doc = node").select("doc").distinct(), folder, "lead")
+    for part in range(_SLICES):  # one after another, so the shuffles of one slice are all that is on disk
+        keyed = described().where(F.col("slice") == part).join(lead, "doc", "left_semi").select("doc", F.explode("keys").alias("key"))
+        # Most keys are one document's alone; counts (combined on the map side) leave the others.
+        shared = keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("c")).where("low < high").select("key", "c")
+        # Written first: a join that reads two plain exchanges is one whose hot keys Spark can split.
+        shared = written(spark, shared, folder, f"shared{part}")
+        keyed.join(shared, "key").write.parquet(f"{folder}/met/slice={part}")
+        drop_dir(spark, f"{folder}/described/slice={part}")
+    met = spark.read.schema("doc long, key long, c long").parquet(*[f"{folder}/met/slice={part}" for part in range(_SLICES)])
+    one = Window.partitionBy("doc", _view())
+    kept = met.select("*", F.row_number().over(one.orderBy(F.desc("c"), "key")).alias("place"), F.count("*").over(one).alias("all"))
+    kept = written(spark, kept.where((F.col("all") >= _need()) & (F.col("place") >= _need())).select("key", "doc"), folder, "kept")
+    drop_dir(spark, f"{folder}/met")
+    groups = kept.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("c")).where("low < high").select("key", "c")
+    return written(spark, kept.join(written(spark, groups, folder, "groups"), "key"), folder, "members")
+
+
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                      hub_rounds: int = 10) -> DataFrame:
+                      hubs: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -193,120 +248,83 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     through others are not compared). A text that is null or has no words has no shingles and links
     with nothing; rows with equal sets are always together; rows with a null id link with nothing and
     have a null component; rows that repeat an id form one component. An empty table gives no rows.
-    Columns of other names are ignored.
+    Columns of other names are ignored. ``hubs`` is the expected number of hubs of a key's group in the
+    second round; each further round has that many times more, until every pair has been considered.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    folder = shared_dir(spark)
+    user, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    spark = own_session(user)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = written(spark, source.mapInArrow(_described(width, percent), "doc long, n long, mark binary, keys array<bigint>, sketch array<bigint>"), folder, "described")
-    # Sets go by a short number, ``fp``, from here on; ``mark`` is the 128-bit fingerprint.
-    nodes = described.where("mark is not null").select("mark").distinct().withColumn("fp", F.monotonically_increasing_id())
+    source.mapInArrow(_described(width, percent), _DESCRIBED).write.partitionBy("slice").parquet(f"{folder}/described")
+    described = lambda: spark.read.schema(_DESCRIBED).parquet(f"{folder}/described")
+    rows = described().where("slice = -1").select("doc", "n", "mark")
+    # A set goes by its smallest document, ``node``; ``mark`` is the set's 128-bit fingerprint.
+    nodes = rows.where("mark is not null and doc is not null").groupBy("mark").agg(F.min("doc").alias("node"))
     nodes = written(spark, nodes, folder, "nodes")
-    own = written(spark, described.select("doc", "n", "mark").join(nodes, "mark", "left"), folder, "own")
-    keyed = described.where("doc is not null").select("doc", F.explode("keys").alias("key"))
-    # Most keys are one document's alone; counts (combined on the map side) leave the others.
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = written(spark, keyed.join(shared, "key"), folder, "met")
-    release(spark)
-    members = met.join(own.select("doc", "fp"), "doc").select("key", "fp").distinct()
-    groups = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = written(spark, members.join(groups, "key"), folder, "groups")
-    labels = written(spark, members.select("fp").distinct().select("fp", F.col("fp").alias("comp")), folder, "labels")
-    sketches = described.join(nodes, "mark").join(labels.select("fp"), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = written(spark, sketches, folder, "sketches")
-    for done in ("described", "met"):
-        drop_dir(spark, f"{folder}/{done}")
-    release(spark)
-    sets: DataFrame | None = None
-
-    def with_sets(pairs: DataFrame, name: str) -> DataFrame:
-        """Token sets of all fingerprints in ``pairs``: those known, and new ones from their texts."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("fp"), "fp", "left_anti")
-        reps = own.where("doc is not null").join(wanted, "fp").groupBy("fp").agg(F.min("doc").alias("doc"))
-        reps = written(spark, reps, folder, f"{name}-reps")
-        ids = reps.select("doc").distinct()
-        # Ids of up to a few megabytes are broadcast, so no text is shuffled; beyond, both sides are.
-        ids = F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids
-        got = source.join(ids, "doc", "left_semi").select("text").mapInArrow(_sets(width), "mark binary, n long, tokens array<bigint>")
-        new = nodes.join(reps.select("fp"), "fp", "left_semi")
-        got = written(spark, got.join(new, "mark").select("fp", "n", "tokens").dropDuplicates(["fp"]), folder, f"{name}-sets")
-        return got if sets is None else sets.unionByName(got)
-
-    def close_pairs(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) that sizes and the Hamming distance of sketches leave possible."""
-        size = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
-        side = lambda c: sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        both = fit.join(side("a"), "a").join(side("b"), "b")
-        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = both.where(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        return written(spark, both.select("a", "b"), folder, f"{name}-close")
+    own = written(spark, rows.join(nodes, "mark", "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("node")).alias("node")), folder, "own")
+    members = _candidates(spark, folder, described, own)
+    drop_dir(spark, f"{folder}/described")
+    labels = written(spark, members.select("doc").distinct().select("doc", F.col("doc").alias("comp")), folder, "labels")
+    # Whole sets are made once, of the documents that are left.
+    wanted = user.read.schema(labels.schema).parquet(f"{folder}/labels").select("doc")
+    shape = f"doc long, mark binary, n long, tokens array<bigint>, {', '.join(f'{s} long' for s in _SKETCH)}"
+    written(user, source.join(wanted, "doc", "left_semi").mapInArrow(_sets(width), shape), folder, "raw")
+    sets = spark.read.schema(shape).parquet(f"{folder}/raw").where("n > 0").dropDuplicates(["doc", "mark"]).drop("mark")
+    sets = written(spark, sets, folder, "sets")
+    drop_dir(spark, f"{folder}/raw")
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    def near(a: str, b: str) -> Column:
+        """Sizes and the Hamming distance of bit sketches leave a link possible."""
+        n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+        apart = sum((F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))).cast("long") for s in _SKETCH), F.lit(0).cast("long"))
+        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart * (100 + percent) <= (100 - percent) * (n_a + n_b))
 
     def linked(close: DataFrame, name: str) -> DataFrame:
         """Pairs that link, by exact intersection."""
-        side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-        exact = close.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
-        return written(spark, exact.select("a", "b"), folder, f"{name}-links")
+        exact = close.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
+        return written(spark, exact.select("a", "b").distinct(), folder, name)
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    rounds = 0
-    while True:
-        now = members.join(labels, "fp")
-        parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("fp", F.lit(rounds)).alias("h"), "fp")).alias("hub"))
-        state = parts.groupBy("key").agg(
-            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inner"), F.count("*").alias("k"),
-            F.max(F.struct("c", "hub", "comp")).alias("top")).where("k > 1")
-        state = written(spark, state.select("key", "n", "inner", F.col("top.hub.fp").alias("hub"), F.col("top.comp").alias("hub_comp")), folder, f"state{rounds}")
-        size = state.agg(F.count("*").alias("keys"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not size["keys"]:
-            break
-        # Pair by pair only what hubs have left open, or little.
-        last = rounds >= hub_rounds or size["pairs"] <= (4 * size["n"] if rounds > 1 else 100_000)
-        open_ = now.join(state, "key")
-        if last:
-            other = now.select("key", F.col("fp").alias("y"), F.col("comp").alias("y_comp"))
-            pairs = open_.join(other, "key").where("fp < y and comp <> y_comp").select(*ordered("fp", "y"))
-        else:
-            pairs = open_.where("comp <> hub_comp").select(*ordered("fp", "hub"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, folder, f"pairs{rounds}")
-        close = close_pairs(pairs, f"round{rounds}")
-        sets = with_sets(close, f"round{rounds}")
-        found = linked(close, f"round{rounds}")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = _merged(spark, folder, f"merge{rounds}", labels, found)
-        members = members.join(state.select("key"), "key", "left_semi")
-        del pairs, close, found, now, parts, open_
-        release(spark)
-        if last:
-            break
-        rounds += 1
+    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("hub"))).alias("first")).select("key", "first.hub")
+    pairs = members.join(written(spark, first, folder, "hubs"), "key").where("doc <> hub").select(*ordered("doc", "hub")).distinct()
+    close = pairs.join(side("a", "n", *_SKETCH), "a").join(side("b", "n", *_SKETCH), "b").where(near("a", "b")).select("a", "b").distinct()
+    tested = close = written(spark, close, folder, "close0")
+    links = found = linked(close, "links0")
+    labels = _merged(spark, folder, "merge0", labels, found)
+    largest, low, high = members.agg(F.max("c")).first()[0] or 0, 0, hubs
+    while low < largest:
+        now = members.join(labels, "doc")
+        still = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        now = now.join(written(spark, still, folder, f"open{high}"), "key", "left_semi").join(sets.drop("tokens"), "doc")
+        now = now.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc"), 11) / F.lit(2.0**53))
+        x = now.where((F.col("u") * F.col("c") >= low) & (F.col("u") * F.col("c") < high))
+        x = x.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc", "comp", "n", "u", *_SKETCH)])
+        y = now.select("key", *[F.col(c).alias(f"{c}_y") for c in ("doc", "comp", "n", "u", *_SKETCH)])
+        after = (F.col("u_y") > F.col("u_x")) | ((F.col("u_y") == F.col("u_x")) & (F.col("doc_y") > F.col("doc_x")))
+        pairs = x.join(y, "key").where(after & (F.col("comp_x") != F.col("comp_y")) & near("x", "y")).select(*ordered("doc_x", "doc_y")).distinct()
+        close = written(spark, pairs.join(tested, ["a", "b"], "left_anti"), folder, f"close{high}")
+        found = linked(close, f"links{high}")
+        tested, links = tested.unionByName(close), links.unionByName(found)
+        labels = _merged(spark, folder, f"merge{high}", labels, found)
+        low, high = high, high * hubs
 
     # Rows that repeat an id belong together whatever their texts are.
-    placed = own.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    repeated = placed.where("doc is not null and comp is not null").groupBy("doc").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-    if not repeated.isEmpty():
-        every = written(spark, placed.where("comp is not null").select("fp", "comp").distinct(), folder, "all-labels")
-        by_id = placed.where("doc is not null and fp is not null").groupBy("doc").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
-        labels = _merged(spark, folder, "ids", every, written(spark, by_id, folder, "id-edges"))
-        placed = own.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    heads = placed.where("doc is not null and comp is not null").groupBy("comp").agg(F.min("doc").alias("head"))
-    degree = None
-    if links is not None:
-        degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    out = placed.join(heads, "comp", "left")
-    out = out.join(degree, "fp", "left") if degree is not None else out.withColumn("n_links", F.lit(None).cast("long"))
-    head: Column = F.when(F.col("doc").isNotNull(), F.coalesce("head", "doc"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), head.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    alike = own.where("doc is not null and node is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    alike = written(spark, own.join(alike.select("doc", "a"), "doc").where("a <> node").select("a", F.col("node").alias("b")).distinct(), folder, "alike")
+    if not alike.isEmpty():
+        others = own.where("node is not null").select("node").distinct().join(labels, F.col("node") == F.col("doc"), "left")
+        labels = written(spark, others.select(F.col("node").alias("doc"), F.coalesce("comp", "node").alias("comp")), folder, "every-label")
+        labels = _merged(spark, folder, "alike-merge", labels, alike)
+    placed = own.where("doc is not null").join(labels.withColumnRenamed("doc", "node"), "node", "left")
+    placed = placed.groupBy("doc").agg(F.min(F.coalesce("comp", "node", "doc")).alias("component"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    out = own.join(placed, "doc", "left").join(degree, "node", "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out.write.parquet(f"{folder}/result")
+    return user.read.schema(out.schema).parquet(f"{folder}/result")
 
 
 def sketch_join_query(docs: DataFrame) -> DataFrame:
