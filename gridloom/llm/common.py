@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 HELD_OUT_FOLDS = 5
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so a Python worker holds at most ``rows`` documents at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (whose bytes Spark bounds by ``spark.sql.execution.arrow.maxBytesPerBatch``) in
+    slices of at most ``rows`` rows, so that no more texts than those are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +64,18 @@ def own_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that ``frame`` does not have: those given, with underscores
+    in front where they are taken."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,20 +102,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 
 
 class Recent:
-    """A bounded memory of what has been worked out: when ``young`` holds ``limit`` entries it becomes the
-    old generation, and entries asked for again move back. Nothing in use is lost between calls of ``lacks``."""
+    """A bounded memory of what has been worked out: when ``young`` holds ``limit`` entries, or keys of
+    ``chars`` characters together, it becomes the old generation, and entries asked for again move back.
+    Nothing in use is lost between calls of ``lacks``."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int, chars: int = 16_000_000):
+        self.limit, self.chars, self.held, self.young, self.old = limit, chars, 0, {}, {}
 
     def __len__(self) -> int:
         return len(self.young)
 
     def lacks(self, wanted: set) -> list:
         """Those of ``wanted`` that are not known; the others are in ``young`` afterwards."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.limit or self.held > self.chars:
+            self.old, self.young, self.held = self.young, {}, 0
         missing = wanted.difference(self.young)
+        self.held += sum(map(len, missing))
         if self.old:
             old = self.old
             known = [w for w in missing if w in old]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_GAP, shared_dir, written
+from gridloom.llm.common import WORD_GAP, drop_dir, shared_dir, written
 
 
 def _ranked(spark, distinct: DataFrame, columns: list[str], folder: str, name: str) -> DataFrame:
@@ -36,10 +36,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("doc", "own", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs to delete: doc, own (hash of the text), pos (first line), size (lines). Runs may overlap."""
+def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Runs to delete: doc, own (hash of the text), pos (first line), size (lines). Runs may overlap.
+    Tables of the steps go to ``folder`` and are needed until the result has been read."""
     spark = docs.sparkSession
-    folder = shared_dir(spark)
+    folder = folder or shared_dir(spark)
     lines = _lines(docs, id_col, text_col)
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     names = _ranked(spark, again, ["h1", "h2"], folder, "names")
@@ -80,7 +81,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
             pairs = level.withColumn("next", nxt["rank"]).where("next is not null")
             pairs = pairs.select(*key, "pos", F.col("rank").alias("one"), F.col("next").alias("two"))
             distinct = pairs.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
-            ranks = _ranked(spark, distinct, ["one", "two"], folder, f"ranks{k}")
+            ranks = _ranked(spark, distinct, ["one", "two"], folder, f"ranks{k}")  # written, so the join's hot pairs can be split
             level = written(spark, pairs.join(ranks, ["one", "two"]).select(*key, "pos", "rank"), folder, f"level{k}")
         asked = windows.where(F.col("level") == k)
         first = asked.alias("w").join(level.alias("l"), null_safe("w", "l") & (F.col("w.pos") == F.col("l.pos"))).select("w.*", F.col("l.rank").alias("one"))
@@ -92,6 +93,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     # An interval's earliest suffix stays; the others are later copies.
     out = written(spark, out, folder, "intervals")
     earliest = out.groupBy("size", "one", "two").agg(F.min(F.struct(*place)).alias("kept"), F.count("*").alias("c")).where("c > 1")
+    earliest = written(spark, earliest, folder, "earliest")
     return (out.join(earliest, ["size", "one", "two"]).where(~F.struct(*place).eqNullSafe(F.col("kept"))).select(*place, "size"))
 
 
@@ -105,19 +107,25 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     text are told apart by the text. An empty table stays empty; other columns stay as they are
     (columns named like the two new ones are replaced).
     """
-    text = F.col(f"`{text_col}`")
-    gone = repeated_runs(docs, min_words, id_col, text_col)
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    gone = repeated_runs(docs, min_words, id_col, text_col, folder)
     gone = (gone.select("doc", "own", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("line"))
-            .groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("_gone")))
-    keep = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("_own"))
-    joined = rows.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("doc")) & (F.col("_own") == F.col("own")), "left")
-    lines = F.split(text, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+            .groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+    gone = written(spark, gone, shared_dir(spark), "gone")
+    drop_dir(spark, folder)
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")]
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").alias("doc_"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("own_"))
+    joined = rows.join(gone, F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("own_") == F.col("own")), "left")
+    whole = F.col("row")[text_col]
+    lines = F.split(whole, "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     none = F.array().cast("array<int>")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_gone", none).alias("removed_lines"))
+        *[F.when(F.col("gone").isNull(), whole).otherwise(left).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in keep],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("gone", none).alias("removed_lines"))
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:

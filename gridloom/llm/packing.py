@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.chunk_tokens import loaded
-from gridloom.llm.common import bounded_batches, written
+from gridloom.llm.common import slices, written
 
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, row long"
 
@@ -41,16 +41,14 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, max_le
     if max_len & (max_len - 1):
         raise ValueError("max_len is a power of two")
     spark = docs.sparkSession
-    bounded_batches(spark)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, tokens, end = TaskContext.get().partitionId(), loaded(path, kind), struct.pack("<I", end_id)
         seen: dict[int, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
+        for some in slices(batches):
+            if some.num_rows:
                 rows: list[tuple] = []
                 for doc, own in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist())):
                     own += end

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Recent, bounded_batches
+from gridloom.llm.common import Recent, slices
 
 _GAP = "▁"
 _WORD = re.compile(" *[^ ]+| +")
@@ -269,11 +269,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty (two ids); null and repeated document ids keep their rows; an empty
     table gives no rows; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array(model.encode(batch.column(1).to_pylist()), pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
@@ -281,11 +280,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``, the text of ``ids``, to a frame of doc_id and ids. Null ids give a null text."""
-    bounded_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if b is None else model.decode(np.frombuffer(b, "<u4")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": batch.column(1), "decoded": pa.array(texts, pa.string())})
 

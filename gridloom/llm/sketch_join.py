@@ -323,8 +323,10 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     out = own.join(placed, "doc", "left").join(degree, "node", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out.write.parquet(f"{folder}/result")
-    return user.read.schema(out.schema).parquet(f"{folder}/result")
+    result = shared_dir(user)
+    out.write.parquet(f"{result}/result")
+    drop_dir(user, folder)
+    return user.read.schema(out.schema).parquet(f"{result}/result")
 
 
 def sketch_join_query(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.chunk_tokens import loaded
-from gridloom.llm.common import bounded_batches, shared_dir
+from gridloom.llm.common import shared_dir, slices
 
 _BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint32)
@@ -121,7 +121,7 @@ def _segments(path: str, kind: str, end_id: int, segment_tokens: int):
             ids.clear(), docs.clear(), ends.clear()
             return row
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, own in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
                 ids.append(own + end)
                 held += len(own) // 4 + 1
@@ -144,7 +144,6 @@ def write_tokens(docs: DataFrame, out: str, path: str, kind: str, end_id: int, s
     columns are ignored. A segment ends after the document that brings it to ``segment_tokens`` ids.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
                .repartitionByRange(F.col("doc").asc_nulls_first())
                .sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("text")))
@@ -161,7 +160,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     placed = segments.join(F.broadcast(bases), "part")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             for row in batch.to_pylist():
                 reader, first = DacReader(row["payload"]), row["base"] + row["before"]
                 ends = np.array(row["doc_ends"], dtype=np.int64)

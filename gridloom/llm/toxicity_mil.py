@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, fold, labelled_sample
+from gridloom.llm.common import fold, labelled_sample, slices
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -51,20 +51,27 @@ class _WordWeights(dict):
         return value
 
 
-def _fit(words: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float, steps: int, rate: float, penalty: float):
-    """Gradient ascent on the noisy-or likelihood. words: of all sentences; starts: each sentence's first."""
+def gradients(words: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """Mean noisy-or log-likelihood of document labels, and its gradients by word weights and bias."""
     lengths = np.diff(np.concatenate([starts, [len(words)]]))
     full = lengths > 0
-    size, moments = len(weights), [np.zeros(len(weights)), np.zeros(len(weights)), 0.0, 0.0]
+    z = np.full(len(starts), bias)
+    z[full] += np.add.reduceat(weights[words], starts[full]) if full.any() else 0
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    quiet = np.bincount(bag, np.log1p(-np.minimum(s, 1 - 1e-12)), len(y))
+    none = np.exp(quiet)  # no sentence offends
+    share = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0)
+    g = s * share[bag]
+    told = np.where(y == 1, np.log(np.maximum(1 - none, 1e-12)), quiet).mean()
+    return float(told), np.bincount(words, np.repeat(g, lengths), len(weights)) / len(y), float(g.sum() / len(y))
+
+
+def _fit(words: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float, steps: int, rate: float, penalty: float):
+    """Gradient ascent on the noisy-or likelihood. words: of all sentences; starts: each sentence's first."""
+    moments = [np.zeros(len(weights)), np.zeros(len(weights)), 0.0, 0.0]
     for step in range(1, steps + 1):
-        z = np.full(len(starts), bias)
-        z[full] += np.add.reduceat(weights[words], starts[full]) if full.any() else 0
-        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.exp(np.bincount(bag, np.log1p(-np.minimum(s, 1 - 1e-12)), len(y)))  # no sentence offends
-        share = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0)
-        g = s * share[bag]
-        grad = np.bincount(words, np.repeat(g, lengths), size) / len(y) - penalty
-        grad_bias = g.sum() / len(y)
+        _, grad, grad_bias = gradients(words, starts, bag, y, weights, bias)
+        grad = grad - penalty
         m = moments
         m[0] += 0.1 * (grad - m[0])
         m[1] += 0.01 * (grad**2 - m[1])
@@ -127,11 +134,10 @@ def score(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: st
     A null or empty text has no sentence and scores 0. Null and repeated ids keep their rows; an empty
     table gives no rows; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _WordWeights(model.weights)
-        for batch in batches:
+        for batch in slices(batches):
             got = [scored(t or "", model.bias, weights) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array([g[0] for g in got], pa.float64()), "offending": pa.array([g[1] for g in got], pa.string())})
 
