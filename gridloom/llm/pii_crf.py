@@ -3,43 +3,52 @@
 The field labels white-space tokens with O or one of the kinds. Its features are word shapes (letters,
 digits and marks with runs collapsed), digit counts and a few cue words, of the token and of both
 neighbours. It is trained on a small labelled table (``labelled_table``) by gradient ascent on the
-conditional likelihood, with forward-backward sums over padded batches.
+conditional likelihood, with forward-backward sums over padded batches. The table lies beside this
+module (``pii_labelled.tsv``): a row of it is a text, its tokens are parted by tabs, and a token that is
+not O has its kind behind a space.
 
 Decoding is Viterbi in numpy batches. A token whose margin for O over each kind exceeds all that the
 kind could gain from transitions to both sides is O on every best path, so the chain is cut there and
 only what lies between such tokens is decoded; the result is the best path of the whole text.
 
-A found run becomes a span only if it also passes the exact check of its kind (digit counts, Luhn,
-address syntax) and touches no span of the fixed patterns, which always stay.
+Secrets (keys, tokens, passwords) are found by the field alone. A found run of the other kinds becomes a
+span only if it also passes the exact check of its kind (digit counts, Luhn, address syntax). Runs that
+touch a span of the fixed patterns give none; the patterns' spans always stay.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import ipaddress
-import random
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches
+from gridloom.llm.common import slices
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("O", *KINDS)
-
-# The base patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_TABLE = Path(__file__).with_name("pii_labelled.tsv")
+
+# The base patterns, each in a form that reads a text once. Around an @: what may stand
+# before it, and the rest. Addresses are fours of a chain of numbers parted by single dots.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _RUN = re.compile(r"(.)\1+", re.S)
 _TOKEN = re.compile(r"\S+")
 # Words that hint at what stands beside them.
-_CUES = frozenset("at dot tel phone call mobile fax email mail e-mail contact ip host address server card visa account number".split())
+_CUES = frozenset("at dot tel phone call mobile fax email mail e-mail contact ip host address server card visa account number token secret key password api_key".split())
 
 
 def _luhn(digits: str) -> bool:
@@ -53,13 +62,38 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = _LOCAL.match(text[free:at][::-1])
+        rest = _DOMAIN.match(text, at) if before else None
+        if rest:
+            yield at - before.end(), rest.end()
+        free = rest.end() if rest else at + 1
+        at = text.find("@", free)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts up to 255."""
+    for chain in _CHAIN.finditer(text):
+        parts, start = chain.group().split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k:k + 4]
+            size = sum(map(len, four)) + 3
+            if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in four):
+                yield start, start + size
+            start += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind number, start, end) of the fixed patterns, by kind and start; failing matches are dropped."""
+    """(kind number, start, end) of the fixed patterns, by kind and start; failing matches are dropped.
+    The time is in proportion to the text, whatever it holds."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        out += [(0, *span) for span in _emails(text)]
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(1, *span) for span in _addresses(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 d = _digits(m.group())
@@ -80,86 +114,43 @@ class _Shapes(dict):
 _SHAPES = _Shapes()
 
 
+def cue_of(name: str) -> str:
+    return "cue" if name.lower() in _CUES else ""
+
+
 def features(token: str) -> tuple[str, ...]:
     """Features of one token."""
     cue = token.lower().strip("()[]:.,")
     if token.isalpha() and (token.islower() or token[1:].islower() and token[0].isupper()):
-        return ("sx" if token.islower() else "sXx", "d0", f"c{cue}" if cue in _CUES else "c", "eFalseFalseFalseFalse")
+        return ("sx" if token.islower() else "sXx", "d0", f"c{cue}" if cue in _CUES else "c", "eFalseFalseFalseFalse", "l")
     shape = _RUN.sub(r"\1", token.translate(_SHAPES))[:12]
     digits = sum(map(token.count, "0123456789"))
     bucket = digits if digits <= 4 else 5 if digits < 7 else 6 if digits < 13 else 7 if digits < 20 else 8
-    return (f"s{shape}", f"d{bucket}", f"c{cue}" if cue in _CUES else "c", f"e{token[:1] in '+('}{'@' in token}{token.count('.') == 3}{token.count(':') > 2}")
-
-
-def labelled_table(seed: int = 11, rows: int = 900) -> list[tuple[list[str], list[str]]]:
-    """The labelled table: token rows and their labels, with decoys (dates, versions, amounts, keys, noise)."""
-    r = random.Random(seed)
-    letters = "etaoinshrdlucmfwypvbgk"
-    word = lambda a=2, b=9: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
-    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-
-    def plain() -> str:
-        w = word(1, 12)
-        w = r.choice((w, w, w, w, w.capitalize(), w.upper()))
-        return w + r.choice(("",) * 14 + (".", ",", "!", "!!", "?", ":", "###", "$$$", ".&&&", "%%%", "***"))
-
-    def host() -> str:
-        return f"{word(3, 7)}{r.choice(('', num(1)))}.{r.choice(('example.com', 'test.org', 'example.net', 'co.uk'))}"
-
-    def user() -> str:
-        return word(3, 8) + r.choice(("", f".{num(2)}", f"_{word(2, 5)}", f"-{word(2, 4)}"))
-
-    def octets() -> str:
-        return ".".join(str(r.randint(0, 255)) for _ in range(4))
-
-    def card() -> list[str]:
-        d = "4" + num(14)
-        d += next(c for c in "0123456789" if _luhn(d + c))
-        groups = [d[i:i + 4] for i in range(0, 16, 4)]
-        return r.choice(([d], groups, ["-".join(groups)], [".".join(groups)], ["/".join(groups)]))
-
-    def phone() -> list[str]:
-        a, b, c = num(3), num(3), num(4)
-        return r.choice((["+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{num(2)}", num(3), num(3), num(4)],
-                         [f"(+1)", f"{a}-{b}-{c}"], [f"00{num(2)}", num(3), num(7)], [f"({a}){b}-{c}"]))
-
-    def email() -> list[str]:
-        h = host()
-        return r.choice(([f"{user()}@{h}"], [f"{user()}@{h}"], [user(), "at", *" dot ".join(h.split(".")).split()], [user(), "(at)", h], [user(), "[at]", h],
-                         [f"{user()}[at]{h}"], [f"{user()}(at){h}"], [user(), "@", h]))
-
-    def ip() -> list[str]:
-        v6 = ":".join(f"{r.randint(0, 65535):x}" for _ in range(8))
-        return [r.choice((octets(), octets(), octets() + ":" + num(4), v6, "fe80::" + v6[-14:].strip(":")))]
-
-    decoys = (lambda: [f"{r.randint(1990, 2030)}-{num(2)}-{num(2)}"], lambda: [f"{num(2)}:{num(2)}"], lambda: [f"{num(1)},{num(3)}.{num(2)}"], lambda: [f"{num(1)}.{num(1)}.{num(1)}"],
-              lambda: [num(r.randint(1, 6))], lambda: [num(16)], lambda: ["token", "=", f'"{r.getrandbits(160):040x}"'], lambda: [f"password={r.getrandbits(72):018x}"],
-              lambda: ["|"], lambda: [plain(), "|", plain(), "|"], lambda: ["at"], lambda: ["dot"], lambda: [word(3, 7), "at", word(3, 7)], lambda: ["CC", "BY-NC", "4.0."], lambda: ["(c)", num(4)],
-              lambda: [f"({word(2, 6)})"], lambda: [f"${num(3)}"], lambda: [f"{num(2)}%"], lambda: [f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}"], lambda: [f"{num(3)}.{num(3)}.{num(3)}"])
+    core = token.strip("\"'`()[]{}<>.,;:!?")
+    name, _, value = core.rpartition("=")
+    mixed = value.replace("-", "").replace("_", "").isalnum() and any("0" <= c <= "9" for c in value) and not value.isdigit()
+    long_ = f"l{min(len(value), 32) // 8}{cue_of(name)}" if mixed and len(value) >= 12 else "l"
+    return (f"s{shape}", f"d{bucket}", f"c{cue}" if cue in _CUES else "c", f"e{token[:1] in '+('}{'@' in token}{token.count('.') == 3}{token.count(':') > 2}", long_)
+
+
+Table = list[tuple[list[str], list[str]]]
+
+
+def labelled_table(path: Path = _TABLE) -> Table:
+    """Rows of the labelled table: tokens and their labels. It has decoys too: dates, versions, amounts."""
     out = []
-    for _ in range(rows):
-        tokens, labels = [], []
-        for _ in range(r.randint(2, 5)):
-            more = [plain() for _ in range(r.randint(0, 4))]
-            tokens += more
-            labels += ["O"] * len(more)
-            kind = r.choice((None, None, *KINDS))
-            if kind is None:
-                more = r.choice(decoys)()
-                tokens += more
-                labels += ["O"] * len(more)
-            else:
-                more = {"email": email, "ip": ip, "card": card, "phone": phone}[kind]()
-                if r.random() < 0.2:
-                    more[-1] += r.choice(".,;")
-                tokens += more
-                labels += [kind] * len(more)
-                tokens.append(plain())
-                labels.append("O")
-        out.append((tokens, labels))
+    for row in path.read_text(encoding="utf-8").splitlines():
+        cells = [cell.partition(" ") for cell in row.split("\t")]
+        out.append(([token for token, _, _ in cells], [kind or "O" for _, _, kind in cells]))
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def trained() -> CrfModel:
+    """The field of the stored table, fitted once in a process."""
+    return train(labelled_table())
+
+
 class CrfModel:
     """Weights of the field; ``own``, ``before`` and ``after`` are by feature, ``move`` by label pair."""
 
@@ -172,51 +163,19 @@ class CrfModel:
         return self.weights[:, known].sum(axis=1) if known else np.zeros((3, len(LABELS)))
 
 
-def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 160, rate: float = 0.15, penalty: float = 2e-4) -> CrfModel:
-    """Fit the field to a labelled table (the built-in one by default) by gradient ascent."""
-    table = labelled_table() if table is None else table
+def train(table: Table, steps: int = 120, rate: float = 0.15, penalty: float = 2e-4) -> CrfModel:
+    """Fit the field to a labelled table by gradient ascent (Adam)."""
     index: dict[str, int] = {}
-    n, most, size = len(table), max(len(t) for t, _ in table), len(LABELS)
     given = [[[index.setdefault(f, len(index)) for f in features(t)] for t in tokens] for tokens, _ in table]
-    per = len(features("x"))
-    ids = np.full((n, most + 2, per), len(index), dtype=np.int64)  # the last row of weights stays 0: padding
-    gold = np.zeros((n, most), dtype=np.int64)
-    mask = np.zeros((n, most), dtype=bool)
-    for i, (tokens, labels) in enumerate(table):
-        ids[i, 1:len(tokens) + 1] = given[i]
-        gold[i, :len(tokens)] = [LABELS.index(x) for x in labels]
-        mask[i, :len(tokens)] = True
-    weights = np.zeros((3, len(index) + 1, size))
-    move = np.zeros((size, size))
+    batch = _padded(given, [[LABELS.index(x) for x in labels] for _, labels in table], len(index))
+    size = len(LABELS)
+    weights, move = np.zeros((3, len(index) + 1, size)), np.zeros((size, size))
     moment = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(move), np.zeros_like(move)]
-    want = np.eye(size)[gold] * mask[..., None]
-    pair_gold = np.einsum("nta,ntb->ab", want[:, :-1], want[:, 1:])
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
     for step in range(1, steps + 1):
-        emit = (weights[0][ids[:, 1:-1]] + weights[1][ids[:, :-2]] + weights[2][ids[:, 2:]]).sum(axis=2)
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, most):
-            new = lse(alpha[:, t - 1, :, None] + move, 1) + emit[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], new, alpha[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            new = lse(move[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], new, 0)
-        whole = lse(alpha[:, -1], 1)
-        got = np.exp(np.clip(alpha + beta - whole[:, None, None], -700, 0)) * mask[..., None]
-        pairs = alpha[:, :-1, :, None] + move + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None]
-        pair_got = (np.exp(np.clip(pairs, -700, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-        error = want - got
-        grad = np.zeros_like(weights)
-        for k, shift in enumerate((slice(1, -1), slice(0, -2), slice(2, None))):
-            np.add.at(grad[k], ids[:, shift], error[:, :, None, :])
-        grad = grad / n - penalty * weights
+        _, grad, grad_move = likelihood(weights, move, *batch)
+        grad = grad - penalty * weights
         grad[:, -1] = 0
-        grad_move = (pair_gold - pair_got) / n - 100 * penalty * move
+        grad_move = grad_move - 100 * penalty * move
         for value, g, a, b in ((weights, grad, moment[0], moment[1]), (move, grad_move, moment[2], moment[3])):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -224,6 +183,55 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 1
     return CrfModel(index, weights[:, :-1], move)
 
 
+def _padded(given: list[list[list[int]]], labels: list[list[int]], features_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the tokens' feature lists with a place before and behind, those lists (the first, and the
+    last row of weights, are padding), labels, mask."""
+    n, most, per = len(given), max(map(len, given)), len(features("x"))
+    number = {(features_,) * per: 0}
+    ids = np.zeros((n, most + 2), dtype=np.int64)
+    gold, mask = np.zeros((n, most), dtype=np.int64), np.zeros((n, most), dtype=bool)
+    for i, (own, marks) in enumerate(zip(given, labels)):
+        ids[i, 1:len(own) + 1] = [number.setdefault(tuple(f), len(number)) for f in own]
+        gold[i, :len(own)] = marks
+        mask[i, :len(own)] = True
+    return ids, np.array(list(number)), gold, mask
+
+
+def likelihood(weights: np.ndarray, move: np.ndarray, ids: np.ndarray, lists: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood of the gold labels and its gradients by weights and label moves, from
+    forward-backward sums."""
+    n, most = gold.shape
+    want = np.eye(move.shape[0])[gold] * mask[..., None]
+    scores = weights[:, lists].sum(axis=2)
+    emit = scores[0][ids[:, 1:-1]] + scores[1][ids[:, :-2]] + scores[2][ids[:, 2:]]
+    # Scaled sums: each step's forward sums are divided by their total, whose logarithms add up.
+    top, high = emit.max(axis=2, keepdims=True), move.max()
+    near, step = np.exp(emit - top), np.exp(move - high)
+    forward, backward, total = np.zeros_like(emit), np.ones_like(emit), np.ones((n, most))
+    total[:, 0] = near[:, 0].sum(axis=1)
+    forward[:, 0] = near[:, 0] / total[:, :1]
+    for t in range(1, most):
+        new, live = (forward[:, t - 1] @ step) * near[:, t], mask[:, t]
+        total[live, t] = new[live].sum(axis=1)
+        forward[live, t] = new[live] / total[live, t, None]
+    pair_got = np.zeros_like(move)
+    for t in range(most - 2, -1, -1):
+        live = mask[:, t + 1]
+        after = near[live, t + 1] * backward[live, t + 1] / total[live, t + 1, None]
+        backward[live, t] = after @ step.T
+        pair_got += step * (forward[live, t].T @ after)
+    got = forward * backward * mask[..., None]
+    whole = ((np.log(total) + top[:, :, 0]) * mask).sum(axis=1) + high * (mask.sum(axis=1) - 1)
+    pair_gold = np.einsum("nta,ntb->ab", want[:, :-1], want[:, 1:])
+    grad = np.zeros_like(weights)
+    for k, shift in enumerate((slice(1, -1), slice(0, -2), slice(2, None))):
+        of_list = np.zeros((len(lists), move.shape[0]))
+        np.add.at(of_list, ids[:, shift], want - got)
+        np.add.at(grad[k], lists, of_list[:, None, :])
+    gained = (emit * want).sum() + (pair_gold * move).sum() - whole.sum()
+    return float(gained / n), grad / n, (pair_gold - pair_got) / n
+
+
 def viterbi(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Best labels of padded chains that stand between two tokens labelled O (label 0)."""
     n, most, _ = emit.shape
@@ -311,6 +319,8 @@ class Tagger:
 
 def _valid(kind: int, text: str) -> bool:
     """The exact check of a found run."""
+    if kind == 4:
+        return True
     d = _digits(text)
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*(@|[\[(]?\bat\b[\])]?)\s*[A-Za-z0-9-]+((\.|\s*[\[(]?\bdot\b[\])]?\s*)[A-Za-z0-9-]+)+", text, re.I))
@@ -330,6 +340,13 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, in
     for text, labels in zip(texts, tagger.labels([t.split() for t in texts])):
         base = base_spans(text)
         found = []
+        taken, starts = [], []
+        for a, b in sorted((a, b) for _, a, b in base):  # spans of different kinds may overlap
+            if taken and a < taken[-1]:
+                taken[-1] = max(taken[-1], b)
+            else:
+                starts.append(a)
+                taken.append(b)
         if labels.any():
             tokens = [m.span() for m in _TOKEN.finditer(text)]
             at = np.flatnonzero(labels)
@@ -340,7 +357,8 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, in
                     end -= 1
                 while start < end and text[start] in "\"'<[{:":
                     start += 1
-                if start < end and _valid(kind, text[start:end]) and not any(a < end and start < b for _, a, b in base):
+                k = bisect.bisect_left(starts, end) - 1  # the last span of the patterns that begins before the end
+                if start < end and _valid(kind, text[start:end]) and (k < 0 or taken[k] <= start):
                     found.append((kind, start, end))
         out.append((base, sorted(base + found)))
     return out
@@ -357,18 +375,14 @@ def find_pii(docs: DataFrame, model: CrfModel | None = None, id_col: str = "doc_
     A null text counts as empty and has no spans. Null and repeated ids keep their rows; an empty table
     gives no rows; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    model = model or train()
+    model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                some = batch.slice(at, 250)
-                texts = some.column(1).to_pylist()
-                spans = all_spans([t or "" for t in texts], tagger)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": some.column(0), "base": pa.array([_joined(b) for b, _ in spans], pa.string()), "spans": pa.array([_joined(a) for _, a in spans], pa.string())})
+        for some in slices(batches):
+            spans = all_spans([t or "" for t in some.column(1).to_pylist()], tagger)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": some.column(0), "base": pa.array([_joined(b) for b, _ in spans], pa.string()), "spans": pa.array([_joined(a) for _, a in spans], pa.string())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, base string, spans string")
 
@@ -376,19 +390,16 @@ def find_pii(docs: DataFrame, model: CrfModel | None = None, id_col: str = "doc_
 def redact(docs: DataFrame, model: CrfModel | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of personal data in the text replaced by its kind in brackets (spans that
     overlap become one). Null texts stay null; all other columns and rows stay as they are."""
-    bounded_batches(docs.sparkSession)
-    model = model or train()
+    model = model or trained()
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                some = batch.slice(at, 250)
-                texts = some.column(place).to_pylist()
-                spans = all_spans([t or "" for t in texts], tagger)
-                new = pa.array([None if t is None else redacted(t, a) for t, (_, a) in zip(texts, spans)], pa.string())
-                yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(some.columns)], names=some.schema.names)
+        for some in slices(batches):
+            texts = some.column(place).to_pylist()
+            spans = all_spans([t or "" for t in texts], tagger)
+            new = pa.array([None if t is None else redacted(t, a) for t, (_, a) in zip(texts, spans)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(some.columns)], names=some.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -407,6 +418,10 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def pii_query(docs: DataFrame) -> DataFrame:
+    """Counts of the patterns' spans by kind, their digest, all spans; then how many secrets and how many
+    spans of any kind there are."""
     found = find_pii(docs)
-    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    count = lambda spans, kind: F.size(F.filter(F.split(spans, ","), lambda s: s.startswith(kind) & (s != ""))).cast("long")
+    return found.select(
+        "doc_id", *[count("base", f"{k}:").alias(f"n_{k}") for k in BASE_KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+        count("spans", "secret:").alias("n_secret"), count("spans", "").alias("n_spans"))
