@@ -1,13 +1,15 @@
 """Quality by a byte-level convolutional network in numpy.
 
-A filter of ``width`` bytes is a table of weights by place and byte value. Its responses to all
-windows of a text are sums of table look-ups. Windows are cut into groups of ``chunk`` starts; the
-bytes of a group overlap those of the next by width - 1, so every window, and every byte, is covered. In a
-chunk each filter keeps its largest response (max-pooling, after a rectifier). Beside the filters,
-a chunk has the shares of bytes that equal the byte ``lag`` places before (echoes), which answer to
-repeated words. A document's vector holds the mean and the maximum over its chunks of both kinds, and
-one logistic unit combines it into a probability. Filters and unit are learnt together by gradient
-descent; through max-pooling, a filter's gradient reaches only the window that won.
+A filter of ``width`` bytes is a table of weights by place and byte value. Its responses to the windows
+of a text are sums of table look-ups; there is a window for every byte of the text, the last ones
+reaching into ``width - 1`` zeros behind it. Windows are cut into groups of ``chunk`` starts; the bytes
+of a group overlap those of the next by width - 1, so every window, and every byte, is covered. In a
+chunk each filter keeps its largest response (max-pooling, after a rectifier). A document's vector holds
+the mean and the maximum over its chunks, and one logistic unit combines it into a probability. Filters
+and unit are learnt together by gradient descent; through max-pooling, a filter's gradient reaches only
+the window that won.
+
+Texts are worked on together, but nothing of one text enters the score of another, down to the last bit.
 """
 
 from __future__ import annotations
@@ -20,135 +22,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, fold, labelled_sample
+from gridloom.llm.common import fold, labelled_sample, slices
 
 _STEP_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
 class CnnModel:
-    filters: np.ndarray  # width x 256 x filters, float32
-    bias: np.ndarray
-    mean: np.ndarray  # of document vectors, as the unit saw them
-    spread: np.ndarray
-    unit: np.ndarray
+    table: np.ndarray  # width x 256 x filters, float32
+    bias: np.ndarray  # of each filter
+    unit: np.ndarray  # weights of the mean, then the maximum, of each filter
     base: float
     chunk: int = 256
-    lags: tuple[int, ...] = tuple(range(2, 18))
 
 
-def _chunks(texts: list[bytes], width: int, chunk: int):
-    """Bytes of the texts with width - 1 zeros after each; first window of each chunk; chunk's text."""
-    starts, owner, at = [], [], 0
-    for i, t in enumerate(texts):
-        n = max(1, len(t))
-        first = np.arange(at, at + n, chunk)
-        starts.append(first)
-        owner.append(np.full(len(first), i))
-        at += n + width - 1
-    pad = bytes(width - 1)
-    data = np.frombuffer(b"".join((t or b"\0") + pad for t in texts), dtype=np.uint8)
-    return data, np.concatenate(starts), np.concatenate(owner)
-
-
-def _responses(data: np.ndarray, filters: np.ndarray) -> np.ndarray:
+def _responses(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Responses of the filters (windows x filters)."""
-    width = len(filters)
-    n = len(data) - width + 1
-    out = filters[0][data[:n]]
-    for k in range(1, width):
-        out += filters[k][data[k:k + n]]
+    n = len(data) - len(table) + 1
+    out = table[0][data[:n]]
+    for k in range(1, len(table)):
+        out += table[k][data[k:k + n]]
     return out
 
 
-def _echoes(data: np.ndarray, starts: np.ndarray, lags: tuple[int, ...]) -> np.ndarray:
-    """Share of bytes of each chunk that equal the byte ``lag`` before, for each lag."""
-    sizes = np.diff(np.concatenate([starts, [len(data)]]))
-    out = np.zeros((len(starts), len(lags)), dtype=np.float32)
-    for j, lag in enumerate(lags):
-        same = np.zeros(len(data), dtype=np.uint8)
-        np.equal(data[lag:], data[:-lag], out=same[lag:].view(bool)) if len(data) > lag else None
-        out[:, j] = np.add.reduceat(same, starts, dtype=np.int32) / sizes
-    return out
+def _windows(texts: list[bytes], table: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with width - 1 zeros after each text (an empty text is one zero byte), responses (none at
+    those zeros), first window of each chunk, and the chunk's text."""
+    pad = len(table) - 1
+    sizes = np.array([max(1, len(t)) for t in texts])
+    begins = np.concatenate([[0], np.cumsum(sizes + pad)[:-1]])
+    data = np.frombuffer(b"".join((t or b"\0") + bytes(pad) for t in texts), dtype=np.uint8)
+    responses = _responses(data, table)
+    between = ((begins + sizes)[:-1, None] + np.arange(pad)).ravel()
+    responses[between] = -np.inf
+    counts = -(-sizes // chunk)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return data, responses, begins[owner] + within * chunk, owner
 
 
-def _pooled(texts: list[bytes], model_filters: np.ndarray, bias: np.ndarray, chunk: int, lags: tuple[int, ...], winners: bool = False):
-    """Chunk vectors, chunk owners and, on request, the winning windows and the bytes."""
-    data, starts, owner = _chunks(texts, len(model_filters), chunk)
-    responses = _responses(data, model_filters)
-    ends = np.concatenate([starts[1:], [len(responses)]])
-    top = np.maximum.reduceat(responses, starts, axis=0)
-    pooled = np.maximum(top + bias, 0)
-    echoes = _echoes(data, starts, lags)
-    if not winners:
-        return pooled, echoes, owner
-    won = np.empty(top.shape, dtype=np.int64)
-    for i, (a, b) in enumerate(zip(starts, ends)):
-        won[i] = a + responses[a:b].argmax(axis=0)
-    return pooled, echoes, owner, won, data
-
-
-def _vectors(parts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+def _vectors(pooled: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Mean and maximum over the chunks of each document."""
+    pooled = pooled.astype(np.float64)
     first = np.searchsorted(owner, np.arange(n))
     count = np.bincount(owner, minlength=n)[:, None]
-    return np.concatenate([np.add.reduceat(parts, first, axis=0) / count, np.maximum.reduceat(parts, first, axis=0)], axis=1)
+    return np.concatenate([np.add.reduceat(pooled, first, axis=0) / count, np.maximum.reduceat(pooled, first, axis=0)], axis=1)
+
 
+def _probability(x: np.ndarray, unit: np.ndarray, base: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip((x * unit).sum(axis=1) + base, -30, 30)))
 
-def train(texts: list[bytes], y: np.ndarray, filters: int = 8, width: int = 5, chunk: int = 256, epochs: int = 8, seed: int = 5,
-          lags: tuple[int, ...] = tuple(range(2, 18))) -> CnnModel:
-    """Fit filters and unit to texts and their labels (1: good)."""
+
+def gradients(texts: list[bytes], y: np.ndarray, model: CnnModel) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of the texts' labels, and its gradient by parameter."""
+    m, n = len(model.bias), len(texts)
+    data, responses, starts, owner = _windows(texts, model.table, model.chunk)
+    ends = np.concatenate([starts[1:], [len(responses)]])
+    won = np.stack([a + responses[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
+    raw = np.take_along_axis(responses, won, axis=0) + model.bias
+    pooled = np.maximum(raw, 0)
+    x = _vectors(pooled, owner, n)
+    p = _probability(x, model.unit, model.base)
+    loss = float(-np.mean(np.log(np.where(y == 1, p, 1 - p) + 1e-12)))
+    error = (p - y) / n
+    back = error[:, None] * model.unit[None, :]
+    count = np.bincount(owner, minlength=n)
+    top = pooled == x[owner, m:]
+    ties = np.add.reduceat(top.astype(float), np.searchsorted(owner, np.arange(n)), axis=0)
+    g = back[owner, :m] / count[owner][:, None] + back[owner, m:] * top / ties[owner]
+    g = g * (raw > 0)
+    table = np.zeros_like(model.table)
+    column = np.broadcast_to(np.arange(m), won.shape)
+    for j in range(len(table)):
+        np.add.at(table[j], (data[won + j], column), g.astype(table.dtype))
+    return loss, {"table": table, "bias": g.sum(axis=0), "unit": error @ x, "base": error.sum()}
+
+
+def train(texts: list[bytes], y: np.ndarray, filters: int = 12, width: int = 5, chunk: int = 256, epochs: int = 8, least_steps: int = 400, seed: int = 5) -> CnnModel:
+    """Fit filters and unit to texts and their labels (1: good), in ``epochs`` passes or as many as give
+    ``least_steps`` steps of 32 texts. Without texts, or with one label alone, the model is a constant."""
     r = np.random.default_rng(seed)
     table = (r.standard_normal((width, 256, filters)) * 0.15).astype(np.float32)
-    size = 2 * (filters + len(lags))
     if not len(texts) or y.min() == y.max():
         p = 0.5 if not len(texts) else float(np.clip(y.mean(), 0.01, 0.99))
-        return CnnModel(table, np.zeros(filters, np.float32), np.zeros(size), np.ones(size), np.zeros(size), float(np.log(p / (1 - p))), chunk, lags)
-    bias = np.zeros(filters, dtype=np.float32)
-    unit, base = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
-    unit[:filters] = r.standard_normal(filters) * 0.3
-    # Echo columns are scaled once; filter columns stay as they are while filters move.
-    echo = np.concatenate([_vectors(_pooled(texts[i:i + 64], table, bias, chunk, lags)[1], _chunks(texts[i:i + 64], width, chunk)[2], len(texts[i:i + 64])) for i in range(0, len(texts), 64)])
-    mean, spread = np.zeros(size), np.ones(size)
-    k = len(lags)
-    columns = np.concatenate([np.arange(filters, filters + k), np.arange(2 * filters + k, size)])
-    mean[columns], spread[columns] = echo.mean(axis=0), echo.std(axis=0) + 1e-3
-    caches = {"table": [np.zeros_like(table)] * 2, "bias": [np.zeros_like(bias)] * 2, "unit": [np.zeros(size)] * 2, "base": [0.0, 0.0]}
+        return CnnModel(table, np.zeros(filters, np.float32), np.zeros(2 * filters), float(np.log(p / (1 - p))), chunk)
+    unit = np.concatenate([r.standard_normal(filters) * 0.3, np.zeros(filters)])
+    now = {"table": table, "bias": np.zeros(filters, dtype=np.float32), "unit": unit, "base": np.log(y.mean() / (1 - y.mean()))}
+    moments = {name: [0.0, 0.0] for name in now}
+    epochs = max(epochs, -(-least_steps * 32 // len(texts)))
     step = 0
-
-    def moved(name: str, g, rate: float):
-        a, b = caches[name]
-        a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
-        caches[name] = [a, b]
-        return rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-
     for epoch in range(epochs):
         order = r.permutation(len(texts))
+        rate = 0.02 if epoch < epochs * 3 // 4 else 0.005
         for lo in range(0, len(order), 32):
             some = order[lo:lo + 32]
             step += 1
-            pooled, echoes, owner, won, data = _pooled([texts[i] for i in some], table, bias, chunk, lags, winners=True)
-            parts = np.concatenate([pooled, echoes], axis=1)
-            x = (_vectors(parts, owner, len(some)) - mean) / spread
-            p = 1 / (1 + np.exp(-np.clip(x @ unit + base, -30, 30)))
-            error = (p - y[some]) / len(some)
-            back = error[:, None] * unit[None, :]
-            count = np.bincount(owner, minlength=len(some))
-            m = filters
-            g = back[owner, :m] / count[owner][:, None]
-            best = _vectors(pooled, owner, len(some))[:, m:]
-            g = g + back[owner, m + k:2 * m + k] * (pooled == best[owner]) / np.maximum(1, np.add.reduceat((pooled == best[owner]).astype(float), np.searchsorted(owner, np.arange(len(some))), axis=0))[owner]
-            g = (g * (pooled > 0)).astype(np.float32)
-            grad = np.zeros_like(table)
-            column = np.broadcast_to(np.arange(m), won.shape)
-            for j in range(width):
-                np.add.at(grad[j], (data[won + j], column), g)
-            rate = 0.02 if epoch < epochs - 2 else 0.005
-            unit = unit - moved("unit", error @ x + 1e-4 * unit, rate)
-            base = float(base - moved("base", error.sum(), rate))
-            table = (table - moved("table", grad, rate)).astype(np.float32)
-            bias = (bias - moved("bias", g.sum(axis=0), rate)).astype(np.float32)
-    return CnnModel(table, bias, mean, spread, unit, base, chunk, lags)
+            _, slope = gradients([texts[i] for i in some], y[some], CnnModel(now["table"], now["bias"], now["unit"], float(now["base"]), chunk))
+            slope["unit"] = slope["unit"] + 1e-4 * now["unit"]
+            for name, g in slope.items():
+                a, b = moments[name]
+                a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
+                moments[name] = [a, b]
+                move = rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+                now[name] = (now[name] - move).astype(np.float32) if name in ("table", "bias") else now[name] - move
+    return CnnModel(now["table"], now["bias"], now["unit"], float(now["base"]), chunk)
 
 
 def probabilities(texts: list[bytes], model: CnnModel) -> np.ndarray:
@@ -159,25 +136,28 @@ def probabilities(texts: list[bytes], model: CnnModel) -> np.ndarray:
         while hi < len(texts) and (hi == at or size + len(texts[hi]) <= _STEP_BYTES):
             size += len(texts[hi])
             hi += 1
-        pooled, echoes, owner = _long(texts[at], model) if hi == at + 1 and size > _STEP_BYTES else _pooled(texts[at:hi], model.filters, model.bias, model.chunk, model.lags)
-        x = (_vectors(np.concatenate([pooled, echoes], axis=1), owner, hi - at) - model.mean) / model.spread
-        out.append(1 / (1 + np.exp(-np.clip(x @ model.unit + model.base, -30, 30))))
+        if hi == at + 1:
+            pooled = _long(texts[at] or b"\0", model)
+            owner = np.zeros(len(pooled), dtype=np.int64)
+        else:
+            _, responses, starts, owner = _windows(texts[at:hi], model.table, model.chunk)
+            pooled = np.maximum(np.maximum.reduceat(responses, starts, axis=0) + model.bias, 0)
+        out.append(_probability(_vectors(pooled, owner, hi - at), model.unit, model.base))
         at = hi
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _long(text: bytes, model: CnnModel):
-    """Chunk vectors of one long text, a bounded stretch at a time."""
-    stretch = _STEP_BYTES // model.chunk * model.chunk
+def _long(text: bytes, model: CnnModel) -> np.ndarray:
+    """Chunk vectors of one text, a bounded stretch at a time."""
+    stretch, pad = max(1, _STEP_BYTES // model.chunk) * model.chunk, len(model.table) - 1
     parts = []
     for a in range(0, len(text), stretch):
         # Windows that start in the stretch; their bytes reach into the next one.
-        data = np.frombuffer(text[a:a + stretch + len(model.filters) - 1].ljust(min(stretch, len(text) - a) + len(model.filters) - 1, b"\0"), dtype=np.uint8)
-        starts = np.arange(0, min(stretch, len(text) - a), model.chunk)
-        top = np.maximum.reduceat(_responses(data, model.filters), starts, axis=0)
-        parts.append((np.maximum(top + model.bias, 0), _echoes(data, starts, model.lags)))
-    pooled, echoes = (np.concatenate(p) for p in zip(*parts))
-    return pooled, echoes, np.zeros(len(pooled), dtype=np.int64)
+        n = min(stretch, len(text) - a)
+        data = np.frombuffer(text[a:a + n + pad].ljust(n + pad, b"\0"), dtype=np.uint8)
+        top = np.maximum.reduceat(_responses(data, model.table), np.arange(0, n, model.chunk), axis=0)
+        parts.append(np.maximum(top + model.bias, 0))
+    return np.concatenate(parts)
 
 
 def score(docs: DataFrame, model: CnnModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +166,10 @@ def score(docs: DataFrame, model: CnnModel, id_col: str = "doc_id", text_col: st
     A null text counts as empty; an empty text is one chunk of a zero byte and has a score too. Null
     and repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = probabilities([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], model)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(got, pa.float64())})
+        for some in slices(batches):
+            got = probabilities([(t or "").encode("utf-8", "surrogatepass") for t in some.column(1).to_pylist()], model)
+            yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "score": pa.array(got, pa.float64())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
