@@ -16,11 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_GAP, labelled_sample
+from gridloom.llm.common import WORD_GAP, labelled_sample, unused
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules may ask: shares of a text, so thresholds mean the same for short and long texts.
-FEATURES = ("symbol_share", "repeat_share", "dup_line_share", "mean_word", "upper_share", "pipe_share", "bang_share")
+FEATURES = ("symbol_share", "repeat_share", "dup_line_share", "mean_word", "upper_share", "pipe_share", "bang_share",
+            "digit_share", "ended_share", "distinct_share", "line_words")
 
 
 def _words(text: Column) -> Column:
@@ -37,40 +38,45 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text has no words and all counts 0; an empty table stays empty. Columns of ``docs`` that
     have the same names are replaced.
     """
-    keep = [c for c in docs.columns if c not in {*BASE, *FEATURES}]
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], _words(t).alias("_words"))
-    n = F.size("_words")
-    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.xxhash64(
-            w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))))
-    frame = frame.withColumn("_windows", windows)
-    frame = frame.withColumn("_sorted", F.when(F.size("_windows") == F.size(F.array_distinct("_windows")), F.array().cast("array<bigint>"))
-                             .otherwise(F.sort_array("_windows")))
-    frame = frame.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda h, i: (i > 0) & (h == F.get(F.col("_sorted"), i - 1)))))
-    few = F.filter(F.transform("_windows", lambda h, i: F.when(F.array_contains("_twice", h), i)), lambda i: i.isNotNull())
-    frame = frame.withColumn("_pairs", F.when(F.size("_twice") > 32, F.sort_array(
-        F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, j: F.coalesce(F.get(F.col("_pairs"), j)["h"] == x["h"], F.lit(False))
-    many = F.sort_array(F.transform(F.filter("_pairs", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
-    frame = frame.withColumn("_at", F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(F.size("_twice") > 32, many).otherwise(few))
-    covered = F.aggregate(F.transform("_at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_at"), j + 1), p + 3) - p)),
+    keep = [c for c in docs.columns if c.lower() not in {*BASE, *FEATURES}]
+    words, lines, windows, pairs, sorted_, twice, at = unused(docs, "words", "lines", "windows", "pairs", "sorted", "twice", "at")
+    counts = unused(docs, "line_count", "upper", "pipes", "bangs", "digits", "ends", "kinds")
+    t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    full = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias(at), _words(t).alias(words), full.alias(lines))
+    text = at
+    n = F.size(words)
+    hashes = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.xxhash64(
+            w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2))))
+    frame = frame.withColumn(windows, hashes)
+    frame = frame.withColumn(sorted_, F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.array().cast("array<bigint>"))
+                             .otherwise(F.sort_array(windows)))
+    frame = frame.withColumn(twice, F.array_distinct(F.filter(sorted_, lambda h, i: (i > 0) & (h == F.get(F.col(sorted_), i - 1)))))
+    few = F.filter(F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+    frame = frame.withColumn(pairs, F.when(F.size(twice) > 32, F.sort_array(
+        F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, j: F.coalesce(F.get(F.col(pairs), j)["h"] == x["h"], F.lit(False))
+    many = F.sort_array(F.transform(F.filter(pairs, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    places, = unused(frame, "places")
+    frame = frame.withColumn(places, F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) > 32, many).otherwise(few))
+    covered = F.aggregate(F.transform(places, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col(places), j + 1), p + 3) - p)),
                           F.lit(0).cast("long"), lambda a, x: a + x)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    t = F.col(text)
     chars = F.length(F.regexp_replace(t, WORD_GAP, ""))
     count = lambda pattern: F.length(t) - F.length(F.translate(t, pattern, ""))
+    ended = F.size(F.filter(lines, lambda x: x.rlike("[.!?][\\x20\\x09-\\x0D]*$")))
+    extra = (F.size(lines), F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}", "")), count("|"), count("!"), count("0123456789"), ended, F.size(F.array_distinct(words)))
     frame = frame.select(
         *[F.col(f"`{c}`") for c in keep], n.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"),
         count("#*$%&|<>").cast("long").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-        F.size(lines).alias("_lines"),
-        (F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}", ""))).alias("_upper"), count("|").alias("_pipes"), count("!").alias("_bangs"))
+        covered.alias("n_repeat_words"), *[x.alias(name) for x, name in zip(extra, counts)])
+    line_count, upper, pipes, bangs, digits, ends, kinds = counts
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)).cast("double")
-    return frame.select(
-        *[F.col(f"`{c}`") for c in keep], *BASE, share("n_symbols", "word_chars").alias("symbol_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"), share("n_dup_lines", "_lines").alias("dup_line_share"),
-        share("word_chars", "n_words").alias("mean_word"), share("_upper", "word_chars").alias("upper_share"),
-        share("_pipes", "word_chars").alias("pipe_share"), share("_bangs", "word_chars").alias("bang_share"))
+    of = {"symbol_share": ("n_symbols", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"), "dup_line_share": ("n_dup_lines", line_count), "mean_word": ("word_chars", "n_words"),
+          "upper_share": (upper, "word_chars"), "pipe_share": (pipes, "word_chars"), "bang_share": (bangs, "word_chars"), "digit_share": (digits, "word_chars"),
+          "ended_share": (ends, line_count), "distinct_share": (kinds, "n_words"), "line_words": ("n_words", line_count)}
+    return frame.select(*[F.col(f"`{c}`") for c in keep], *BASE, *[share(*of[name]).alias(name) for name in FEATURES])
 
 
 @dataclass(frozen=True)
@@ -164,27 +170,32 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def learnt(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000) -> list[Rule]:
+def learnt(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000, min_words: int = 50) -> list[Rule]:
     """Rules from a bounded sample: at most ``sample_rows`` labelled documents of at most
-    ``sample_chars`` characters, none of the held-out fold. Without labels, no rules."""
+    ``sample_chars`` characters, none of the held-out fold. Those that the base rules reject are left
+    out: the list has to tell apart what they keep. Without labels, no rules."""
     stats = statistics(labelled_sample(docs, labels, "quality", sample_rows, sample_chars))
-    got = stats.select("label", *FEATURES).collect()
-    return learn_rules(np.array([r[1:] for r in got], dtype=float).reshape(-1, len(FEATURES)), np.array([r[0] == 0 for r in got], dtype=bool))
+    # Tested here, not by a filter, which would be pushed below the statistics and repeat their steps.
+    got = [r for r in stats.select("n_words", "n_repeat_words", "label", *FEATURES).collect() if r[0] >= min_words and 100 * r[1] <= 50 * r[0]]
+    return learn_rules(np.array([r[3:] for r in got], dtype=float).reshape(-1, len(FEATURES)), np.array([r[2] == 0 for r in got], dtype=bool))
+
+
+def base_failed(min_words: int = 50) -> Column:
+    """Fewer than ``min_words`` words, or more than half of the words in repeated 3-word windows."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule], min_words: int = 50) -> DataFrame:
     """``docs`` with the base statistics, ``rule`` (the deciding rule, 0 for none), ``base_failed`` and ``kept``.
 
-    Base: fewer than ``min_words`` words, or more than half of the words in repeated 3-word windows.
-    A null text has no words and fails. Null ids and repeated rows are judged like any other.
+    See ``base_failed`` for the base rules. A null text has no words and fails. Null ids and repeated rows are judged like any other.
     """
     # A filter on a verdict must not be pushed below the statistics: put into one condition, their shared
     # steps would be worked out again and again. A condition that is not deterministic, and always
     # true, keeps it above.
     once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     out = statistics(docs)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumns({"base_failed": once(failed), "rule": once(verdict(rules))})
+    out = out.withColumns({"base_failed": once(base_failed(min_words)), "rule": once(verdict(rules))})
     return out.withColumn("kept", once(~F.col("base_failed") & (F.col("rule") == 0)))
 
 
