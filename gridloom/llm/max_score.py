@@ -3,11 +3,15 @@
 Terms are the dimensions of a vector; a posting is a candidate's non-zero component. Candidates are
 dealt by a hash of their id into shards and queries into blocks, and every (shard, block) pair is one
 cell. In a cell, a query's terms are ordered by their score bound (the most that a candidate of the
-shard can gain from the term). The last terms, whose bounds together cannot lift any candidate past
-the query's current k-th score, are non-essential. Essential postings are traversed for all
-candidates of the shard; non-essential terms are probed only for candidates whose partial score plus
-the bounds of what is left still competes. The k-th score to start from is that of a block of
-candidates scored in full. Cells return k candidates for each query, and the shards' lists are merged.
+shard can gain from the term). The shard is traversed in blocks of ascending ids, each twice as large as
+the one before. The bar is the query's k-th score so far; after every block it rises, and the terms are
+split anew: the last terms, whose bounds together cannot lift a candidate past the bar, are
+non-essential. Essential postings are traversed for all candidates of the block; non-essential terms are
+probed, a few at a time, only for candidates whose partial score plus the bounds of what is left still
+competes. Cells return k candidates for each query, and the shards' lists are merged.
+
+Exact search compares every query with every shard, so each candidate is sent once for each block of
+queries and each query once for each shard: about 5 MB for a cell of 8192 x 2048 pairs.
 
 Scores are exact integers: sums run in float64 while every sum stays below 2**53, else in int64.
 """
@@ -32,8 +36,9 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def cell_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-               block: int = 512, steps: int = 4) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The k best candidates of one shard for each query (positions and scores), ties to smaller ids.
+               block: int = 512, steps: int = 4) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """The k best candidates of one shard for each query (positions and scores), ties to smaller ids, and
+    the number of postings read.
 
     Candidates come in ascending id order. A candidate with the query's own id takes no part.
     """
@@ -43,56 +48,56 @@ def cell_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vect
     rows, q_all = vectors.astype(kind), queries.astype(kind)
     lists = np.ascontiguousarray(rows.T)  # a row for each term: its postings over the shard
     high, low = rows.max(axis=0, initial=0), rows.min(axis=0, initial=0)
-    places, scores = [], []
-    first = rows[:block]
+    places, scores, read = [], [], 0
     for q_id, q in zip(query_ids, q_all):
         bound = np.maximum(np.maximum(q * high, q * low), 0)
         order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
-        own = ids == q_id
-        # The k-th score of one block, scored in full: what a candidate must reach.
-        seed = np.where(own[:block], np.iinfo(np.int64).min, (first @ q).astype(np.int64))
-        level = int(np.partition(seed, len(seed) - k)[len(seed) - k]) if len(seed) >= k else np.iinfo(np.int64).min
-        # Essential terms: without them no candidate reaches the level. (rest[e] >= level keeps ties.)
-        essential = int(np.searchsorted(-rest, -level, side="right")) if level > 0 else width
-        essential = max(1, min(width, essential)) if width else 0
-        cuts = sorted({essential, *np.linspace(essential, width, steps + 1).astype(int).tolist()}) if essential < width else [width]
-        part = order[:min(essential, max(1, width // 2))]
-        done = len(part)
-        score = q[part] @ lists[part]
-        live = np.flatnonzero((score + rest[done] >= level) & ~own)
-        score = score[live]
-        for cut in cuts:
-            keep = score + rest[done] >= level
-            live, score = live[keep], score[keep]
-            if cut > done:
-                more = order[done:cut]
-                score = score + rows[live][:, more] @ q[more]
-                done = cut
-        score = score.astype(np.int64)
-        if len(score) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= kth
-            live, score = live[keep], score[keep]
-        best = np.lexsort((ids[live], -score))[:k]
-        places.append(live[best])
-        scores.append(score[best])
-    return places, scores
+        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # the most that terms from here on add
+        best, won, at, size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0, block
+        while at < n:
+            end = min(n, at + size)
+            bar = int(won[-1]) if len(won) == k else None  # later ids must pass it: a tie goes to the smaller id
+            done = width if bar is None else int(np.searchsorted(-rest[:-1], -bar, side="left"))
+            live = np.flatnonzero(ids[at:end] != q_id) + at
+            if done:
+                part = order[:done]
+                score = (q[part] @ lists[part, at:end])[live - at]
+                read += done * (end - at)
+            else:
+                score = np.zeros(len(live), dtype=kind)
+            step = -(-(width - done) // steps)
+            while bar is not None:
+                keep = score + rest[done] > bar
+                live, score = live[keep], score[keep]
+                if done == width or not len(live):
+                    break
+                more = order[done:done + step]
+                score = score + rows[np.ix_(live, more)] @ q[more]
+                read += len(live) * len(more)
+                done += len(more)
+            live, score = np.concatenate([best, live]), np.concatenate([won, score.astype(np.int64)])
+            top = np.lexsort((ids[live], -score))[:k]
+            best, won = live[top], score[top]
+            at, size = end, 2 * size
+        places.append(best)
+        scores.append(won)
+    return places, scores, read
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """The k candidates of highest inner product for each query: query_id, rank, vec_id, score.
 
     Both frames have ``vec_id`` and ``vector`` (array of long). Ties go to the smaller vec_id; a query
-    never matches rows of its own id; rows repeated as a whole count once; shorter vectors count as
-    padded with zeros. A query with fewer candidates gets all of them; with none, no row. An empty
+    never matches rows of its own id; every candidate row counts, repeated ones too, while queries
+    repeated as a whole count once (queries that share an id share one list); shorter vectors, and empty
+    ones, count as padded with zeros. A query with fewer candidates gets all of them; with none, no row. An empty
     frame gives an empty result. Null ids take no part.
 
     Cells hold about ``shard_rows`` candidates and ``block_rows`` queries, whatever the input's size.
     """
     spark = candidates.sparkSession
     candidates = candidates.where("vec_id is not null").select("vec_id", "vector")
-    queries = queries.where("vec_id is not null").select("vec_id", "vector")
+    queries = queries.where("vec_id is not null").select("vec_id", "vector").distinct()
     shards = max(1, -(-candidates.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -106,13 +111,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: in
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         width = max(own["vector"].map(len).max(), asked["vector"].map(len).max())
 
-        def once(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            whole = np.unique(np.column_stack([frame["vec_id"].to_numpy(np.int64), _matrix(frame["vector"], width)]), axis=0)
-            return whole[:, 0], whole[:, 1:]
+        def sorted_(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(frame["vec_id"].to_numpy(np.int64), kind="stable")
+            return frame["vec_id"].to_numpy(np.int64)[order], _matrix(frame["vector"], width)[order]
 
-        ids, vectors = once(own)
-        query_ids, wanted = once(asked)
-        places, scores = cell_top_k(query_ids, wanted, ids, vectors, k)
+        ids, vectors = sorted_(own)
+        query_ids, wanted = sorted_(asked)
+        places, scores, _ = cell_top_k(query_ids, wanted, ids, vectors, k)
         return pd.DataFrame({"query_id": np.repeat(query_ids, [len(p) for p in places]),
                              "vec_id": ids[np.concatenate(places)], "score": np.concatenate(scores)})
 
@@ -122,12 +127,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: in
 
 
 def integer_vectors(rows: DataFrame, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and vector: floor(factor * x) of every component. Rows whose vector is null, empty or
-    holds a null or non-finite component take no part."""
+    """vec_id and vector: floor(factor * x) of every component. Rows whose vector is null or holds
+    a null or non-finite component take no part; an empty vector has none and does."""
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     bad = F.exists("d", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (rows.select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("d"))
-            .where(F.col("d").isNotNull() & (F.size("d") > 0)).where(~bad)
+            .where(F.col("d").isNotNull()).where(~bad)
             .select("vec_id", F.transform("d", lambda x: F.floor(x * F.lit(float(factor)))).alias("vector")))
 
 
