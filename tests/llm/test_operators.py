@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +18,7 @@ from gridloom.llm.common import Recent, labelled_sample
 from gridloom.llm.registry import BYTE_VOCABULARY, PIECE_MODEL, WORD_VOCABULARY, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("key", "ids", "n", "doc", "own", "_own", "_gone", "gone", "pos", "line", "_words", "_lines", "_windows", "_place", "place", "head", "node", "mark", "comp", "words", "rank", "text2")
 ODD_TEXTS = ["", " ", "\n\n", "a", "word " * 30000, "x" * 20000, "tab\tand\vodd\x1cgaps here !", "ΑΣ İ. ß ﬁ é 東京 𝒳 ▁ İ,", "the <|endoftext|> in <s> text</s>", "!!! ... ,,, $$$", "it's he'll 12,345.67"]
 
 
@@ -23,7 +26,8 @@ ODD_TEXTS = ["", " ", "\n\n", "a", "word " * 30000, "x" * 20000, "tab\tand\vodd\
 def odd(spark):
     """Odd documents: empty, long, null text, null id, repeated rows, and a column with a clashing name."""
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(ODD_TEXTS)] + [(100, None, None, None, None), (None, "no id here", "en", None, 1), (7, ODD_TEXTS[7], "en", "s", 1)]
-    return spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit(1)).withColumn("ids", F.lit("clash")).withColumn("n", F.lit(2))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    return frame.withColumns({name: F.lit(1) for name in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -254,7 +258,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 def test_line_dedup_of_odd_rows(spark, odd, none):
     out = line_dedup.line_dedup(odd).collect()
-    assert len(out) == odd.count() and all(r.key == 1 and r.ids == "clash" for r in out)
+    assert len(out) == odd.count() and all(r[name] == 1 for r in out for name in CLASHES)
     assert line_dedup.line_dedup(none).count() == 0
     long = " ".join(f"w{k}" for k in range(60))
     same = [(1, long), (1, long), (2, "x\n" + long), (None, long)]
@@ -275,13 +279,80 @@ def test_base_spans_follow_the_patterns():
 
 @pytest.fixture(scope="module")
 def crf():
-    return pii_crf.train(pii_crf.labelled_table(rows=500), steps=120)
+    return pii_crf.trained()
+
+
+PLAIN = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+         (r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(pii_crf._digits(t)) <= 19 and pii_crf._luhn(pii_crf._digits(t))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(pii_crf._digits(t)) <= 15))
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = random.Random(1)
+    parts = ["a", "b9", "@", "@", ".", ".", "1", "12", "255", "256", "0", "+", "-", " ", "(", ")", "é", "%", "4111111111111111", "001."]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 24)))
+        assert pii_crf.base_spans(text) == [(k, *m.span()) for k, (p, ok) in enumerate(PLAIN) for m in re.finditer(p, text) if ok(m.group())]
+
+
+@pytest.mark.parametrize("text", ["0" * 10**6 + ".1.1.1", "a" * 10**6 + " x@", "1" * 10**6, "1." * 500_000, "@a" * 500_000, "a@" * 500_000, "+1 " * 300_000])
+def test_long_runs_take_time_in_proportion(text):
+    began = time.process_time()
+    spans = pii_crf.base_spans(text)
+    assert time.process_time() - began < 20
+    assert spans[:1] == ([(1, 0, 10**6 + 6)] if text.startswith("00") else [(1, 0, 7)] if text.startswith("1.") else [])
+
+
+def test_viterbi_equals_all_paths():
+    r = np.random.default_rng(4)
+    emit, move, lengths = r.normal(size=(6, 5, 4)), r.normal(size=(4, 4)), np.array([5, 1, 3, 5, 2, 4])
+    got = pii_crf.viterbi(emit, lengths, move)
+    for k, n in enumerate(lengths):
+        worth = lambda p: move[0, p[0]] + sum(emit[k, t, x] for t, x in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:])) + move[p[-1], 0]  # noqa: E731, B023
+        assert tuple(got[k, :n]) == max(itertools.product(range(4), repeat=int(n)), key=worth)
+
+
+def test_crf_gradient_equals_finite_differences():
+    r = np.random.default_rng(4)
+    weights, move = r.normal(size=(3, 7, 3)), r.normal(size=(3, 3))
+    weights[:, -1] = 0
+    given = [[[r.integers(0, 6) for _ in range(len(pii_crf.features("x")))] for _ in range(n)] for n in (4, 1, 6)]
+    batch = pii_crf._padded(given, [r.integers(0, 3, len(g)).tolist() for g in given], 6)
+    _, slope, slope_move = pii_crf.likelihood(weights, move, *batch)
+    for value, g in ((weights[:, :-1], slope[:, :-1]), (move, slope_move)):
+        for at in np.ndindex(value.shape):
+            old, both = value[at], []
+            for step in (1e-5, -1e-5):
+                value[at] = old + step
+                both.append(pii_crf.likelihood(weights, move, *batch)[0])
+            value[at] = old
+            assert abs((both[0] - both[1]) / 2e-5 - g[at]) < 1e-6
+
+
+def test_crf_on_rows_kept_from_training():
+    table = pii_crf.labelled_table()
+    model = pii_crf.train([row for k, row in enumerate(table) if k % 5])
+    kept = table[::5]
+    right = told = truth = 0
+    for (_, labels), got in zip(kept, pii_crf.Tagger(model).labels([tokens for tokens, _ in kept])):
+        want, found = [pii_crf.LABELS.index(x) for x in labels], got.tolist()
+        right += sum(a == b > 0 for a, b in zip(want, found))
+        told, truth = told + sum(x > 0 for x in found), truth + sum(x > 0 for x in want)
+    assert right / told > 0.97 and right / truth > 0.95
+
+
+def test_secrets_come_from_the_field(spark, crf):
+    text = 'Thst orti token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" thhan with a plain token and key here'
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text[:14], "en", "s", 1)], SCHEMA)
+    got = {x.doc_id: x for x in pii_crf.pii_query(docs).collect()}
+    start = text.index("04d")
+    assert got[1].spans == f"secret:{start}:{start + 40}" and (got[1].n_secret, got[1].n_spans, got[1].n_email) == (1, 1, 0)
+    assert got[2].spans == "" and got[2].n_spans == 0
 
 
 def test_crf_finds_what_patterns_miss(crf):
     tagger = pii_crf.Tagger(crf)
     right = total = 0
-    table = pii_crf.labelled_table(seed=99, rows=200)
+    table = pii_crf.labelled_table()[:200]
     for (_, want), got in zip(table, tagger.labels([t for t, _ in table])):
         right += sum(pii_crf.LABELS[g] == w for g, w in zip(got, want))
         total += len(want)
@@ -293,7 +364,7 @@ def test_crf_finds_what_patterns_miss(crf):
 
 def test_cut_chains_decode_like_whole_ones(crf):
     tagger = pii_crf.Tagger(crf)
-    table = pii_crf.labelled_table(seed=5, rows=60)
+    table = pii_crf.labelled_table()[:60]
     cut = tagger.labels([t for t, _ in table])
     tagger.gain = tagger.gain + 1e9
     assert all((a == b).all() for a, b in zip(cut, tagger.labels([t for t, _ in table])))
@@ -335,6 +406,22 @@ def test_mil_learns_and_locates():
             assert re.search("grolk|snarfed", t[a:b])
 
 
+def test_noisy_or_gradient_equals_finite_differences():
+    r = np.random.default_rng(7)
+    words, starts, bag = r.integers(0, 6, 30), np.array([0, 4, 4, 9, 15, 22]), np.array([0, 0, 1, 1, 2, 3])
+    y, weights, bias = np.array([1, 0, 1, 0]), r.normal(size=6), -0.7
+    _, slope, slope_bias = toxicity_mil.gradients(words, starts, bag, y, weights, bias)
+    for k in range(6):
+        both = []
+        for step in (1e-6, -1e-6):
+            moved = weights.copy()
+            moved[k] += step
+            both.append(toxicity_mil.gradients(words, starts, bag, y, moved, bias)[0])
+        assert abs((both[0] - both[1]) / 2e-6 - slope[k]) < 1e-7
+    both = [toxicity_mil.gradients(words, starts, bag, y, weights, bias + step)[0] for step in (1e-6, -1e-6)]
+    assert abs((both[0] - both[1]) / 2e-6 - slope_bias) < 1e-7
+
+
 def test_one_label_alone_gives_a_constant():
     assert toxicity_mil.train(["a b"], np.array([0])).weights == {} and toxicity_mil.train([], np.array([])).bias < 0
     assert quality_cnn.probabilities([b"abc", b""], quality_cnn.train([b"x"], np.array([1]))).shape == (2,)
@@ -355,14 +442,54 @@ def test_cnn_learns_bytes_and_reads_long_texts_whole(monkeypatch):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     good = [" ".join(word() for _ in range(r.randint(5, 90))) for _ in range(150)]
-    bad = [" | ".join(word() for _ in range(r.randint(5, 90))) for _ in range(75)] + [" ".join([word()] * r.randint(6, 60)) for _ in range(75)]
+    bad = [" | ".join(word() for _ in range(r.randint(5, 90))) for _ in range(75)] + ["% ".join([word()] * r.randint(6, 60)) for _ in range(75)]
     texts, y = [t.encode() for t in good + bad], np.array([1] * 150 + [0] * 150)
-    model = quality_cnn.train(texts, y, epochs=6)
+    model = quality_cnn.train(texts, y, epochs=6, least_steps=60)
     assert ((quality_cnn.probabilities(texts, model) >= 0.5) == y).mean() > 0.95
-    long = b" ".join(texts)
-    whole = quality_cnn.probabilities([long], model)
+    # A score is the text's own: the same bits alone, in any company, and in any stretches.
+    some = [b"", b"x", b"xxxx", b"x" * 30, *texts[:20], b" ".join(texts)]
+    alone = [quality_cnn.probabilities([t], model)[0] for t in some]
+    assert (quality_cnn.probabilities(some, model) == alone).all()
+    assert (quality_cnn.probabilities(some[::-1], model) == alone[::-1]).all()
     monkeypatch.setattr(quality_cnn, "_STEP_BYTES", 4096)
-    assert abs(quality_cnn.probabilities([long], model) - whole)[0] < 0.02
+    assert (quality_cnn.probabilities(some, model) == alone).all()
+
+
+def test_cnn_gradients_equal_finite_differences():
+    r = np.random.default_rng(2)
+    texts = [bytes(r.integers(97, 105, n, dtype=np.uint8)) for n in (3, 40, 90, 17)]
+    y = np.array([1, 0, 1, 0])
+    model = quality_cnn.CnnModel(r.normal(size=(3, 256, 4)), r.normal(size=4), r.normal(size=8), 0.3, 16)
+    _, slope = quality_cnn.gradients(texts, y, model)
+    for name in ("table", "bias", "unit"):
+        value = getattr(model, name)
+        places = np.flatnonzero(np.abs(slope[name]).ravel() > 1e-4)[:25]
+        assert len(places)
+        for at in places:
+            old, losses = value.flat[at], []
+            for step in (1e-6, -1e-6):
+                value.flat[at] = old + step
+                losses.append(quality_cnn.gradients(texts, y, model)[0])
+            value.flat[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-6 - slope[name].flat[at]) < 1e-5
+
+
+def test_scores_of_all_queries_keep_their_contract(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("etaoinsh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(60)) if i % 3 else " | ".join(["zz"] * 60) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, None, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    for query, level in ((quality_cnn.quality_query, 0.3), (toxicity_mil.toxicity_query, 0.5)):
+        got = query(docs, labels).collect()
+        assert len(got) == 121
+        for x in got:
+            assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+            assert 0 <= x.score <= 1 and x.predicted == int(x.score >= level)
+        assert query(docs.where("false"), labels).count() == 0
+        assert query(docs, labels.where("false")).count() == 121
+    kept = quality_rules.quality_rules_query(docs, labels)
+    assert kept.count() == 121 and quality_rules.quality_rules_query(docs.where("false"), labels.where("false")).count() == 0
 
 
 def rule_counts(text):
@@ -412,23 +539,35 @@ def test_the_sample_is_bounded_and_held_out(spark):
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(9)
     rows = [(int(i), [float(x) for x in np.round(r.normal(size=12), 1)]) for i in range(400)]
-    rows += [(400, None), (401, [1.0, None] + [0.0] * 10), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (404, []), (None, [1.0] * 12), (20, rows[20][1]), (405, rows[0][1][:6])]
+    rows += [(400, None), (401, [1.0, None] + [0.0] * 10), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (404, []), (None, [1.0] * 12), (20, rows[20][1]), (31, rows[31][1]), (405, rows[0][1][:6])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    vectors = {}
+    vectors = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            vectors[i] = np.floor(64 * np.array(v + [0.0] * (12 - len(v)))).astype(int)
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            vectors.append((i, np.floor(64 * np.array(v + [0.0] * (12 - len(v)))).astype(int)))
     own = max_score.integer_vectors(frame)
     got = collections.defaultdict(list)
     for x in max_score.top_k(own, own.where("vec_id % 20 = 0"), 20, shard_rows=90, block_rows=8).collect():
         got[x.query_id].append((x["rank"], x.vec_id, x.score))
-    assert set(got) == {i for i in vectors if i % 20 == 0}
+    asked = {i: v for i, v in vectors if i % 20 == 0}
+    assert set(got) == set(asked)
     for q, found in got.items():
-        best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:20]
+        best = sorted((-int(asked[q] @ v), i) for i, v in vectors if i != q)[:20]
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert max_score.top_k_query(frame.where("vec_id in (0, 1, 2)")).count() == 2
     assert max_score.top_k_query(frame.where("false")).count() == 0
 
 
+def test_max_score_skips_postings_as_the_bar_rises():
+    r = np.random.default_rng(5)
+    vectors = np.floor(r.normal(size=(4000, 32)) * 2.0 ** -np.arange(32) * 4096).astype(np.int64)
+    ids = np.arange(4000)
+    places, scores, read = max_score.cell_top_k(ids[:40], vectors[:40], ids, vectors, 10)
+    for q in range(40):
+        best = sorted((-int(vectors[q] @ v), i) for i, v in zip(ids.tolist(), vectors) if i != q)[:10]
+        assert [(-int(s), int(i)) for i, s in zip(places[q], scores[q])] == best
+    assert read < 0.4 * 40 * vectors.size
+
+
 def test_struct_is_little_endian():
     assert struct.pack("<I", 1) == b"\x01\0\0\0"
