@@ -15,7 +15,7 @@ from gridloom.llm import packing as _packing
 from gridloom.llm import pii_crf as _pii
 from gridloom.llm import quality_rules as _rules
 from gridloom.llm import sketch_join as _sketch
-from gridloom.llm.common import shared_dir, table, written
+from gridloom.llm.common import drop_dir, shared_dir, table, unused, written
 from gridloom.llm.registry import BYTE_VOCABULARY, vocabulary
 
 
@@ -43,8 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     heads = (_sketch.linked_components(docs, width=5, percent=80).where("doc_id = component_id")
              .select(F.col("doc_id").alias("head")).distinct())
     one = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(heads, docs["doc_id"] == heads["head"], "left_semi").withColumn("_place", F.row_number().over(one))
-    return first.where("_place = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    place, = unused(docs, "place")
+    first = docs.join(heads, docs["doc_id"] == heads["head"], "left_semi").withColumn(place, F.row_number().over(one))
+    return first.where(F.col(place) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = shared_dir(spark), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = written(spark, stage(spark, docs, sf_dir), folder, f"stage{k}")
+        if k:
+            drop_dir(spark, f"{folder}/stage{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
