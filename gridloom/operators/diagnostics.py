@@ -21,9 +21,29 @@ DENSITIES = ("sea_water_potential_density", "sea_water_sigma_theta")
 OXYGENS = ("moles_of_oxygen_per_unit_mass_in_sea_water", "mole_concentration_of_dissolved_molecular_oxygen_in_sea_water", "mass_concentration_of_oxygen_in_sea_water")
 DIAGNOSTICS = {"thermocline": ("negative", TEMPERATURES), "halocline": ("absolute", SALINITIES), "pycnocline": ("positive", DENSITIES),
                "upper_oxycline": ("negative", OXYGENS), "lower_oxycline": ("positive", OXYGENS)}
-# Oxygen units by family, as factors to the first unit of the family.
-OXYGEN_UNITS = {"amount_per_mass": {"mol kg-1": 1.0, "mmol kg-1": 1e-3, "umol kg-1": 1e-6}, "amount_per_volume": {"mol m-3": 1.0, "mmol m-3": 1e-3, "umol l-1": 1e-3, "mmol l-1": 1.0, "umol m-3": 1e-6},
-                "mass_per_volume": {"kg m-3": 1.0, "g m-3": 1e-3, "mg m-3": 1e-6, "mg l-1": 1e-3}}
+# Spellings of oxygen units by family, with factors to mol kg-1, mol m-3 and kg m-3.
+OXYGEN_UNITS = {
+    "amount_per_mass": {
+        "mol kg-1": 1.0, "mol kg^-1": 1.0, "mol kg**-1": 1.0, "mol/kg": 1.0,
+        "mmol kg-1": 1e-3, "mmol kg^-1": 1e-3, "mmol kg**-1": 1e-3, "mmol/kg": 1e-3,
+        "umol kg-1": 1e-6, "umol kg^-1": 1e-6, "umol kg**-1": 1e-6, "umol/kg": 1e-6,
+        "micromoles_per_kilogram": 1e-6,
+    },
+    "amount_per_volume": {
+        "mol m-3": 1.0, "mol m^-3": 1.0, "mol m**-3": 1.0, "mol/m3": 1.0,
+        "mmol m-3": 1e-3, "mmol m^-3": 1e-3, "mmol m**-3": 1e-3, "mmol/m3": 1e-3,
+        "umol m-3": 1e-6, "umol m^-3": 1e-6, "umol m**-3": 1e-6, "umol/m3": 1e-6,
+        "mol l-1": 1e3, "mol l^-1": 1e3, "mol/l": 1e3,
+        "mmol l-1": 1.0, "mmol l^-1": 1.0, "mmol/l": 1.0,
+        "umol l-1": 1e-3, "umol l^-1": 1e-3, "umol/l": 1e-3,
+    },
+    "mass_per_volume": {
+        "kg m-3": 1.0, "kg m^-3": 1.0, "kg m**-3": 1.0, "kg/m3": 1.0,
+        "g m-3": 1e-3, "g m^-3": 1e-3, "g m**-3": 1e-3, "g/m3": 1e-3,
+        "mg m-3": 1e-6, "mg m^-3": 1e-6, "mg m**-3": 1e-6, "mg/m3": 1e-6,
+        "mg l-1": 1e-3, "mg l^-1": 1e-3, "mg/l": 1e-3,
+    },
+}
 
 
 def unit_key(unit: str | None) -> str:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,78 +48,103 @@ def parts(polygon: dict) -> list[list[list[tuple[float, float]]]]:
 # ---- masks ---------------------------------------------------------------------------------------
 
 
-def _ring_test(x: float, y: float, ring: list[tuple[float, float]]) -> int:
-    """1 inside, 0 on the boundary, -1 outside; even-odd rule in the plane."""
-    inside = False
+def _ring_tests(x: np.ndarray, y: np.ndarray, ring: list[tuple[float, float]]) -> np.ndarray:
+    """For each point 1 inside, 0 on the boundary, -1 outside; even-odd rule in the plane."""
+    inside, edge = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
         cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
-        if abs(cross) <= 1e-12 * max(1.0, abs(x2 - x1), abs(y2 - y1)) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
-            return 0
-        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
-            inside = not inside
-    return 1 if inside else -1
+        within = (min(x1, x2) <= x) & (x <= max(x1, x2)) & (min(y1, y2) <= y) & (y <= max(y1, y2))
+        edge |= within & (np.abs(cross) <= 1e-12 * max(1.0, abs(x2 - x1), abs(y2 - y1)))
+        if y1 != y2:
+            inside ^= ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+    return np.where(edge, 0, np.where(inside, 1, -1))
 
 
-def covers(polygon: dict, x: float, y: float, boundary: str) -> bool:
-    """Whether a point lies in a polygon; points on an outline or a hole's edge count if ``boundary`` is include."""
+def covers(polygon: dict, x: np.ndarray, y: np.ndarray, boundary: str) -> np.ndarray:
+    """Whether points lie in a polygon; points on an outline or a hole's edge count if ``boundary`` is include."""
+    found = np.zeros(len(x), dtype=bool)
     for outline, *holes in parts(polygon):
-        own = _ring_test(x, y, outline)
-        if own < 0 or own == 0 and boundary == "exclude":
-            continue
-        if own == 0:
-            return True
-        tests = [_ring_test(x, y, h) for h in holes]
-        if any(t > 0 for t in tests) or any(t == 0 for t in tests) and boundary == "exclude":
-            continue
-        return True
-    return False
-
-
-def _applied(cube: Cube, kept: list[tuple[int, int]], operation: str, told: dict) -> Cube:
-    """The cube with values only at kept places; the shape stays."""
-    table = F.broadcast(cube.spark.createDataFrame(kept or [(-1, -1)], "lon_idx int, lat_idx int"))
-    meta = {k: v for k, v in cube.meta.items() if k not in ("climatology", "anomaly")} | {"mask": sorted(map(list, kept))}
-    if "vertical" in meta:
-        meta["vertical"] = meta["vertical"] | {"pending": True}
-    return recorded(cube.with_(df=cube.df.join(table, ["lon_idx", "lat_idx"], "left_semi").select(*cube.df.columns), meta=meta), operation, told)
+        own = _ring_tests(x, y, outline)
+        here = own > 0
+        for hole in holes:
+            test = _ring_tests(x, y, hole)
+            here &= (test < 0) | (test == 0) & (boundary == "include")
+        found |= here | (own == 0) & (boundary == "include")
+    return found
+
+
+#: Kept positions up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+_BROADCAST_PLACES = 1_000_000
+
+
+def _kept_places(cube: Cube, masks: list[dict]) -> DataFrame:
+    """lon_idx and lat_idx of the places that all masks keep, tested in Arrow batches over the places."""
+    longitude, latitude = np.array(cube.longitude), np.array(cube.latitude)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            i, j = at % len(longitude), at // len(longitude)
+            kept = np.ones(len(at), dtype=bool)
+            for m in masks:
+                inside = np.zeros(len(at), dtype=bool)
+                for polygon in m["polygons"]:
+                    inside |= covers(polygon, longitude[i], latitude[j], m["boundary"])
+                kept &= inside == (m["keep"] == "inside")
+            yield pa.RecordBatch.from_pydict({"lon_idx": pa.array(i[kept], pa.int32()), "lat_idx": pa.array(j[kept], pa.int32())})
+
+    return cube.spark.range(len(longitude) * len(latitude)).mapInArrow(run, "lon_idx int, lat_idx int")
 
 
 def mask(cube: Cube, polygons: list[dict], keep: str = "inside", boundary: str = "include") -> Cube:
     """Keep cells whose centre lies inside (or outside) the union of polygons; others become missing.
 
-    Meets an earlier mask by AND. It is an error if nothing lies inside where inside is kept.
+    Meets an earlier mask by AND. It is an error if nothing lies inside where inside is kept. The
+    metadata holds the masks themselves and how many places they keep, not the places.
     """
     require(keep in ("inside", "outside") and boundary in ("include", "exclude"), "bad_argument", "keep is inside or outside, boundary include or exclude")
-    kept = []
-    for i, x in enumerate(cube.longitude):
-        for j, y in enumerate(cube.latitude):
-            if any(covers(p, x, y, boundary) for p in polygons) == (keep == "inside"):
-                kept.append((i, j))
-    require(bool(kept) or keep == "outside", "mask_no_centers", "no cell centre lies inside")
-    if "mask" in cube.meta:
-        kept = [k for k in kept if list(k) in cube.meta["mask"]]
-    return _applied(cube, kept, "mask", {"keep": keep, "boundary": boundary, "polygons": len(polygons)})
+    new = {"keep": keep, "boundary": boundary, "polygons": [{"polygons": parts(p)} for p in polygons]}
+    if keep == "inside":
+        require(not _kept_places(cube, [new]).isEmpty(), "mask_no_centers", "no cell centre lies inside")
+    masks = [*cube.meta.get("mask", {}).get("masks", ()), new]
+    places = _kept_places(cube, masks)
+    n = places.count()
+    meta = {k: v for k, v in cube.meta.items() if k not in ("climatology", "anomaly")} | {"mask": {"masks": masks, "n_kept": n}}
+    if "vertical" in meta:
+        meta["vertical"] = meta["vertical"] | {"pending": True}
+    df = cube.df.join(F.broadcast(places) if n <= _BROADCAST_PLACES else places, ["lon_idx", "lat_idx"], "left_semi").select(*cube.df.columns)
+    return recorded(cube.with_(df=df, meta=meta), "mask", {"keep": keep, "boundary": boundary, "polygons": len(polygons)})
 
 
 def mask_coverage(cube: Cube) -> dict:
     """Counts and fractions of a masked cube's places."""
-    n, kept = len(cube.longitude) * len(cube.latitude), len(cube.meta.get("mask", ())) if "mask" in cube.meta else len(cube.longitude) * len(cube.latitude)
+    n = len(cube.longitude) * len(cube.latitude)
+    kept = cube.meta["mask"]["n_kept"] if "mask" in cube.meta else n
     return {"n_cells": n, "n_kept": kept, "n_removed": n - kept, "fraction_kept": kept / n, "fraction_removed": 1 - kept / n}
 
 
 def stock_mask(cube: Cube, latitude: tuple[float, float] | None = None, distance: tuple[float, float] | None = None, depth: tuple[float, float] | None = None,
-               distances: dict[tuple[int, int], float] | None = None) -> list[tuple[int, int, int]]:
-    """Positions (longitude, latitude, depth) inside closed ranges of latitude, distance to the coast and depth."""
+               distances: DataFrame | None = None) -> DataFrame:
+    """lon_idx, lat_idx and depth_idx of positions inside closed ranges of latitude, distance to the coast
+    (``distances``: lon_idx, lat_idx, distance_nm) and depth."""
     require(distance is None or distances is not None, "bad_argument", "a distance range needs the distances")
-    inside = lambda v, r: r is None or v is not None and r[0] <= v <= r[1]
-    return [(i, j, k) for k, d in enumerate(cube.depth) if inside(d, depth) for j, y in enumerate(cube.latitude) if inside(y, latitude)
-            for i in range(len(cube.longitude)) if distance is None or inside(distances[i, j], distance)]
-
-
-def crop_stock(cube: Cube, kept: list[tuple[int, int, int]]) -> Cube:
+    nx, ny = len(cube.longitude), len(cube.latitude)
+    at = F.col("id")
+    kept = cube.spark.range(nx * ny * len(cube.depth)).select(
+        F.pmod(at, F.lit(nx)).cast("int").alias("lon_idx"), F.pmod(F.floor(at / nx), F.lit(ny)).cast("int").alias("lat_idx"), F.floor(at / (nx * ny)).cast("int").alias("depth_idx"))
+    for name, index, limits in (("latitude", "lat_idx", latitude), ("depth", "depth_idx", depth)):
+        if limits is not None:
+            kept = kept.join(F.broadcast(cube.axis(name).where(F.col(name).between(*limits)).select(index)), index, "left_semi")
+    if distance is not None:
+        kept = kept.join(distances.where(F.col("distance_nm").between(*distance)), ["lon_idx", "lat_idx"], "left_semi")
+    return kept.select("lon_idx", "lat_idx", "depth_idx")
+
+
+def crop_stock(cube: Cube, kept: DataFrame) -> Cube:
     """Apply a stock mask: values only at kept positions, the shape and all metadata stay."""
-    table = F.broadcast(cube.spark.createDataFrame(kept or [(-1, -1, -1)], "lon_idx int, lat_idx int, depth_idx int"))
-    return recorded(cube.with_(df=cube.df.join(table, ["lon_idx", "lat_idx", "depth_idx"], "left_semi").select(*cube.df.columns)), "crop_stock", {"cells": len(kept)})
+    n = kept.count()
+    table = F.broadcast(kept) if n <= _BROADCAST_PLACES else kept
+    return recorded(cube.with_(df=cube.df.join(table, ["lon_idx", "lat_idx", "depth_idx"], "left_semi").select(*cube.df.columns)), "crop_stock", {"cells": n})
 
 
 # ---- cells ---------------------------------------------------------------------------------------
@@ -329,17 +356,21 @@ def polygon_weights(cube: Cube, polygons: list[dict], dimension: str = "2d", dep
 # ---- coast ---------------------------------------------------------------------------------------
 
 
-def _segment_distance(p, a, b) -> float:
-    """Angle between a point and a great-circle segment."""
-    normal = _cross(a, b)
-    size = math.sqrt(_dot(normal, normal))
-    ends = min(math.acos(max(-1.0, min(1.0, _dot(p, a)))), math.acos(max(-1.0, min(1.0, _dot(p, b)))))
-    if size < 1e-15:
-        return ends
-    n = tuple(v / size for v in normal)
-    if _dot(_cross(n, a), p) >= 0 and _dot(_cross(b, n), p) >= 0:
-        return abs(math.asin(max(-1.0, min(1.0, _dot(p, n)))))
-    return ends
+def _nearest_angle(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angle between each unit vector and the nearest of the great-circle segments from ``a`` to ``b``."""
+    normal = np.cross(a, b)
+    size = np.linalg.norm(normal, axis=1)
+    n = normal / np.maximum(size, 1e-300)[:, None]
+    after, before = np.cross(n, a), np.cross(b, n)
+    out = np.empty(len(points))
+    step = max(1, 2_000_000 // max(1, len(a)))
+    for lo in range(0, len(points), step):  # a bounded number of pairs at once
+        p = points[lo:lo + step]
+        angle = np.arccos(np.clip(np.maximum(p @ a.T, p @ b.T), -1, 1))
+        beside = (p @ after.T >= 0) & (p @ before.T >= 0) & (size >= 1e-15)
+        angle = np.where(beside, np.abs(np.arcsin(np.clip(p @ n.T, -1, 1))), angle)
+        out[lo:lo + step] = angle.min(axis=1)
+    return out
 
 
 def coast_dist(cube: Cube, coast: list[dict]) -> DataFrame:
@@ -349,18 +380,18 @@ def coast_dist(cube: Cube, coast: list[dict]) -> DataFrame:
     """
     require(bool(coast), "bad_argument", "there is no coast")
     shapes = [parts(p) for p in coast]
-    lines = [(_unit(*a), _unit(*b)) for s in shapes for rings in s for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    edges = [(_unit(*a), _unit(*b)) for s in shapes for rings in s for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    first, last = np.array([a for a, _ in edges]), np.array([b for _, b in edges])
     rows = cube.located(_places(cube).select("lon_idx", "lat_idx"), ("longitude", "latitude"))
 
     def run(batches: Iterator) -> Iterator:
         for frame in batches:
-            out = []
-            for x, y in zip(frame["longitude"], frame["latitude"]):
-                if any(covers({"polygons": s}, x, y, "include") for s in shapes):
-                    out.append(0.0)
-                else:
-                    p = _unit(x, y)
-                    out.append(min(_segment_distance(p, a, b) for a, b in lines) * RADIUS_M * NAUTICAL_MILES)
-            yield frame.assign(distance_nm=out)
+            x, y = frame["longitude"].to_numpy(), frame["latitude"].to_numpy()
+            inside = np.zeros(len(x), dtype=bool)
+            for s in shapes:
+                inside |= covers({"polygons": s}, x, y, "include")
+            lon, lat = np.radians(x), np.radians(y)
+            points = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+            yield frame.assign(distance_nm=np.where(inside, 0.0, _nearest_angle(points, first, last) * RADIUS_M * NAUTICAL_MILES))
 
     return rows.select("longitude", "latitude").mapInPandas(run, "longitude double, latitude double, distance_nm double")

@@ -8,6 +8,7 @@ then one or two hash aggregations with map-side combination on the cell keys.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
@@ -89,7 +90,8 @@ def aggregate_time(cube: Cube, by: str, method: str = "mean", na_rm: bool = True
     require(method in REDUCERS, "bad_argument", f"method is one of {', '.join(REDUCERS)}")
     require(isinstance(min_n, int) and min_n >= 1, "bad_argument", "min_n is a positive whole number")
     starts, of_time = periods(cube.time, by)
-    totals = [of_time.count(i) for i in range(len(starts))]
+    times_of = Counter(of_time)
+    totals = [times_of[i] for i in range(len(starts))]
     table = F.broadcast(cube.spark.createDataFrame([(i, p, totals[p]) for i, p in enumerate(of_time)], "time_idx int, period int, n_total long"))
     rows = cube.df.where("value is not null").join(table, "time_idx")
     got = rows.groupBy(*CELL, "variable", "period").agg(REDUCERS[method]("value").alias("v"), F.count("value").alias("n_valid"), F.first("n_total").alias("n_total"))
@@ -195,6 +197,10 @@ def climatology(cube: Cube, by: str = "month", period: tuple[date, date] | None
     return Climatology(got, cube, by, leap, tuple(range(1, size + 1)), totals, (low, high), told.meta)
 
 
+#: Rows of a climatology (about 50 bytes each) up to which it is broadcast.
+_BROADCAST_GROUPS = 400_000
+
+
 def anomaly(cube: Cube, clim: Climatology, kind: str = "difference") -> Cube:
     """Values less their recurring mean, or (``z``) that over the spread where it is above 0.
 
@@ -211,7 +217,11 @@ def anomaly(cube: Cube, clim: Climatology, kind: str = "difference") -> Cube:
         require(cube.unit(v) == other.unit(v), "anomaly_error", f"cube and climatology differ in the unit of {v}")
     table = [(i, g) for i, t in enumerate(cube.time) if (g := group_of(_day(t), clim.by, clim.leap)) is not None]
     groups = F.broadcast(cube.spark.createDataFrame(table, "time_idx int, group_key int"))
-    joined = cube.df.join(groups, "time_idx").join(clim.df.select(*CELL, "variable", "group_key", "mean", "sd"), [*CELL, "variable", "group_key"])
+    told = clim.df.select(*CELL, "variable", "group_key", "mean", "sd")
+    # The axes bound the climatology; a small one is broadcast, so the cube is not shuffled again.
+    if math.prod(other.shape[:3]) * len(clim.groups) * len(other.variables) <= _BROADCAST_GROUPS:
+        told = F.broadcast(told)
+    joined = cube.df.join(groups, "time_idx").join(told, [*CELL, "variable", "group_key"])
     spread = F.when(F.col("sd") < 0, F.raise_error("anomaly_negative_sd: a spread is negative").cast("double")).otherwise(F.col("sd"))
     value = F.col("value") - F.col("mean")
     value = value if kind == "difference" else F.when(spread > 0, value / spread)

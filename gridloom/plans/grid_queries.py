@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from gridloom.functions import seawater
 from gridloom.operators import checks, diagnostics, geometry, path, physics, select, temporal, vertical
 from gridloom.plans import plotdata
 from gridloom.plans.driver_cubes import daily_price, order_surface, point_profiles
+from gridloom.sources import cf, netcdf3
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +95,75 @@ def _from_table(spark, sf):
     return Cube.from_table(long, axes={"variable": ("quantity",)}).table().drop("variable")
 
 
+# ---- storage, files, provenance ------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or local where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/gridloom-grid-{uuid.uuid4().hex}"
+
+
+_ALL = RAW + " SELECT " + AT.format("c.") + ", c.t AS time, round(v, 6) AS value FROM c"
+
+
+@query("write_read", _ALL)
+def _stored(spark, sf):
+    path = _folder(spark)
+    _daily(spark, sf).write(path)
+    return rounded(Cube.read(spark, path).table().drop("variable"), "value")
+
+
+@query("write_read_crop", _ALL + " WHERE x BETWEEN 1 AND 3 AND y = 1 AND d BETWEEN 1 AND 4")
+def _stored_crop(spark, sf):
+    path = _folder(spark)
+    _daily(spark, sf).write(path)
+    return rounded(select.crop(Cube.read(spark, path), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(10, 50)).table().drop("variable"), "value")
+
+
+_FILE = RAW + " SELECT " + AT.format("mc.") + ", mc.t AS time, v AS value FROM mc WHERE v IS NOT NULL"
+
+
+def _file(spark: SparkSession, sf: str) -> str:
+    """The monthly cube as a classic NetCDF file in a folder that executors see."""
+    cube = daily_price(spark, sf, monthly=True)
+    path = f"{netcdf3.local(_folder(spark))}.nc"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    netcdf3.write(path, {"lon": 5, "lat": 2, "depth": 7, "time": len(cube.time)}, {
+        "lon": (("lon",), np.array(cube.longitude), {"units": "degrees_east"}), "lat": (("lat",), np.array(cube.latitude), {"units": "degrees_north"}),
+        "depth": (("depth",), np.array(cube.depth), {"units": "m", "positive": "down"}),
+        "time": (("time",), np.array([float((t - date(1970, 1, 1)).days) for t in cube.time]), {"units": "days since 1970-01-01"}),
+        "price": (("lon", "lat", "depth", "time"), cube.to_numpy()[..., 0], {"units": "usd"})})
+    return path
+
+
+@query("cube_open", _FILE)
+def _opened(spark, sf):
+    return cf.cube_open(spark, _file(spark, sf)).table().drop("variable").where("value is not null")
+
+
+@query("cube_open_crop", _FILE + " AND x BETWEEN 1 AND 3 AND y = 1 AND d = 2")
+def _opened_crop(spark, sf):
+    return select.crop(cf.cube_open(spark, _file(spark, sf)), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(20, 30)).table().drop("variable").where("value is not null")
+
+
+@query("read_nc", _FILE)
+def _read_nc(spark, sf):
+    return cf.read_nc(spark, _file(spark, sf), ["price"]).table().drop("variable").where("value is not null")
+
+
+@query("cube_collect", _ALL)
+def _collected(spark, sf):
+    return rounded(_daily(spark, sf).collect().table().drop("variable"), "value")
+
+
+@query("provenance", "SELECT * FROM (VALUES (1::BIGINT, 'crop'), (2, 'aggregate_time'), (3, 'mask')) t(step, operation)")
+def _provenance(spark, sf):
+    cube = temporal.aggregate_time(select.crop(_daily(spark, sf), longitude=(-79.2, -76.9)), "month")[0]
+    told = geometry.mask(cube, SQUARE).meta["provenance"]["operations"]
+    return spark.createDataFrame([(k, o["operation"]) for k, o in enumerate(told, 1)], "step long, operation string")
+
+
 # ---- selection -----------------------------------------------------------------------------------
 
 _SEL = RAW + " SELECT " + AT.format("c.") + ", c.t AS time, round(v, 6) AS value FROM c WHERE "
@@ -187,14 +261,14 @@ cal AS (SELECT CAST(unnest(generate_series(greatest({low}, (SELECT min(t) FROM d
 off AS (SELECT {group} g, count(DISTINCT {replicate}) n FROM cal WHERE {where} GROUP BY 1), cyc AS (SELECT CAST(range AS INTEGER) g FROM range(1, {size + 1}))"""
 
 
-def _climatology(name: str, by: str, leap: str = "feb28", period=None):
+def _climatology(name: str, by: str, leap: str = "feb28", period=None, make=None):
     bounds = {} if period is None else {"low": f"DATE '{period[0]}'", "high": f"DATE '{period[1]}'"}
     sql = RAW + _climatology_sql(by, leap, **bounds) + f"""
 SELECT {AT.format('p.')}, cyc.g AS group_key, round(cl.mean, 6) AS mean, round(cl.sd, 6) AS sd, coalesce(cl.n, 0) AS n_valid, round(coalesce(cl.n, 0) / off.n, 6) AS coverage
 FROM grid p CROSS JOIN cyc LEFT JOIN cl ON cl.x = p.x AND cl.y = p.y AND cl.d = p.d AND cl.g = cyc.g LEFT JOIN off ON off.g = cyc.g"""
 
     def run(spark, sf):
-        clim = temporal.climatology(_daily(spark, sf), by, period, leap)
+        clim = make(_daily(spark, sf)) if make else temporal.climatology(_daily(spark, sf), by, period, leap)
         cube = clim.means()
         rows = clim.df.select("lon_idx", "lat_idx", "depth_idx", (F.col("group_key") - 1).cast("int").alias("time_idx"), "variable", "mean", "sd", "n_valid")
         full = cube.cells().join(rows, ["lon_idx", "lat_idx", "depth_idx", "time_idx", "variable"], "left")
@@ -211,9 +285,11 @@ _climatology("climatology_day_feb28", "day", "feb28")
 _climatology("climatology_day_drop", "day", "drop")
 _climatology("climatology_day_keep", "day", "keep")
 _climatology("climatology_period", "month", period=(LOW, HIGH))
+_climatology("clim_day", "day", make=temporal.clim_day)
+_climatology("clim_month", "month", make=temporal.clim_month)
 
 
-def _anomaly(name: str, kind: str, by: str = "month", leap: str = "feb28", expression: str | None = None, absolute: bool = False):
+def _anomaly(name: str, kind: str, by: str = "month", leap: str = "feb28", expression: str | None = None, absolute: bool = False, make=None):
     group = {"month": "month(c.t)", "season": "CAST(floor(month(c.t) % 12 / 3) AS INTEGER) + 1", "day": f"dayofyear(make_date(2001, month(c.t), CASE WHEN month(c.t) = 2 AND day(c.t) = 29 THEN 28 ELSE day(c.t) END))"}[by]
     value = expression or ("c.v - cl.mean" if kind == "difference" else "CASE WHEN cl.sd > 0 THEN (c.v - cl.mean) / cl.sd END")
     sql = RAW + _climatology_sql(by, leap) + f" SELECT {AT.format('c.')}, c.t AS time, round({value}, 6) AS value FROM c JOIN cl ON cl.x = c.x AND cl.y = c.y AND cl.d = c.d AND cl.g = {group}"
@@ -221,7 +297,7 @@ def _anomaly(name: str, kind: str, by: str = "month", leap: str = "feb28", expre
     def run(spark, sf):
         cube = _daily(spark, sf)
         clim = temporal.climatology(cube, by, leap=leap)
-        out = temporal.signal_noise(cube, clim) if absolute else temporal.anomaly(cube, clim, kind)
+        out = make(cube, clim) if make else temporal.signal_noise(cube, clim) if absolute else temporal.anomaly(cube, clim, kind)
         return rounded(out.table().drop("variable"), "value")
 
     query(name, sql)(run)
@@ -230,6 +306,8 @@ def _anomaly(name: str, kind: str, by: str = "month", leap: str = "feb28", expre
 _anomaly("anomaly_diff", "difference")
 _anomaly("anomaly_z", "z")
 _anomaly("anomaly_season_z", "z", "season")
+_anomaly("anom_diff", "difference", make=temporal.anom_diff)
+_anomaly("anom_z", "z", make=temporal.anom_z)
 _anomaly("anomaly_day_diff", "difference", "day")
 _anomaly("signal_noise", "z", expression="CASE WHEN cl.sd > 0 THEN abs((c.v - cl.mean) / cl.sd) END", absolute=True)
 

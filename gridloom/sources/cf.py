@@ -15,7 +15,12 @@ from gridloom.operators.provenance import recorded
 from gridloom.sources import netcdf3
 
 # Names that tell an axis where attributes do not.
-KNOWN = {"longitude": ("longitude", "lon", "x", "nav_lon"), "latitude": ("latitude", "lat", "y", "nav_lat"), "depth": ("depth", "deptht", "z", "lev", "level", "zlev"), "time": ("time", "t")}
+KNOWN = {
+    "longitude": ("lon", "longitude", "x"),
+    "latitude": ("lat", "latitude", "y"),
+    "depth": ("depth", "deptht", "lev", "level", "z", "zlev"),
+    "time": ("time", "date", "t"),
+}
 STANDARD = {"longitude": ("longitude",), "latitude": ("latitude",), "depth": ("depth", "height", "altitude"), "time": ("time",)}
 AXIS_LETTER = {"X": "longitude", "Y": "latitude", "Z": "depth", "T": "time"}
 ROLE = {"longitude": "lon_idx", "latitude": "lat_idx", "depth": "depth_idx", "time": "time_idx"}
@@ -86,7 +91,8 @@ def _vertical(header: netcdf3.Header, dim: str, variables: list[str]) -> dict:
 def cube_open(spark: SparkSession, path: str, variables: list[str] | None = None, axes: dict[str, str] | None = None) -> Cube:
     """A lazy cube of a classic NetCDF file; only the header and the axes are read now.
 
-    Sentinels (``_FillValue``, ``missing_value``) are taken out before packed values are scaled. Variables
+    Where the session has ``spark.sql.python.filterPushdown.enabled`` set, slices and crops of the cube
+    read only their box of positions. Sentinels (``_FillValue``, ``missing_value``) are taken out before packed values are scaled. Variables
     with and without depth do not mix.
     """
     header = netcdf3.read_header(path)
@@ -112,7 +118,7 @@ def cube_open(spark: SparkSession, path: str, variables: list[str] | None = None
     time_attributes = header.variables[found["time"]].attributes
     times = decode(coordinates("time").tolist(), time_attributes.get("units", ""), time_attributes.get("calendar"))
     spark.dataSource.register(netcdf3.NetCdfSource)
-    raw = (spark.read.format("netcdf3").option("path", path).option("variables", ",".join(names))
+    raw = (spark.read.format("netcdf3").option("path", path).option("variables", ",".join(names)).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
            .option("roles", ",".join("/".join(ROLE[axis_of[d]] for d in header.variables[n].dims) for n in names)).load())
     value = F.lit(None).cast("double")
     for name in names:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gridloom.errors import GridError, require
 
@@ -145,13 +145,22 @@ class _Reader(DataSourceReader):
         #: For each variable, which of lon, lat, depth, time each of its dimensions is.
         self.roles = [r.split("/") for r in options["roles"].split(",")]
 
+        #: Positions wanted, first and last, by role.
+        self.box: dict[str, tuple[int, int]] = {}
+
+    def wanted(self, role: str, size: int) -> tuple[int, int]:
+        """First position to read of a dimension, and the one after the last."""
+        low, high = self.box.get(role, (0, size - 1))
+        return max(0, low), max(max(0, low), min(size, high + 1))
+
     def partitions(self) -> list[_Stretch]:
         out = []
-        for name in self.names:
+        for name, roles in zip(self.names, self.roles):
             v = self.header.variables[name]
             inner = max(1, int(np.prod(v.shape[1:], dtype=np.int64)))
             step = max(1, 4 * BATCH // inner)
-            out += [_Stretch(name, a, min(v.shape[0], a + step)) for a in range(0, v.shape[0], step)]
+            first, last = self.wanted(roles[0], v.shape[0])
+            out += [_Stretch(name, a, min(last, a + step)) for a in range(first, last, step)]
         return out
 
     def read(self, part: _Stretch) -> Iterator:
@@ -162,17 +171,41 @@ class _Reader(DataSourceReader):
         step = max(1, BATCH // inner)
         for a in range(part.first, part.last, step):
             b = min(part.last, a + step)
-            block = read_block(self.header, v, a, b).astype("<f8")
+            inside = [self.wanted(r, n) for r, n in zip(roles[1:], v.shape[1:])]
+            block = read_block(self.header, v, a, b)[(slice(None), *(slice(*w) for w in inside))].astype("<f8")
             where = np.indices(block.shape, dtype=np.int32).reshape(block.ndim, -1)
-            where[0] += a
+            for k, low in enumerate((a, *(w[0] for w in inside))):
+                where[k] += low
             n = block.size
             columns = {c: where[roles.index(c)] if c in roles else np.zeros(n, np.int32) for c in ("lon_idx", "lat_idx", "depth_idx", "time_idx")}
             yield pa.RecordBatch.from_pydict(
                 {c: pa.array(x, pa.int32()) for c, x in columns.items()} | {"variable": pa.array([part.name] * n, pa.string()), "raw": pa.array(block.ravel(), pa.float64())})
 
 
+class _PushedReader(_Reader):
+    """A reader that only reads the box of positions that filters leave."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        roles = {r for own in self.roles for r in own}
+        for f in filters:
+            role = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if role in roles:
+                low, high = self.box.get(role, (0, 2**31 - 1))
+                if isinstance(f, (EqualTo, In)):
+                    some = [f.value] if isinstance(f, EqualTo) else list(f.value)
+                    low, high = max(low, min(some, default=0)), min(high, max(some, default=-1))
+                elif isinstance(f, (GreaterThanOrEqual, GreaterThan)):
+                    low = max(low, f.value + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThanOrEqual, LessThan)):
+                    high = min(high, f.value - isinstance(f, LessThan))
+                self.box[role] = (low, high)
+            yield f  # the box is an envelope: Spark still tests each row
+
+
 class NetCdfSource(DataSource):
-    """``spark.read.format("netcdf3")`` with options path, variables and roles."""
+    """``spark.read.format("netcdf3")`` with options path, variables and roles. With the option pushdown
+    (and Spark's ``spark.sql.python.filterPushdown.enabled``, without which it is an error) filters on
+    positions bound what is read."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,7 +215,7 @@ class NetCdfSource(DataSource):
         return "lon_idx int, lat_idx int, depth_idx int, time_idx int, variable string, raw double"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        return (_PushedReader if self.options.get("pushdown") == "true" else _Reader)(dict(self.options))
 
 
 def write(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:

@@ -291,6 +291,9 @@ def test_masks(square):
     ring = {"rings": [[(-2, -2), (3, -2), (3, 3), (-2, 3)], [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)]]}
     assert geometry.mask(square, [ring]).df.count() == 6
     assert code(geometry.mask, square, [box(5, 6, 5, 6)]) == "mask_no_centers"
+    twice = geometry.mask(geometry.mask(square, [box(0, 1, 0, 1)]), [box(1, 2, 0, 2)], boundary="include")
+    assert geometry.mask_coverage(twice) == {"n_cells": 4, "n_kept": 2, "n_removed": 2, "fraction_kept": 0.5, "fraction_removed": 0.5} and twice.df.count() == 4
+    assert geometry.mask_coverage(square)["n_removed"] == 0
     assert geometry.crop_stock(square, geometry.stock_mask(square, latitude=(0.5, 2), depth=(0, 10))).df.count() == 2
     coast = {(r.longitude, r.latitude): r.distance_nm for r in geometry.coast_dist(square, [box(-1, 0, -1, 2)]).collect()}
     assert coast[0, 0] == 0 and abs(coast[1, 0] - 60.04) < 0.05
@@ -377,6 +380,26 @@ def test_netcdf_scan(nc, spark):
     assert code(netcdf3.values, header, "lon") == "netcdf_changed_file"
 
 
+def test_netcdf_reads_only_the_box_that_filters_leave(nc, spark):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    reader = netcdf3._PushedReader({"path": nc, "variables": "temperature,oxygen", "roles": "lon_idx/lat_idx/depth_idx/time_idx,time_idx/depth_idx/lat_idx/lon_idx"})
+    filters = [GreaterThanOrEqual(("lon_idx",), 1), LessThan(("time_idx",), 3), EqualTo(("lat_idx",), 1), In(("depth_idx",), (0, 1))]
+    assert list(reader.pushFilters(filters)) == filters
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == 2 * (2 * 1 * 2 * 3)
+    rows = {tuple(r.values()) for b in batches for r in b.to_pylist()}
+    whole = netcdf3._Reader(dict(path=nc, variables="temperature,oxygen", roles="lon_idx/lat_idx/depth_idx/time_idx,time_idx/depth_idx/lat_idx/lon_idx"))
+    every = [tuple(r.values()) for p in whole.partitions() for b in whole.read(p) for r in b.to_pylist()]
+    assert rows == {r for r in every if r[0] >= 1 and r[1] == 1 and r[3] < 3}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        cube = select.crop(cf.cube_open(spark, nc, ["oxygen"]), longitude=(-79.5, -78.5))
+        assert {r.value for r in cube.df.collect()} == {r[5] for r in every if r[4] == "oxygen" and r[0] == 1}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_plot_tables(base):
     flat = select.slice_cube(base, depth=0.0, time="2020-01-01", variable="temperature")
     plot = plotdata.plot_map(flat)
@@ -397,6 +420,11 @@ def test_entry_and_guard(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_oxygen_units_in_many_spellings():
+    assert diagnostics.oxygen_family("µmol/kg") == ("amount_per_mass", 1e-6) and diagnostics.oxygen_family(" mol  L^-1 ") == ("amount_per_volume", 1e3)
+    assert diagnostics.oxygen_family("mg m**-3") == ("mass_per_volume", 1e-6) and code(diagnostics.oxygen_family, "ml l-1") == "oxygen_unit"
+
+
 def test_track(spark):
     frame = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 1.0)], "o int, x double, y double")
     rows = path.along(frame, "x", "y", "o").orderBy("o").collect()
