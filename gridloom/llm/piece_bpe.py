@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array(model.encode(batch.column(1).to_pylist()), pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
@@ -283,7 +283,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             texts = [None if b is None else model.decode(np.frombuffer(b, "<u4")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": batch.column(1), "decoded": pa.array(texts, pa.string())})
 

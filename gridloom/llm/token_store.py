@@ -121,7 +121,7 @@ def _segments(path: str, kind: str, end_id: int, segment_tokens: int):
             ids.clear(), docs.clear(), ends.clear()
             return row
 
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             for doc, own in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
                 ids.append(own + end)
                 held += len(own) // 4 + 1
