@@ -118,10 +118,10 @@ def _stored(spark, sf):
 def _stored_crop(spark, sf):
     path = _folder(spark)
     _daily(spark, sf).write(path)
-    return rounded(select.crop(Cube.read(spark, path), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(10, 50)).table().drop("variable"), "value")
+    return rounded(select.crop(Cube.read(spark, path), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(10, 50), outside="clip").table().drop("variable"), "value")
 
 
-_FILE = RAW + " SELECT " + AT.format("mc.") + ", mc.t AS time, v AS value FROM mc WHERE v IS NOT NULL"
+_FILE = RAW + " SELECT " + AT.format("mc.") + ", mc.t AS time, round(v, 6) AS value FROM mc WHERE v IS NOT NULL"
 
 
 def _file(spark: SparkSession, sf: str) -> str:
@@ -139,17 +139,18 @@ def _file(spark: SparkSession, sf: str) -> str:
 
 @query("cube_open", _FILE)
 def _opened(spark, sf):
-    return cf.cube_open(spark, _file(spark, sf)).table().drop("variable").where("value is not null")
+    return rounded(cf.cube_open(spark, _file(spark, sf)).table().drop("variable").where("value is not null"), "value")
 
 
 @query("cube_open_crop", _FILE + " AND x BETWEEN 1 AND 3 AND y = 1 AND d = 2")
 def _opened_crop(spark, sf):
-    return select.crop(cf.cube_open(spark, _file(spark, sf)), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(20, 30)).table().drop("variable").where("value is not null")
+    crop = select.crop(cf.cube_open(spark, _file(spark, sf)), longitude=(-79.2, -76.9), latitude=(-11.4, -10.8), depth=(20, 30), outside="clip")
+    return rounded(crop.table().drop("variable").where("value is not null"), "value")
 
 
 @query("read_nc", _FILE)
 def _read_nc(spark, sf):
-    return cf.read_nc(spark, _file(spark, sf), ["price"]).table().drop("variable").where("value is not null")
+    return rounded(cf.read_nc(spark, _file(spark, sf), ["price"]).table().drop("variable").where("value is not null"), "value")
 
 
 @query("cube_collect", _ALL)
