@@ -33,7 +33,7 @@ class ChunkTokenizer:
     Strings of special tokens in a text become those tokens, as the library has it by default.
     """
 
-    def __init__(self, path: str, kind: str, cache: int = 400_000):
+    def __init__(self, path: str, kind: str, cache: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
