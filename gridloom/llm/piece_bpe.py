@@ -57,7 +57,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Pieces of a model file, and word ids learnt so far (``cache`` bounds each generation kept)."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         pieces = [{"text": b"", "score": 0.0, "kind": _NORMAL} | {
