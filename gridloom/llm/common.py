@@ -64,6 +64,30 @@ def own_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def merged_labels(spark, folder: str, name: str, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (doc, comp) after joining the components at both ends of each edge (a, b). Each label is
+    the smallest document of its component if it was before."""
+    step = 0
+    while True:
+        ends = edges.join(labels.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(
+            labels.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
+        both = ends.select(F.col("ca").alias("u"), F.col("cb").alias("v")).unionByName(ends.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
+        up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
+        up = written(spark, up, folder, f"{name}-up{step}")
+        if up.isEmpty():
+            return labels
+        jump = 0
+        while True:  # let every component point at the end of its chain
+            over = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            up = written(spark, up.select("u", "v").join(over, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("w") != F.col("v")).alias("moved")), folder, f"{name}-up{step}-{jump}")
+            if up.where("moved").isEmpty():
+                break
+            jump += 1
+        up = up.select(F.col("u").alias("comp"), "v")
+        labels = written(spark, labels.join(up, "comp", "left").select("doc", F.coalesce("v", "comp").alias("comp")), folder, f"{name}-labels{step}")
+        step += 1
+
+
 def unused(frame: DataFrame, *names: str) -> list[str]:
     """Names for columns of an operator's own that ``frame`` does not have: those given, with underscores
     in front where they are taken."""

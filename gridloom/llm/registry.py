@@ -77,9 +77,16 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_query(table(spark, sf_dir, "embeddings"))
 
 
+def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.anchor_simhash import simhash_query
+
+    return simhash_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pii, op2_toxicity, op3_pieces, op4_token_store, op5_quality, op6_packing, op7_sketch_join, op8_line_dedup, op9_quality_rules, op10_max_score)}
+        op1_pii, op2_toxicity, op3_pieces, op4_token_store, op5_quality, op6_packing, op7_sketch_join, op8_line_dedup, op9_quality_rules, op10_max_score,
+        op13_anchor_simhash)}
 
 
 _TOP_K_SQL = """

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_dir, own_session, shared_dir, written
+from gridloom.llm.common import drop_dir, merged_labels, own_session, shared_dir, written
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -186,30 +186,6 @@ def _sets(width: int):
     return run
 
 
-def _merged(spark, folder: str, name: str, labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (doc, comp) after joining the components at both ends of each edge (a, b). Each label is
-    the smallest document of its component if it was before."""
-    step = 0
-    while True:
-        ends = edges.join(labels.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(
-            labels.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
-        both = ends.select(F.col("ca").alias("u"), F.col("cb").alias("v")).unionByName(ends.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
-        up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
-        up = written(spark, up, folder, f"{name}-up{step}")
-        if up.isEmpty():
-            return labels
-        jump = 0
-        while True:  # let every component point at the end of its chain
-            over = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            up = written(spark, up.select("u", "v").join(over, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("w") != F.col("v")).alias("moved")), folder, f"{name}-up{step}-{jump}")
-            if up.where("moved").isEmpty():
-                break
-            jump += 1
-        up = up.select(F.col("u").alias("comp"), "v")
-        labels = written(spark, labels.join(up, "comp", "left").select("doc", F.coalesce("v", "comp").alias("comp")), folder, f"{name}-labels{step}")
-        step += 1
-
-
 def _view() -> Column:
     return F.col("key").bitwiseAND(F.lit(15))
 
@@ -293,7 +269,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     close = pairs.join(side("a", "n", *_SKETCH), "a").join(side("b", "n", *_SKETCH), "b").where(near("a", "b")).select("a", "b").distinct()
     tested = close = written(spark, close, folder, "close0")
     links = found = linked(close, "links0")
-    labels = _merged(spark, folder, "merge0", labels, found)
+    labels = merged_labels(spark, folder, "merge0", labels, found)
     largest, low, high = members.agg(F.max("c")).first()[0] or 0, 0, hubs
     while low < largest:
         now = members.join(labels, "doc")
@@ -308,7 +284,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         close = written(spark, pairs.join(tested, ["a", "b"], "left_anti"), folder, f"close{high}")
         found = linked(close, f"links{high}")
         tested, links = tested.unionByName(close), links.unionByName(found)
-        labels = _merged(spark, folder, f"merge{high}", labels, found)
+        labels = merged_labels(spark, folder, f"merge{high}", labels, found)
         low, high = high, high * hubs
 
     # Rows that repeat an id belong together whatever their texts are.
@@ -317,7 +293,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     if not alike.isEmpty():
         others = own.where("node is not null").select("node").distinct().join(labels, F.col("node") == F.col("doc"), "left")
         labels = written(spark, others.select(F.col("node").alias("doc"), F.coalesce("comp", "node").alias("comp")), folder, "every-label")
-        labels = _merged(spark, folder, "alike-merge", labels, alike)
+        labels = merged_labels(spark, folder, "alike-merge", labels, alike)
     placed = own.where("doc is not null").join(labels.withColumnRenamed("doc", "node"), "node", "left")
     placed = placed.groupBy("doc").agg(F.min(F.coalesce("comp", "node", "doc")).alias("component"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
