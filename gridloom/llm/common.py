@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words in every contract of this subpackage: space and \t \n \v \f \r.
@@ -148,3 +148,28 @@ class Recent:
             self.young.update((w, old[w]) for w in known)
             missing.difference_update(known)
         return list(missing)
+
+
+def running(spark: SparkSession, frame: DataFrame, group: list[str], order: list[str], totals: dict[str, tuple[str, str]],
+            folder: str, name: str) -> DataFrame:
+    """``frame`` with running totals over the rows of each group in ``order``, a row's own value included.
+
+    ``totals`` maps a new column to ("sum" or "xor", column). A group of any size is spread over tasks:
+    rows are dealt by ranges of group and order (equal rows too, by their number) and written with their
+    range, each range is totalled for itself, and what a group has in the ranges before is added from a
+    table of the groups that cross into another range: two rows a range at most, so it is broadcast."""
+    number, at = unused(frame, "number", "range")
+    dealt = frame.withColumn(number, F.monotonically_increasing_id()).repartitionByRange(*group, *order, number)
+    placed = written(spark, dealt.withColumn(at, F.spark_partition_id()), folder, name)
+    total = {"sum": F.sum, "xor": F.bit_xor}
+    within = Window.partitionBy(at, *group).orderBy(*order, number).rowsBetween(Window.unboundedPreceding, 0)
+    here = placed.withColumns({new: total[kind](column).over(within) for new, (kind, column) in totals.items()})
+    parts = placed.groupBy(at, *group).agg(*[total[kind](column).alias(new) for new, (kind, column) in totals.items()])
+    if group:
+        crossing = parts.groupBy(*group).agg(F.count("*").alias(number)).where(F.col(number) > 1).select(*group)
+        parts = parts.join(crossing, group)
+    earlier = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(at, *group, *[total[kind](new).over(earlier).alias(f"{new} before") for new, (kind, _) in totals.items()])
+    joined = here.join(F.broadcast(before), [at, *group], "left")
+    add = {"sum": lambda a, b: a + b, "xor": lambda a, b: a.bitwiseXOR(b)}
+    return joined.select(*frame.columns, *[add[kind](F.col(new), F.coalesce(F.col(f"`{new} before`"), F.lit(0))).alias(new) for new, (kind, _) in totals.items()])

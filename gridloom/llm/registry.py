@@ -77,6 +77,12 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_query(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.prefix_trie import trie_query
+
+    return trie_query(table(spark, sf_dir, "conversations"))
+
+
 def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.anchor_simhash import simhash_query
 
@@ -86,7 +92,7 @@ def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_toxicity, op3_pieces, op4_token_store, op5_quality, op6_packing, op7_sketch_join, op8_line_dedup, op9_quality_rules, op10_max_score,
-        op13_anchor_simhash)}
+        op11_prefix_trie, op13_anchor_simhash)}
 
 
 _TOP_K_SQL = """
@@ -122,5 +128,42 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT x, min(y) AS component_id
 """
 
 
+#: crc32 of a decimal number's text: one step for each character and eight for its bits.
+_DECIMAL_CRC = """xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [CAST(unicode(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, CAST(4294967295 AS BIGINT)))"""
+
+_TRIE_SQL = """
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, conv_id - conv_id % 100 AS first, count(*) AS n FROM o GROUP BY conv_id),
+h AS (SELECT *, CRC % 6 AS h FROM i),
+m AS (
+  SELECT h.conv_id, h.first, h.h, least(h.h, coalesce(b.n, 0)) AS taken, least(h.h, coalesce(b.n, 0)) + greatest(h.n - h.h, 0) AS total
+  FROM h LEFT JOIN i b ON b.conv_id = h.first),
+t AS (
+  SELECT m.conv_id, o.pos, role, text FROM m JOIN o ON o.conv_id = m.first AND o.pos <= m.taken
+  UNION ALL SELECT m.conv_id, m.taken + o.pos - m.h, role, text FROM m JOIN o ON o.conv_id = m.conv_id AND o.pos > m.h),
+p AS (
+  SELECT conv_id, pos AS depth, length(text) AS chars,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM t
+  UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+q AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM p),
+n AS (SELECT node, min(up) AS up, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(chars) AS chars FROM q GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.node = n.node),
+s AS (
+  SELECT top, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+  FROM (SELECT DISTINCT a.node AS top, b.node AS node FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth) x JOIN v ON v.node = x.node GROUP BY top),
+e AS (
+  SELECT p.node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM p JOIN m ON m.conv_id = p.conv_id AND m.total = p.depth GROUP BY p.node)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM v JOIN s ON s.top = v.node LEFT JOIN v u ON u.node = v.up LEFT JOIN e ON e.node = v.node
+""".replace("CRC", _DECIMAL_CRC.format("conv_id"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sketch_join": _JACCARD_SQL, "op10_max_score": _TOP_K_SQL}
+    return {"op7_sketch_join": _JACCARD_SQL, "op10_max_score": _TOP_K_SQL, "op11_prefix_trie": _TRIE_SQL}
