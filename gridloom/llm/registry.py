@@ -83,6 +83,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_query(table(spark, sf_dir, "conversations"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.importance_resample import importance_query
+
+    return importance_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.anchor_simhash import simhash_query
 
@@ -92,7 +98,7 @@ def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_toxicity, op3_pieces, op4_token_store, op5_quality, op6_packing, op7_sketch_join, op8_line_dedup, op9_quality_rules, op10_max_score,
-        op11_prefix_trie, op13_anchor_simhash)}
+        op11_prefix_trie, op12_importance, op13_anchor_simhash)}
 
 
 _TOP_K_SQL = """
@@ -165,5 +171,45 @@ FROM v JOIN s ON s.top = v.node LEFT JOIN v u ON u.node = v.up LEFT JOIN e ON e.
 """.replace("CRC", _DECIMAL_CRC.format("conv_id"))
 
 
+#: crc32 of UTF-8 bytes by the table of one byte's remainders; bytes follow from code points.
+_IMPORTANCE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 'd' AS kind, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT kind, row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS l
+  FROM texts),
+grams AS (
+  SELECT kind, row, unnest(l) AS gram FROM words
+  UNION ALL SELECT kind, row, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM words WHERE len(l) > 1),
+counted AS (SELECT kind, row, gram, count(*) AS n FROM grams GROUP BY ALL),
+coded AS (
+  SELECT gram, flatten(list_transform(list_transform(string_split(gram, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda c:
+    CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 | (c >> 6), 128 | (c & 63)]
+    WHEN c < 65536 THEN [224 | (c >> 12), 128 | ((c >> 6) & 63), 128 | (c & 63)]
+    ELSE [240 | (c >> 18), 128 | ((c >> 12) & 63), 128 | ((c >> 6) & 63), 128 | (c & 63)] END)) AS bytes
+  FROM (SELECT DISTINCT gram FROM counted)),
+hashed AS (
+  SELECT gram, xor(4294967295, list_reduce(bytes, lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS bucket
+  FROM coded, crcs),
+b AS (SELECT kind, row, bucket, sum(n) AS n FROM counted JOIN hashed USING (gram) GROUP BY ALL),
+st AS (SELECT r.i AS bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 't'), 0) AS t FROM range(10000) r(i) LEFT JOIN b ON b.bucket = r.i GROUP BY r.i),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE)) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM st),
+w AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+  FROM b JOIN g USING (bucket) WHERE kind = 'd' GROUP BY row),
+d AS (
+  SELECT words.row, doc_id, len(l) AS n_words, coalesce(w.n, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM words LEFT JOIN w ON w.row = words.row WHERE kind = 'd'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM e WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r.rank <= 25 * r.n // 100 THEN r.rank END AS rank FROM e LEFT JOIN r ON r.row = e.row
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sketch_join": _JACCARD_SQL, "op10_max_score": _TOP_K_SQL, "op11_prefix_trie": _TRIE_SQL}
+    return {"op7_sketch_join": _JACCARD_SQL, "op10_max_score": _TOP_K_SQL, "op11_prefix_trie": _TRIE_SQL, "op12_importance": _IMPORTANCE_SQL}
