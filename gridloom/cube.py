@@ -66,6 +66,8 @@ class Cube:
     time: tuple
     variables: tuple[str, ...]
     meta: dict = field(default_factory=dict)
+    #: Where the rows come from, if they can be read by position (see ``sources.cf.FileSource``).
+    source: object | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         check_longitude(self.longitude)
@@ -121,9 +123,11 @@ class Cube:
         variables = tuple(variables) if variables is not None else tuple(f"var{i + 1}" for i in range(array.shape[4]))
         lengths = (len(longitude), len(latitude), len(depth), len(time), len(variables))
         require(array.shape == lengths, "bad_argument", f"data has shape {array.shape}, the axes {lengths}")
-        where = np.argwhere(np.isfinite(array))
-        rows = [(*map(int, w[:4]), variables[w[4]], float(array[tuple(w)])) for w in where]
-        df = spark.createDataFrame(rows, "lon_idx int, lat_idx int, depth_idx int, time_idx int, variable string, value double")
+        import pyarrow as pa
+
+        where = np.nonzero(np.isfinite(array))
+        columns = [pa.array(w.astype(np.int32)) for w in where[:4]] + [pa.array(np.array(variables, dtype=object)[where[4]], pa.string()), pa.array(array[where])]
+        df = spark.createDataFrame(pa.table(columns, names=["lon_idx", "lat_idx", "depth_idx", "time_idx", "variable", "value"]))
         return Cube(df, tuple(map(float, longitude)), tuple(map(float, latitude)), depth, tuple(time), variables, {"units": dict(units or {})} | dict(meta or {}))
 
     # ---- views -------------------------------------------------------------------------------
@@ -171,7 +175,8 @@ class Cube:
         return self.located(self.dense() if dense else self.df)
 
     def with_(self, **changes) -> "Cube":
-        return replace(self, **changes)
+        """A changed copy. Other rows have another origin, so ``source`` goes with ``df`` unless it is given."""
+        return replace(self, **({"source": None} if "df" in changes else {}) | changes)
 
     def collect(self) -> "Cube":
         """The same cube, computed once and kept by the executors (spilling to disk)."""
@@ -183,9 +188,9 @@ class Cube:
 
         require(math.prod(self.shape) <= 10_000_000, "collect_error", "the cube is too large for one array")
         out = np.full(self.shape, np.nan)
-        at = {v: i for i, v in enumerate(self.variables)}
-        for r in self.df.where("value is not null").collect():
-            out[r.lon_idx, r.lat_idx, r.depth_idx, r.time_idx, at[r.variable]] = r.value
+        names = F.array_position(F.array(*[F.lit(v) for v in self.variables]), F.col("variable")).cast("int") - 1
+        rows = self.df.where("value is not null").select(*CELL, "time_idx", names.alias("variable"), "value").toArrow()
+        out[tuple(rows.column(k).to_numpy() for k in range(5))] = rows.column(5).to_numpy()
         return out
 
     # ---- storage -----------------------------------------------------------------------------

@@ -95,10 +95,14 @@ def _variables(cube: Cube, variable, repeats: bool = False) -> list[str]:
 
 def taken(cube: Cube, picked: dict[str, list[int]], variables: list[str] | None = None) -> Cube:
     """The cube at given positions of some axes, in their order; repeats are kept (spatial axes only)."""
-    df, changes = cube.df, {}
-    for axis, at in picked.items():
+    df, changes = cube.df, {axis: tuple(getattr(cube, axis)[i] for i in at) for axis, at in picked.items()}
+    if cube.source is not None:  # the file is read anew at these positions
+        source = cube.source.taken(picked, variables)
+        df, picked_here, changes["source"] = source.frame(), {}, source
+    else:
+        picked_here = picked
+    for axis, at in picked_here.items():
         index, old = AXIS_INDEX[axis], getattr(cube, axis)
-        changes[axis] = tuple(old[i] for i in at)
         if at == list(range(len(old))):
             continue
         df = df.where(F.col(index).between(min(at), max(at)))
@@ -114,7 +118,11 @@ def taken(cube: Cube, picked: dict[str, list[int]], variables: list[str] | None
     if "depth" in picked and "vertical" in meta and meta["vertical"].get("bounds"):
         meta["vertical"] = meta["vertical"] | {"bounds": [meta["vertical"]["bounds"][i] for i in picked["depth"]]}
     # A selection of a climatology or anomaly is no longer one: what describes them is dropped, and listed.
-    gone = [k for k in ("climatology", "anomaly", "qa") if k in meta]
+    # The intervals of a climatological time axis go with their times.
+    told = meta.get("climatology", {})
+    if "start" in told and "time" in picked:
+        meta["climatology"] = told = told | {k: [told[k][i] for i in picked["time"]] for k in ("start", "end", "raw")}
+    gone = [k for k in ("climatology", "anomaly", "qa") if k in meta and not (k == "climatology" and "start" in told)]
     meta = {k: v for k, v in meta.items() if k not in gone}
     if gone:
         meta["discarded"] = sorted({*meta.get("discarded", []), *gone})
@@ -177,6 +185,21 @@ def with_units(cube: Cube, frame: DataFrame) -> DataFrame:
     return frame.withColumn("unit", unit)
 
 
+def _asked(cube: Cube, axis: str, values) -> list:
+    """Requested coordinates in the order of the axis of the result."""
+    if axis != "time":
+        return [float(v) for v in _listed(values)]
+    out: dict = {}
+    for v in _listed(values):
+        out.setdefault(positions(cube, "time", v, "value", "nearest")[0], as_time(cube, v))
+    return [out[i] for i in sorted(out)]
+
+
+def _stored(value):
+    require(not isinstance(value, CalendarTime), "extract_size", "distances in time are not kept for calendar times")
+    return value
+
+
 def extract(cube: Cube, longitude=None, latitude=None, depth="all", time=None, variable=None, by: str = "value", match: str = "exact", tolerance: dict | None = None,
             mode: str = "table", form: str = "long", keep_index: bool = False, keep_distance: bool = False) -> DataFrame:
     """A table of every selected cell, missing ones too.
@@ -184,7 +207,7 @@ def extract(cube: Cube, longitude=None, latitude=None, depth="all", time=None, v
     Long: longitude, latitude, depth, time, variable, unit, value. Wide: a column for each variable.
     ``point`` and ``profile`` want one longitude, latitude and time (a point also one depth), ``series``
     one longitude, latitude and depth. ``keep_index`` adds 1-based positions on the cube's axes,
-    ``keep_distance`` (nearest only) the requested coordinates and distances.
+    ``keep_distance`` (nearest only) the requested coordinates and distances (in time: seconds).
     """
     require(mode in ("table", "point", "profile", "series") and form in ("long", "wide"), "extract_mode", "mode is table, point, profile or series; form long or wide")
     require(not keep_distance or match == "nearest" and by == "value", "bad_argument", "distances go with nearest matches")
@@ -204,14 +227,17 @@ def extract(cube: Cube, longitude=None, latitude=None, depth="all", time=None, v
     for axis in AXES:
         at = sorted(set(picked["time"])) if axis == "time" else picked[axis]
         index = AXIS_INDEX[axis]
-        if keep_index:
-            cells = cells.withColumn(f"{axis}_index", F.get(F.array(*[F.lit(i + 1) for i in at]), F.col(f"_{index}")))
-            extra.append(f"{axis}_index")
         asked = wanted[axis]
-        if keep_distance and asked is not None and asked != "all" and axis != "time":
-            asked = [float(v) for v in _listed(asked)]
-            cells = cells.withColumn(f"{axis}_requested", F.get(F.array(*[F.lit(v) for v in asked]), F.col(f"_{index}")))
-            cells = cells.withColumn(f"{axis}_distance", F.abs(F.col(axis) - F.col(f"{axis}_requested")))
+        distant = keep_distance and asked is not None and asked != "all"
+        if keep_index or distant:
+            asked = [_stored(v) for v in _asked(cube, axis, asked)] if distant else [None] * len(at)
+            kind = "double" if axis != "time" else "timestamp_ntz" if isinstance(cube.time[0], datetime) else "date"
+            table = cube.spark.createDataFrame([(k, i + 1, asked[k]) for k, i in enumerate(at)], f"_{index} int, {axis}_index int, {axis}_requested {kind}")
+            cells = cells.join(F.broadcast(table), f"_{index}")
+            extra += [f"{axis}_index"] * keep_index
+        if distant:
+            apart = F.abs(F.col(axis) - F.col(f"{axis}_requested")) if axis != "time" else F.abs(F.unix_seconds(F.col(axis).cast("timestamp")) - F.unix_seconds(F.col(f"{axis}_requested").cast("timestamp"))).cast("double")
+            cells = cells.withColumn(f"{axis}_distance", apart)
             extra += [f"{axis}_requested", f"{axis}_distance"]
     if form == "wide":
         keys = [*AXES, *extra]

@@ -125,15 +125,10 @@ _FILE = RAW + " SELECT " + AT.format("mc.") + ", mc.t AS time, round(v, 6) AS va
 
 
 def _file(spark: SparkSession, sf: str) -> str:
-    """The monthly cube as a classic NetCDF file in a folder that executors see."""
-    cube = daily_price(spark, sf, monthly=True)
+    """The monthly cube as a classic NetCDF file in a folder that executors see, written by tasks."""
     path = f"{netcdf3.local(_folder(spark))}.nc"
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    netcdf3.write(path, {"lon": 5, "lat": 2, "depth": 7, "time": len(cube.time)}, {
-        "lon": (("lon",), np.array(cube.longitude), {"units": "degrees_east"}), "lat": (("lat",), np.array(cube.latitude), {"units": "degrees_north"}),
-        "depth": (("depth",), np.array(cube.depth), {"units": "m", "positive": "down"}),
-        "time": (("time",), np.array([float((t - date(1970, 1, 1)).days) for t in cube.time]), {"units": "days since 1970-01-01"}),
-        "price": (("lon", "lat", "depth", "time"), cube.to_numpy()[..., 0], {"units": "usd"})})
+    cf.write_nc(daily_price(spark, sf, monthly=True), path)
     return path
 
 
@@ -150,7 +145,7 @@ def _opened_crop(spark, sf):
 
 @query("read_nc", _FILE)
 def _read_nc(spark, sf):
-    return rounded(cf.read_nc(spark, _file(spark, sf), ["price"]).table().drop("variable").where("value is not null"), "value")
+    return rounded(cf.read_nc(spark, _file(spark, sf), ["extendedprice"]).table().drop("variable").where("value is not null"), "value")
 
 
 @query("cube_collect", _ALL)
