@@ -7,6 +7,7 @@ idealised ones have years of fixed length.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
@@ -139,6 +140,124 @@ class CalendarTime:
     __sub__ = __mul__ = __radd__ = __rsub__ = __add__
 
 
+@dataclass(frozen=True)
+class CalendarTimes:
+    """Times of one calendar, in any order. ``chronology`` tells historical times from climatological ones;
+    only vectors that agree in both combine or compare."""
+
+    seconds: tuple[float, ...]
+    calendar: str
+    chronology: str = "historical"
+
+    def __post_init__(self) -> None:
+        require(self.chronology in ("historical", "climatological"), "cf_time_mismatch", f"{self.chronology} is no chronology")
+        calendar_name(self.calendar)
+        require(all(math.isfinite(s) for s in self.seconds), "cf_time_values", "time values are finite")
+
+    @staticmethod
+    def of(times, chronology: str = "historical") -> "CalendarTimes":
+        """A vector of calendar times, or of written ones: pairs of a text YYYY-MM-DD[ hh:mm:ss] and a calendar."""
+        own = [t if isinstance(t, CalendarTime) else parsed(*t) for t in times]
+        require(bool(own), "cf_time_mismatch", "a vector of no times has no calendar")
+        require(len({t.calendar for t in own}) == 1, "cf_time_mismatch", "times of different calendars do not combine")
+        return CalendarTimes(tuple(t.seconds for t in own), own[0].calendar, chronology)
+
+    def _same(self, other: object) -> "CalendarTimes":
+        other = CalendarTimes((other.seconds,), other.calendar, self.chronology) if isinstance(other, CalendarTime) else other
+        require(isinstance(other, CalendarTimes) and (other.calendar, other.chronology) == (self.calendar, self.chronology), "cf_time_mismatch", "times of different calendars or chronologies do not combine")
+        return other
+
+    def _with(self, seconds) -> "CalendarTimes":
+        return CalendarTimes(tuple(seconds), self.calendar, self.chronology)
+
+    def __len__(self) -> int:
+        return len(self.seconds)
+
+    def __iter__(self):
+        return (CalendarTime(s, self.calendar) for s in self.seconds)
+
+    def __getitem__(self, at):
+        """One time for a position; a vector for a slice, a list of positions or a list of truths."""
+        if isinstance(at, int):
+            return CalendarTime(self.seconds[at], self.calendar)
+        if isinstance(at, slice):
+            return self._with(self.seconds[at])
+        at = list(at)
+        if at and all(isinstance(k, bool) for k in at):
+            require(len(at) == len(self), "bad_argument", "as many truths as times")
+            return self._with(s for s, k in zip(self.seconds, at) if k)
+        return self._with(self.seconds[k] for k in at)
+
+    def replaced(self, at: list[int], values) -> "CalendarTimes":
+        values, out = self._same(values), list(self.seconds)
+        require(len(values) in (1, len(at)), "bad_argument", "one value, or one for each position")
+        for k, position in enumerate(at):
+            out[position] = values.seconds[k if len(values) > 1 else 0]
+        return self._with(out)
+
+    def concatenated(self, *others) -> "CalendarTimes":
+        return self._with(s for v in (self, *map(self._same, others)) for s in v.seconds)
+
+    def repeated(self, times: int = 1, each: int = 1) -> "CalendarTimes":
+        return self._with([s for s in self.seconds for _ in range(each)] * times)
+
+    def min(self) -> CalendarTime:
+        return self.range()[0]
+
+    def max(self) -> CalendarTime:
+        return self.range()[1]
+
+    def range(self) -> "CalendarTimes":
+        require(len(self) > 0, "cf_time_values", "no times have no range")
+        return self._with((min(self.seconds), max(self.seconds)))
+
+    def order(self) -> list[int]:
+        """Positions in ascending order of time."""
+        return sorted(range(len(self)), key=self.seconds.__getitem__)
+
+    def increasing(self) -> bool:
+        return all(a < b for a, b in zip(self.seconds, self.seconds[1:]))
+
+    def compared(self, how: str, other) -> list[bool]:
+        """Elementwise ==, !=, <, <=, > or >= with a vector of the same length, or one time."""
+        tests = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+        require(how in tests, "cf_time_unsupported_operation", f"{how} is not defined on calendar times")
+        values = self._same(other).seconds
+        require(len(values) in (1, len(self)), "bad_argument", "one value, or one for each time")
+        values = values * len(self) if len(values) == 1 else values
+        return [tests[how](a, b) for a, b in zip(self.seconds, values)]
+
+    def texts(self) -> list[str]:
+        return [f"{t} [{self.calendar}]" for t in self]
+
+    def document(self) -> dict:
+        """A JSON-able form; ``from_document`` reads it back."""
+        return {"schema": 1, "seconds": list(self.seconds), "calendar": self.calendar, "chronology": self.chronology}
+
+    @staticmethod
+    def from_document(d: dict) -> "CalendarTimes":
+        require(d.get("schema") == 1, "cf_time_mismatch", "another schema")
+        return CalendarTimes(tuple(map(float, d["seconds"])), d["calendar"], d["chronology"])
+
+    def __add__(self, other: object):
+        raise GridError("cf_time_unsupported_operation", "calendar times compare, and nothing else")
+
+    __sub__ = __mul__ = __radd__ = __rsub__ = __truediv__ = __add__
+
+
+_WRITTEN = re.compile(r"^\s*(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T\s]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d*)?))?)?\s*Z?\s*$")
+
+
+def parsed(text: str, calendar: str) -> CalendarTime:
+    """A time written as YYYY-MM-DD[ hh:mm[:ss]] in a calendar."""
+    m = _WRITTEN.match(text)
+    require(m is not None, "cf_time_date", f"{text!r} is no date")
+    name = calendar_name(calendar)
+    hour, minute, second = int(m[4] or 0), int(m[5] or 0), float(m[6] or 0)
+    require(hour < 24 and minute < 60 and second < 60, "cf_time_date", f"{text!r} is no time of day")
+    return CalendarTime(ordinal(int(m[1]), int(m[2]), int(m[3]), name) * 86400.0 + hour * 3600 + minute * 60 + second, name)
+
+
 _UNITS = re.compile(r"^\s*([A-Za-z]+)\s+since\s+(-?\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T\s]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?\s*$")
 
 

@@ -38,6 +38,30 @@ _ENTHALPY = ((61.01362420681071, 168776.46138048015, -2735.2785605119625, 2574.2
              (937.2099110620707, 588.1802812170108, 248.39476522971285, -3.871557904936333, -2.6268019854268356),
              (-1687.914374187449, 936.3206544460336, -942.7827304544439, 369.4389437509002, -33.83664947895248, -9.987880382780322), (246.9598888781377,), (123.59576582457964,), (-48.5891069025409,))
 _HEAT_CAPACITY = 3991.86795711963
+# Entropy, coefficients by powers (salinity root, temperature, pressure), in the published order.
+_ENTROPY = {
+    (0, 0, 1): -270.983805184062, (0, 0, 2): 776.153611613101, (0, 0, 3): -196.51255088122, (0, 0, 4): 28.9796526294175, (0, 0, 5): -2.13290083518327,
+    (0, 1, 0): -24715.571866078, (0, 1, 1): 2910.0729080936, (0, 1, 2): -1513.116771538718, (0, 1, 3): 546.959324647056, (0, 1, 4): -111.1208127634436, (0, 1, 5): 8.68841343834394,
+    (0, 2, 0): 2210.2236124548363, (0, 2, 1): -2017.52334943521, (0, 2, 2): 1498.081172457456, (0, 2, 3): -718.6359919632359, (0, 2, 4): 146.4037555781616, (0, 2, 5): -4.9892131862671505,
+    (0, 3, 0): -592.743745734632, (0, 3, 1): 1591.873781627888, (0, 3, 2): -1207.261522487504, (0, 3, 3): 608.785486935364, (0, 3, 4): -105.4993508931208,
+    (0, 4, 0): 290.12956292128547, (0, 4, 1): -973.091553087975, (0, 4, 2): 602.603274510125, (0, 4, 3): -276.361526170076, (0, 4, 4): 32.40953340386105,
+    (0, 5, 0): -113.90630790850321, (0, 5, 1): 381.06836198507096, (0, 5, 2): -133.7383902842754, (0, 5, 3): 49.023632509086724,
+    (0, 6, 0): 21.35571525415769, (0, 6, 1): -67.41756835751434,
+    (2, 0, 1): 729.116529735046, (2, 0, 2): -343.956902961561, (2, 0, 3): 124.687671116248, (2, 0, 4): -31.656964386073, (2, 0, 5): 7.04658803315449,
+    (2, 1, 0): 1760.062705994408, (2, 1, 1): -1721.528607567954, (2, 1, 2): 674.819060538734, (2, 1, 3): -356.629112415276, (2, 1, 4): 88.4080716616, (2, 1, 5): -15.84003094423364,
+    (2, 2, 0): -675.802947790203, (2, 2, 1): 2082.7344423998043, (2, 2, 2): -614.668925894709, (2, 2, 3): 340.685093521782, (2, 2, 4): -33.3848202979239,
+    (2, 3, 0): 365.7041791005036, (2, 3, 1): -1190.914967948748, (2, 3, 2): 298.904564555024, (2, 3, 3): -145.9491676006352,
+    (2, 4, 0): -108.30162043765552, (2, 5, 0): 12.78101825083098,
+    (3, 0, 1): -175.292041186547, (3, 0, 2): 83.1923927801819, (3, 0, 3): -29.483064349429,
+    (3, 1, 0): -86.1329351956084, (3, 1, 1): 766.116132004952, (3, 1, 2): -108.3834525034224, (3, 1, 3): 51.2796974779828,
+    (3, 2, 0): -30.0682112585625, (3, 2, 1): -1380.9597954037708, (3, 3, 0): 3.50240264723578, (3, 3, 1): 938.26075044542,
+    (4, 0, 1): -22.6683558512829, (4, 1, 0): -137.1145018408982, (4, 2, 0): 148.10030845687618, (4, 3, 0): -68.5590309679152, (4, 4, 0): 12.4848504784754,
+}
+# Freezing temperature, coefficients by powers (half powers of salinity / 100, pressure / 1e4).
+_FREEZING = {(0, 0): 0.017947064327968736, (2, 0): -6.076099099929818, (3, 0): 4.883198653547851, (4, 0): -11.88081601230542, (5, 0): 13.34658511480257, (6, 0): -8.722761043208607, (7, 0): 2.082038908808201,
+             (0, 1): -7.389420998107497, (0, 2): -2.110913185058476, (0, 3): 0.2295491578006229, (2, 1): -0.9891538123307282, (3, 1): -0.08987150128406496, (2, 2): 0.3831132432071728, (4, 1): 1.054318231187074,
+             (3, 2): 1.065556599652796, (2, 3): -0.7997496801694032, (5, 1): 0.3850133554097069, (4, 2): -2.078616693017569, (3, 3): 0.8756340772729538, (6, 1): -2.079022768390933, (5, 2): 1.596435439942262,
+             (4, 3): 0.1338002171109174, (7, 1): 1.242891021876471}
 
 
 def _power(x, n: int):
@@ -105,6 +129,61 @@ def conservative_from_potential(sa, pt):
     return total / _HEAT_CAPACITY
 
 
+def _entropy(sa, t, p=None, slope: bool = False):
+    """The part of entropy that differs between states of one salinity, or (at the surface) its derivative along
+    temperature. Horner in pressure, then temperature, then salinity."""
+    x, y, z = _root(_SCALE * sa), 0.025 * t, None if p is None else 1e-4 * p
+    total = None
+    for i in range(4, -1, -1):
+        inner = None
+        for j in range(6, 0 if slope else -1, -1):
+            deep = 0.0
+            for k in range(0 if z is None else 5, -1, -1):
+                c = _ENTROPY.get((i, j, k), 0.0) * (j if slope else 1)
+                deep = c if isinstance(deep, float) and deep == 0.0 else c + z * deep
+            inner = deep if inner is None or isinstance(inner, float) and inner == 0.0 else deep + y * inner
+        total = inner if total is None or isinstance(total, float) and total == 0.0 else inner + x * total
+    return total * (-0.025 * 0.025 if slope else -0.025)
+
+
+def newton_potential(sa, guess, entropy):
+    """A better potential temperature (0 dbar) of water of a given entropy: one step. Three from the in-situ
+    temperature reach the limit of doubles anywhere in the ocean."""
+    return guess - (_entropy(sa, guess) - entropy) / _entropy(sa, guess, slope=True)
+
+
+def entropy(sa, t, p):
+    return _entropy(sa, t, p)
+
+
+def potential_from_in_situ(sa: float, t: float, p: float) -> float:
+    """Potential temperature (0 dbar) of an in-situ temperature."""
+    target, pt = _entropy(sa, t, p), t
+    for _ in range(3):
+        pt = newton_potential(sa, pt, target)
+    return pt
+
+
+def freezing(sa, p):
+    """Conservative Temperature at which air-free sea water freezes."""
+    x, z = _root(0.01 * sa), 1e-4 * p
+    total = 0.0
+    for k in (3, 2, 1, 0):
+        inner = 0.0
+        for i in range(7, -1, -1):
+            c = _FREEZING.get((i, k), 0.0)
+            inner = c if isinstance(inner, float) and inner == 0.0 else c + x * inner
+        total = inner if isinstance(total, float) and total == 0.0 else inner + z * total
+    return total
+
+
+def outside_funnel(sa: Column, ct: Column, p: Column) -> Column:
+    """Whether a state lies outside the range of oceanographic states for which the polynomials hold."""
+    deep, abyss = (p >= 500) & (p < 6500), p >= 6500
+    return ((p > 8000) | (sa < 0) | (sa > 42) | (ct < freezing(sa, F.least(p, F.lit(500.0)))) | deep & ((sa < p * 5e-3 - 2.5) | (ct > 31.66666666666667 - p * 3.333333333333334e-3))
+            | abyss & ((sa < 30) | (ct > 10)))
+
+
 def gravity(latitude: float, pressure: float = 0.0) -> float:
     sin2 = math.sin(math.radians(latitude)) ** 2
     surface = 9.780327 * (1.0 + (5.2792e-3 + 2.32e-5 * sin2) * sin2)

@@ -5,8 +5,8 @@ outline, others are holes; a multipolygon is {"id": ..., "polygons": [rings, ...
 polygons are great circles for areas, and straight in longitude and latitude for masks.
 
 All of it depends on the longitude and latitude axes alone. Tables of cells are made as distributed
-frames (a range of positions); exact clipping runs in Arrow batches over the pairs of cell and polygon
-whose boxes meet.
+frames (a range of positions); exact clipping runs in tasks over the columns of cells that a polygon's box
+covers.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,9 +175,12 @@ def _places(cube: Cube) -> DataFrame:
     return cube.spark.range(n * len(cube.latitude)).select((F.col("id") % n).cast("int").alias("lon_idx"), F.floor(F.col("id") / n).cast("int").alias("lat_idx"))
 
 
-def _edge_columns(cube: Cube, lon: list, lat: list) -> list[Column]:
-    get = lambda values, k, index: F.get(F.array(*[F.lit(float(v[k])) for v in values]), F.col(index))
-    return [get(lon, 0, "lon_idx").alias("lon_min"), get(lon, 1, "lon_idx").alias("lon_max"), get(lat, 0, "lat_idx").alias("lat_min"), get(lat, 1, "lat_idx").alias("lat_max")]
+def _with_edges(cube: Cube, places: DataFrame, lon: list, lat: list) -> DataFrame:
+    """``places`` with the edges of their cells, from tables as long as the axes."""
+    for name, index, edges in (("lon", "lon_idx", lon), ("lat", "lat_idx", lat)):
+        table = cube.spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(edges)], f"{index} int, {name}_min double, {name}_max double")
+        places = places.join(F.broadcast(table), index)
+    return places
 
 
 def _excess(lon_min: Column, lon_max: Column, lat_min: Column, lat_max: Column) -> Column:
@@ -191,7 +195,7 @@ def cell_area(cube: Cube, unit: str = "m2", lon_bounds: list | None = None, lat_
     """longitude, latitude and area of every grid cell; cell edges are great circles."""
     require(unit in ("m2", "km2"), "bad_argument", "unit is m2 or km2")
     lon, lat = cell_edges(cube, lon_bounds, lat_bounds)
-    rows = _places(cube).select("lon_idx", "lat_idx", *_edge_columns(cube, lon, lat))
+    rows = _with_edges(cube, _places(cube), lon, lat)
     area = F.abs(_excess(*[F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])) * F.lit(RADIUS_M**2 * (1e-6 if unit == "km2" else 1.0))
     return cube.located(rows.select("lon_idx", "lat_idx", area.alias("area")), ("longitude", "latitude"))
 
@@ -222,7 +226,7 @@ def cell_volume(cube: Cube, depth_bounds: list | None = None, unit: str = "m3",
     require(unit in ("m3", "km3"), "bad_argument", "unit is m3 or km3")
     sizes = _thickness(cube, depth_bounds, "m")
     lon, lat = cell_edges(cube, lon_bounds, lat_bounds)
-    rows = _places(cube).select("lon_idx", "lat_idx", *_edge_columns(cube, lon, lat))
+    rows = _with_edges(cube, _places(cube), lon, lat)
     area = F.abs(_excess(*[F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])) * F.lit(RADIUS_M**2 * (1e-9 if unit == "km3" else 1.0))
     layer = F.posexplode(F.array(*[F.lit(s) for s in sizes]))
     out = rows.select("lon_idx", "lat_idx", area.alias("area"), layer.alias("depth_idx", "thickness"))
@@ -237,61 +241,71 @@ def _unit(lon: float, lat: float) -> tuple[float, float, float]:
     return math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b)
 
 
-def _dot(a, b) -> float:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-
-
 def _cross(a, b):
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
 
-def sphere_area(points: list[tuple[float, float, float]]) -> float:
-    """Signed area of a figure of great circles on the unit sphere: the sum of its fan of triangles."""
-    total = 0.0
-    for b, c in zip(points[1:], points[2:]):
-        a = points[0]
-        total += 2 * math.atan2(_dot(a, _cross(b, c)), 1 + _dot(a, b) + _dot(b, c) + _dot(c, a))
-    return total
-
-
-def clipped(points: list, window: list) -> list:
-    """The part of a figure inside a convex window (counter-clockwise): cut by one edge's great circle after another."""
-    for a, b in zip(window, window[1:] + window[:1]):
-        normal, out = _cross(a, b), []
-        for p, q in zip(points, points[1:] + points[:1]):
-            dp, dq = _dot(normal, p), _dot(normal, q)
-            if dp >= 0:
-                out.append(p)
-            if (dp >= 0) != (dq >= 0):
-                w = dp / (dp - dq)
-                x = tuple(u + w * (v - u) for u, v in zip(p, q))
-                n = math.sqrt(_dot(x, x))
-                out.append(tuple(v / n for v in x))
-        points = out
-        if len(points) < 3:
-            return []
-    return points
+def cut(points: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """The part of a figure (unit vectors) on the positive side of a great circle: all its edges at once."""
+    if not len(points):
+        return points
+    side = points @ normal
+    after, inside = np.roll(side, -1), side >= 0
+    crosses = inside != (after >= 0)
+    if inside.all():
+        return points
+    weight = np.where(crosses, side / np.where(crosses, side - after, 1.0), 0.0)
+    met = points + weight[:, None] * (np.roll(points, -1, axis=0) - points)
+    met /= np.maximum(np.linalg.norm(met, axis=1), 1e-300)[:, None]
+    # Each point is followed by where its edge meets the circle.
+    both, kept = np.stack([points, met], axis=1).reshape(-1, 3), np.stack([inside, crosses], axis=1).ravel()
+    out = both[kept]
+    return out if len(out) > 2 else out[:0]
+
+
+def figure_area(points: np.ndarray) -> float:
+    """Area of a figure of great circles on the unit sphere: the sum of its fan of triangles."""
+    if len(points) < 3:
+        return 0.0
+    a, b, c = points[0], points[1:-1], points[2:]
+    return abs(float(2 * np.arctan2(np.cross(b, c) @ a, 1 + b @ a + (b * c).sum(axis=1) + c @ a).sum()))
+
+
+def _ring(points: list) -> np.ndarray:
+    return np.array([_unit(*p) for p in points])
+
+
+def strip_overlaps(rings: list[tuple[np.ndarray, int]], x0: float, x1: float, rows: list[tuple[float, float]]) -> np.ndarray:
+    """Overlap (on the unit sphere) of a polygon with each cell of one column of cells: the polygon's rings
+    (with the sign of their area) are cut by the column's two meridians once, and that by each cell's ends."""
+    west, east = np.array(_unit(x0 + 90, 0.0)), np.array(_unit(x1 - 90, 0.0))
+    strips = [(piece, sign) for ring, sign in rings if len(piece := cut(cut(ring, west), east))]
+    out = np.zeros(len(rows))
+    if strips:
+        for k, (y0, y1) in enumerate(rows):
+            south = np.array(_cross(_unit(x0, y0), _unit(x1, y0)))
+            north = np.array(_cross(_unit(x1, y1), _unit(x0, y1)))
+            out[k] = sum(sign * figure_area(cut(cut(piece, south), north)) for piece, sign in strips)
+    return out
 
 
 def polygon_area(polygon: dict) -> float:
     """Area in m2, great-circle edges, holes taken off."""
     total = 0.0
     for rings in parts(polygon):
-        sizes = [abs(sphere_area([_unit(*p) for p in ring])) for ring in rings]
+        sizes = [figure_area(_ring(ring)) for ring in rings]
         total += sizes[0] - sum(sizes[1:])
     return total * RADIUS_M**2
 
 
-def _overlap(polygon_parts: list, box: tuple[float, float, float, float]) -> float:
-    x0, x1, y0, y1 = box
-    window = [_unit(*p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
-    total = 0.0
-    for rings in polygon_parts:
-        for k, ring in enumerate(rings):
-            piece = clipped([_unit(*p) for p in ring], window)
-            if piece:
-                total += (1 if k == 0 else -1) * abs(sphere_area(piece))
-    return total
+def candidate_ranges(edges: list[tuple[float, float]], low: float, high: float) -> tuple[int, int]:
+    """First position, and the one after the last, of the cells of an axis that overlap a range: a binary search
+    in the axis' edges, whichever way it runs."""
+    starts, ends = np.array([a for a, _ in edges]), np.array([b for _, b in edges])
+    if len(edges) > 1 and starts[0] > starts[-1]:
+        first, last = candidate_ranges(edges[::-1], low, high)
+        return len(edges) - last, len(edges) - first
+    return int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left"))
 
 
 def polygon_weights(cube: Cube, polygons: list[dict], dimension: str = "2d", depth_bounds: list | None = None, include_zero: bool = False,
@@ -299,43 +313,46 @@ def polygon_weights(cube: Cube, polygons: list[dict], dimension: str = "2d", dep
     """Overlap of each polygon with each cell: areas, the share of the cell covered, and how much of the
     polygon the grid covers. ``3d`` adds layers and volumes. ``include_zero`` keeps pairs without overlap.
 
-    Candidate pairs are found by boxes, then clipped exactly on the sphere in Arrow batches.
+    A polygon's candidates are the cells in the range of positions that its box covers, found by binary
+    search; no other pair is made. Each column of candidates is one task's row: the polygon is cut to the
+    column once, then to its cells.
     """
     require(dimension in ("2d", "3d"), "bad_argument", "dimension is 2d or 3d")
     require(bool(polygons), "bad_argument", "there are no polygons")
     lon, lat = cell_edges(cube, lon_bounds, lat_bounds)
     shapes = [parts(p) for p in polygons]
-    xs = [[x for rings in s for x, _ in rings[0]] for s in shapes]
-    ys = [[y for rings in s for _, y in rings[0]] for s in shapes]
-    # Great-circle edges bulge beyond the box of their ends, by less than 2 degrees for edges up to 40 degrees.
-    margin = [0.0 if max(x) - min(x) == 0 else max(0.1, (max(x) - min(x)) ** 2 / 400) for x in xs]
-    boxes = [(i, str(p.get("id", i + 1)), min(x), max(x), max(-90.0, min(y) - m), min(90.0, max(y) + m), polygon_area(p)) for i, (p, x, y, m) in enumerate(zip(polygons, xs, ys, margin))]
+    rings = [[(_ring(ring), 1 if k == 0 else -1) for part in s for k, ring in enumerate(part)] for s in shapes]
+    rows, columns = [], []
+    for i, (p, s) in enumerate(zip(polygons, shapes)):
+        rows.append((i, str(p.get("id", i + 1)), polygon_area(p)))
+        if include_zero:
+            columns.append((i, 0, len(lon), 0, len(lat)))
+            continue
+        x, y = [x for part in s for x, _ in part[0]], [y for part in s for _, y in part[0]]
+        # Great-circle edges bulge beyond the box of their ends, by less than 2 degrees for edges up to 40 degrees.
+        margin = 0.0 if max(x) == min(x) else max(0.1, (max(x) - min(x)) ** 2 / 400)
+        columns.append((i, *candidate_ranges(lon, min(x), max(x)), *candidate_ranges(lat, max(-90.0, min(y) - margin), min(90.0, max(y) + margin))))
     spark = cube.spark
-    # The polygons come as code literals with the call, so their boxes are as bounded as the call itself.
-    table = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(n).alias("feature_id"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.lit(c).alias("y0"), F.lit(d).alias("y1"), F.lit(s).alias("polygon_area_m2"))
-                      for i, n, a, b, c, d, s in boxes])
-    cells = _places(cube).select("lon_idx", "lat_idx", *_edge_columns(cube, lon, lat))
-    area = F.abs(_excess(*[F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])) * F.lit(RADIUS_M**2)
-    pairs = cells.withColumn("cell_area_m2", area).withColumn("p", F.explode(table)).select("*", "p.*").drop("p")
-    meets = (F.col("lon_max") > F.col("x0")) & (F.col("lon_min") < F.col("x1")) & (F.col("lat_max") > F.col("y0")) & (F.col("lat_min") < F.col("y1"))
-    pairs = pairs.withColumn("_meets", meets)
-    pairs = pairs if include_zero else pairs.where("_meets")
-
-    @F.pandas_udf("double")
-    def overlap(feature, x0, x1, y0, y1, near):
-        import pandas as pd
+    features = F.broadcast(spark.createDataFrame(rows, "feature int, feature_id string, polygon_area_m2 double"))
+    wanted = spark.createDataFrame([c for c in columns if c[1] < c[2] and c[3] < c[4]], "feature int, i0 int, i1 int, j0 int, j1 int")
+    wanted = wanted.select("feature", "j0", "j1", F.explode(F.sequence("i0", F.col("i1") - 1)).alias("lon_idx")).repartition("feature", "lon_idx")
 
-        return pd.Series([_overlap(shapes[f], (a, b, c, d)) * RADIUS_M**2 if m else 0.0 for f, a, b, c, d, m in zip(feature, x0, x1, y0, y1, near)])
+    def overlaps(batches: Iterator) -> Iterator:
+        for frame in batches:
+            for feature, j0, j1, i in frame.itertuples(index=False):
+                found = strip_overlaps(rings[feature], *lon[i], lat[j0:j1]) * RADIUS_M**2
+                yield pd.DataFrame({"feature": np.int32(feature), "lon_idx": np.int32(i), "lat_idx": np.arange(j0, j1, dtype=np.int32), "overlap_area_m2": found})
 
-    got = pairs.withColumn("overlap_area_m2", overlap("feature", "lon_min", "lon_max", "lat_min", "lat_max", "_meets"))
+    area = F.abs(_excess(*[F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])) * F.lit(RADIUS_M**2)
+    pairs = _with_edges(cube, wanted.mapInPandas(overlaps, "feature int, lon_idx int, lat_idx int, overlap_area_m2 double"), lon, lat)
+    got = pairs.withColumn("cell_area_m2", area).join(features, "feature")
     share = F.col("overlap_area_m2") / F.col("cell_area_m2")
     sound = F.when((share > 1 + 1e-10 * 1e4) | (share < -1e-6), F.raise_error("geometry_precision: an overlap exceeds its cell").cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))
     got = got.withColumn("fraction_cell_covered", sound)
-    # Areas of clips below a millionth of a square metre are rounding.
-    got = got if include_zero else got.where("overlap_area_m2 > 1e-6")
-    from pyspark.sql import Window
-
-    got = got.withColumn("intersected_grid_area_m2", F.sum("overlap_area_m2").over(Window.partitionBy("feature")))
+    # Doubles hold areas on the unit sphere to about 1e-16: less than 1e-11 of a cell is rounding.
+    got = got if include_zero else got.where("overlap_area_m2 > 1e-11 * cell_area_m2")
+    sums = F.broadcast(got.groupBy("feature").agg(F.sum("overlap_area_m2").alias("intersected_grid_area_m2")))  # a row for each polygon of the call
+    got = got.join(sums, "feature")
     n = len(cube.longitude)
     got = (got.withColumn("feature_order", F.col("feature") + 1).withColumn("longitude_index", F.col("lon_idx") + 1).withColumn("latitude_index", F.col("lat_idx") + 1)
            .withColumn("cell_index", F.col("lat_idx") * n + F.col("lon_idx") + 1).withColumn("effective_area_m2", F.col("fraction_cell_covered") * F.col("cell_area_m2"))

@@ -32,8 +32,9 @@ def thermodynamic_state(cube: Cube, salinity: str | None = None, temperature: st
     that has salinity and temperature.
 
     Salinity is Absolute Salinity (converting practical salinity needs a lookup table that is not part of
-    this library); temperature is Conservative or potential. Pressure comes from depth and latitude
-    unless a variable holds it. Salinities outside 0 to 42 g/kg are an error when the result is computed.
+    this library); temperature is Conservative, potential or in-situ. Pressure comes from depth and latitude
+    unless a variable holds it. Salinities outside 0 to 42 g/kg, and states outside the oceanographic range
+    (the funnel) of the polynomials, are an error when the result is computed.
     """
     axis = depth_axis(cube, "teos10", 1)
     require(reference_pressure_dbar >= 0, "teos10_reference_pressure", "the reference pressure is not negative")
@@ -42,10 +43,7 @@ def thermodynamic_state(cube: Cube, salinity: str | None = None, temperature: st
     if practical and not any(told.get(v) == "sea_water_absolute_salinity" for v in cube.variables):
         raise GridError("teos10_dependency_missing", "practical salinity needs a lookup table; give Absolute Salinity")
     sa = variable_named(cube, ("sea_water_absolute_salinity",), salinity, "teos10")
-    in_place = [v for v in cube.variables if told.get(v) == "sea_water_temperature" and (temperature is None or v == temperature)]
-    if in_place and not any(told.get(v) in ("sea_water_conservative_temperature", "sea_water_potential_temperature") for v in cube.variables):
-        raise GridError("teos10_dependency_missing", "in-situ temperature is not supported; give Conservative or potential temperature")
-    te = variable_named(cube, ("sea_water_conservative_temperature", "sea_water_potential_temperature"), temperature, "teos10")
+    te = variable_named(cube, ("sea_water_conservative_temperature", "sea_water_potential_temperature", "sea_water_temperature"), temperature, "teos10")
     for v in (sa, te, *[pressure] * (pressure is not None)):
         require(semantics(cube, v) == POINT, "teos10_semantics", f"{v} does not hold point values")
     scale = {"g kg-1": 1.0, "kg kg-1": 1000.0}.get(unit_key(cube.unit(sa)))
@@ -59,13 +57,20 @@ def thermodynamic_state(cube: Cube, salinity: str | None = None, temperature: st
     outside = (F.col("sa") < 0) | (F.col("sa") > 42)
     wide = wide.withColumn("sa", F.when(outside, F.raise_error("teos10_range: a salinity lies outside 0 to 42 g/kg").cast("double")).otherwise(F.col("sa")))
     given = F.col("_1") + F.lit(shift)
-    wide = wide.withColumn("ct", given if told[te] == "sea_water_conservative_temperature" else seawater.conservative_from_potential(F.col("sa"), given))
     if pressure is None:
         wide = wide.join(_pressures(cube, axis.centres), ["lat_idx", "depth_idx"])
     else:
         factor = {"dbar": 1.0, "pa": 1e-4}.get(unit_key(cube.unit(pressure)))
         require(factor is not None, "teos10_unit", "the unit of pressure is not known")
         wide = wide.withColumn("p", F.col("_2") * factor).where("p is not null")
+    wide = wide.withColumn("pt", given)
+    if told[te] == "sea_water_temperature":  # each step a column of its own, so that its expression stays small
+        wide = wide.withColumn("entropy", seawater.entropy(F.col("sa"), F.col("pt"), F.col("p")))
+        for _ in range(3):
+            wide = wide.withColumn("pt", seawater.newton_potential(F.col("sa"), F.col("pt"), F.col("entropy")))
+    wide = wide.withColumn("ct", F.col("pt") if told[te] == "sea_water_conservative_temperature" else seawater.conservative_from_potential(F.col("sa"), F.col("pt")))
+    odd = seawater.outside_funnel(F.col("sa"), F.col("ct"), F.col("p"))
+    wide = wide.withColumn("ct", F.when(odd, F.raise_error("teos10_outside_funnel: a state lies outside the oceanographic range").cast("double")).otherwise(F.col("ct")))
     values = {"absolute_salinity": F.col("sa"), "conservative_temperature": F.col("ct"), "pressure": F.col("p"), "density": seawater.density(F.col("sa"), F.col("ct"), F.col("p")),
               "potential_density": seawater.density(F.col("sa"), F.col("ct"), F.lit(float(reference_pressure_dbar)))}
     cells = F.explode(F.array(*[F.struct(F.lit(name).alias("variable"), value.alias("value")) for name, value in values.items()]))

@@ -50,10 +50,53 @@ def history(meta: dict) -> dict:
     return copy.deepcopy(found)
 
 
+def references(operations: list[dict]) -> list[str]:
+    """Names of the lineages that operations take as inputs, in order, each once."""
+    return list(dict.fromkeys(i["lineage"] for o in operations for i in o["inputs"] if "lineage" in i))
+
+
 def graph(document: dict) -> str:
-    """A digest of what was done, whatever it was done on."""
-    told = [{k: o[k] for k in ("operation", "parameters", "inputs", "method")} for o in document["operations"]]
-    return hashlib.sha256(json.dumps([told, {k: v["graph"] for k, v in document["lineages"].items()}], sort_keys=True).encode()).hexdigest()
+    """A digest of what was done, whatever it was done on and however lineages are numbered: a reference to a
+    lineage counts as the digest of what it leads to."""
+    known: dict[str, str] = {}
+
+    def digest(operations: list[dict], path: tuple[str, ...]) -> str:
+        told = []
+        for o in operations:
+            inputs = []
+            for i in o["inputs"]:
+                if "lineage" in i:
+                    name = i["lineage"]
+                    require(name in document["lineages"], "provenance_reference", f"there is no lineage {name}")
+                    require(name not in path, "provenance_reference", f"lineage {name} leads back to itself")
+                    if name not in known:
+                        known[name] = digest(document["lineages"][name]["operations"], (*path, name))
+                    i = i | {"lineage": known[name]}
+                inputs.append(i)
+            told.append({k: o[k] for k in ("operation", "parameters", "method")} | {"inputs": inputs})
+        return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
+
+    return digest(document["operations"], ())
+
+
+def checked(document: dict) -> dict:
+    """The document, if it holds together: a known schema, operations numbered from one, every reference to a
+    lineage that is there, none that leads back to itself, and no lineage that nothing refers to."""
+    require(document.get("schema") == SCHEMA, "provenance_future_schema" if document.get("schema", 0) > SCHEMA else "provenance_schema", f"schema {document.get('schema')} is not {SCHEMA}")
+    own = {"": document["operations"]} | {name: v["operations"] for name, v in document["lineages"].items()}
+    for name, operations in own.items():
+        require([o["id"] for o in operations] == [f"op_{k:03d}" for k in range(1, len(operations) + 1)], "provenance_reference", f"operations of {name or 'the history'} are not numbered from one")
+    graph(document)
+    for name, v in document["lineages"].items():
+        require(v["graph"] == graph(document | {"operations": v["operations"]}), "provenance_reference", f"lineage {name} is not what its digest says")
+    reached, ahead = set(), references(document["operations"])
+    while ahead:
+        name = ahead.pop()
+        if name not in reached:
+            reached.add(name)
+            ahead += references(own[name])
+    require(reached == set(document["lineages"]), "provenance_reference", "a lineage is not referred to")
+    return document
 
 
 def same(a: dict, b: dict) -> bool:
@@ -69,14 +112,27 @@ def appended(document: dict, operation: str, parameters: dict, inputs: list[dict
 
 
 def joined(document: dict, other: dict) -> tuple[dict, str]:
-    """``document`` with ``other`` as a secondary lineage, and its name; an equal one is not added twice."""
-    out, mark = copy.deepcopy(document), graph(other)
-    for name, known in out["lineages"].items():
-        if known["graph"] == mark:
-            return out, name
-    name = f"lineage_{len(out['lineages']) + 1:03d}"
-    out["lineages"][name] = {"graph": mark, "operations": copy.deepcopy(other["operations"])}
-    return out, name
+    """``document`` with ``other`` as a secondary lineage, and its name.
+
+    The lineages that ``other`` refers to, at any depth, come along under new names, and its references
+    follow them; a lineage that is there already, under whatever name, is not added again."""
+    out, names = copy.deepcopy(document), {}
+    known = {v["graph"]: name for name, v in out["lineages"].items()}
+
+    def added(operations: list[dict]) -> str:
+        for name in references(operations):
+            require(name in other["lineages"], "provenance_reference", f"there is no lineage {name}")
+            if name not in names:
+                names[name] = added(other["lineages"][name]["operations"])
+        mark = graph(other | {"operations": operations})
+        if mark not in known:
+            known[mark] = f"lineage_{len(out['lineages']) + 1:03d}"
+            renamed = [o | {"inputs": [i | {"lineage": names[i["lineage"]]} if "lineage" in i else i for i in o["inputs"]]} for o in copy.deepcopy(operations)]
+            out["lineages"][known[mark]] = {"graph": mark, "operations": renamed}
+        return known[mark]
+
+    graph(other)  # refuses references that lead nowhere or back
+    return out, added(other["operations"])
 
 
 def recorded(cube, operation: str, parameters: dict, other=None, kind: str = "historical"):

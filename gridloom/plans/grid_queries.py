@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.cube import Cube
+from gridloom.errors import require
 from gridloom.functions import seawater
 from gridloom.operators import checks, diagnostics, geometry, path, physics, select, temporal, vertical
 from gridloom.plans import plotdata
@@ -100,7 +101,10 @@ def _from_table(spark, sf):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors see: below ``spark.checkpoint.dir``, or local where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        require(spark.sparkContext.master.startswith("local["), "bad_storage", "set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/gridloom-grid-{uuid.uuid4().hex}"
 
 
@@ -143,6 +147,24 @@ def _opened_crop(spark, sf):
     return rounded(crop.table().drop("variable").where("value is not null"), "value")
 
 
+@query("netcdf_filter", RAW + " SELECT CAST(x AS INTEGER) lon_idx, CAST(y AS INTEGER) lat_idx, CAST(d AS INTEGER) depth_idx, dense_rank() OVER (ORDER BY t) - 1 AS time_idx, round(v, 6) AS value FROM mc QUALIFY x IN (0, 3) AND y = 1 AND d < 2 AND v IS NOT NULL")
+def _filtered(spark, sf):
+    """Filters on positions of a file's rows, pushed to the read by Spark."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = cf.cube_open(own, _file(spark, sf)).df.where("lon_idx in (0, 3) and lat_idx = 1 and depth_idx < 2 and value is not null")
+    return rounded(rows.select("lon_idx", "lat_idx", "depth_idx", F.col("time_idx").cast("long").alias("time_idx"), "value"), "value")
+
+
+@query("netcdf_points", RAW + """, p(k, x, y) AS (VALUES (1, 0, 0), (2, 1, 1), (3, 2, 0), (4, 4, 1))
+SELECT k AS point_order, CAST(10 * mc.d + 5 AS DOUBLE) depth, round(mc.v, 6) AS value FROM p LEFT JOIN mc ON mc.x = p.x AND mc.y = p.y AND mc.t = (SELECT min(t) FROM months) AND mc.d IN (1, 3) WHERE mc.v IS NOT NULL""")
+def _points(spark, sf):
+    """A transect of a file: the columns of its points are read, not the rectangle around them."""
+    cube = cf.cube_open(spark, _file(spark, sf))
+    out = path.transect(cube, ROUTE, cube.time[0], depth=[15.0, 35.0])
+    return rounded(out.where("value is not null").select("point_order", "depth", "value"), "value")
+
+
 @query("read_nc", _FILE)
 def _read_nc(spark, sf):
     return rounded(cf.read_nc(spark, _file(spark, sf), ["extendedprice"]).table().drop("variable").where("value is not null"), "value")
@@ -153,11 +175,17 @@ def _collected(spark, sf):
     return rounded(_daily(spark, sf).collect().table().drop("variable"), "value")
 
 
-@query("provenance", "SELECT * FROM (VALUES (1::BIGINT, 'crop'), (2, 'aggregate_time'), (3, 'mask')) t(step, operation)")
+@query("provenance", RAW + """, s AS (SELECT x, y, d, CAST(date_trunc('month', t) AS DATE) t, avg(v) v FROM c WHERE x IN (1, 2, 3) GROUP BY 1, 2, 3, 4)
+SELECT 1::BIGINT AS step, 'crop' AS operation, (SELECT count(v) FROM c WHERE x IN (1, 2, 3)) AS n_values UNION ALL SELECT 2, 'aggregate_time', (SELECT count(v) FROM s)
+UNION ALL SELECT 3, 'mask', (SELECT count(v) FROM s WHERE x IN (1, 2) AND y = 1 OR x = 1 AND y = 0)""")
 def _provenance(spark, sf):
-    cube = temporal.aggregate_time(select.crop(_daily(spark, sf), longitude=(-79.2, -76.9)), "month")[0]
-    told = geometry.mask(cube, SQUARE).meta["provenance"]["operations"]
-    return spark.createDataFrame([(k, o["operation"]) for k, o in enumerate(told, 1)], "step long, operation string")
+    """What was done to the values, and how many were left after each step."""
+    crop = select.crop(_daily(spark, sf), longitude=(-79.2, -76.9))
+    month = temporal.aggregate_time(crop, "month")[0]
+    steps = [crop, month, geometry.mask(month, SQUARE)]
+    told = steps[-1].meta["provenance"]["operations"]
+    counts = [c.df.agg(F.lit(k).cast("long").alias("step"), F.lit(o["operation"]).alias("operation"), F.count("value").alias("n_values")) for k, (o, c) in enumerate(zip(told, steps), 1)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # ---- selection -----------------------------------------------------------------------------------
@@ -504,11 +532,72 @@ def _density(spark, sf):
     return rounded(out.drop("variable"), "value", digits=5)
 
 
-@query("stratification")
+def _slope_sql(along: int) -> str:
+    """The polynomial's derivative along salinity (0) or temperature (1), in the variables' own units."""
+    terms = []
+    for (i, j, k), c in seawater._V.items():
+        n = i if along == 0 else j
+        if n:
+            i2, j2 = (i - 2, j) if along == 0 else (i, j - 1)
+            factor = n * (0.5 * 0.0248826675584615 if along == 0 else 0.025)
+            terms.append(f"{c!r}::DOUBLE * {factor!r}::DOUBLE * pow(sqrt(0.0248826675584615::DOUBLE * sa + 0.5971840214030754::DOUBLE), {i2}) * pow(0.025::DOUBLE * ct, {j2}) * pow(0.0001::DOUBLE * p, {k})")
+    return "(" + " + ".join(terms) + ")"
+
+
+def _levels_sql() -> str:
+    """Sea pressure and gravity of the grid's latitudes and depths, as the two helper tables of the state."""
+    levels = [(y, d, seawater.pressure(10.0 * d + 5, -12.0 + y), seawater.gravity(-12.0 + y, seawater.pressure(10.0 * d + 10, -12.0 + y))) for y in range(2) for d in range(7)]
+    return "(VALUES " + ", ".join(f"({y}, {d}, {p!r}::DOUBLE, {g!r}::DOUBLE)" for y, d, p, g in levels) + ") l(y, d, p, g)"
+
+
+_N2 = RAW + f""", s AS (SELECT x, y, d, CAST(date_trunc('month', t) AS DATE) t, 30 + avg(q) * 0.16 sa, avg(r) * 250 ct FROM raw GROUP BY 1, 2, 3, 4),
+lv AS (SELECT * FROM {_levels_sql()}),
+st AS (SELECT s.*, lv.p, lv.g FROM s JOIN lv USING (y, d)),
+pr AS (SELECT a.x, a.y, a.d, a.t, a.g, (a.sa + b.sa) / 2 sa, (a.ct + b.ct) / 2 ct, (a.p + b.p) / 2 p, b.sa - a.sa dsa, b.ct - a.ct dct, b.p - a.p dp
+  FROM st a JOIN st b ON b.x = a.x AND b.y = a.y AND b.t = a.t AND b.d = a.d + 1),
+o AS (SELECT *, {_volume_sql('sa', 'ct', 'p')} v, {_slope_sql(0)} vs, {_slope_sql(1)} vt FROM pr)
+SELECT CAST(-80 + x AS DOUBLE) longitude, CAST(-12 + y AS DOUBLE) latitude, CAST(10 * d + 10 AS DOUBLE) depth, t AS time, 'n2' AS variable,
+  round(g * g * (-vs / v * dsa - vt / v * dct) / (v * dp * 10000), 9) AS value FROM o
+UNION ALL SELECT CAST(-80 + x AS DOUBLE), CAST(-12 + y AS DOUBLE), CAST(10 * d + 10 AS DOUBLE), t, 'pressure_mid', round(p, 9) FROM o"""
+
+
+@query("stratification", _N2)
 def _n2(spark, sf):
     return rounded(physics.stratification(physics.thermodynamic_state(_state(spark, sf))).table(), "value", digits=9)
 
 
+_IN_PLACE = {"quantity": {"standard_name": "sea_water_absolute_salinity", "unit": "g kg-1"}, "discount": {"standard_name": "sea_water_temperature", "unit": "degC"}}
+
+
+def _entropy_sql(t: str, p: str, slope: bool = False) -> str:
+    x = "sqrt(0.0248826675584615::DOUBLE * sa)"
+    terms = [f"{c * (j if slope else 1)!r}::DOUBLE * pow({x}, {i}) * pow(0.025::DOUBLE * {t}, {j - slope}) * pow(0.0001::DOUBLE * {p}, {k})"
+             for (i, j, k), c in seawater._ENTROPY.items() if (k == 0 or p != "0") and (j or not slope)]
+    return f"({'-0.000625' if slope else '-0.025'}::DOUBLE * (" + " + ".join(terms) + "))"
+
+
+def _newton_sql(source: str, target: str, old: str, new: str) -> str:
+    return f"{target} AS (SELECT *, {old} - ({_entropy_sql(old, '0')} - e) / {_entropy_sql(old, '0', True)} AS {new} FROM {source})"
+
+
+_CT_SQL = "((" + " + ".join(f"{c!r}::DOUBLE * pow(sqrt(0.0248826675584615::DOUBLE * sa), {i}) * pow(0.025::DOUBLE * pt3, {j})" for i, row in enumerate(seawater._ENTHALPY) for j, c in enumerate(row)) + f") / {seawater._HEAT_CAPACITY!r}::DOUBLE)"
+_IN_SITU_SQL = RAW + f""", s AS (SELECT x, y, d, CAST(date_trunc('month', t) AS DATE) t, 30 + avg(q) * 0.16 sa, avg(r) * 250 pt0 FROM raw GROUP BY 1, 2, 3, 4),
+lv AS (SELECT * FROM {_levels_sql()}),
+n0 AS (SELECT s.*, lv.p, {_entropy_sql('pt0', 'lv.p')} AS e FROM s JOIN lv USING (y, d)),
+{_newton_sql('n0', 'n1', 'pt0', 'pt1')}, {_newton_sql('n1', 'n2', 'pt1', 'pt2')}, {_newton_sql('n2', 'n3', 'pt2', 'pt3')},
+ct AS (SELECT *, {_CT_SQL} AS ct FROM n3)
+SELECT {AT.format('')}, t AS time, 'conservative_temperature' AS variable, round(ct, 6) AS value FROM ct
+UNION ALL SELECT {AT.format('')}, t, 'potential_density', round(1 / {_volume_sql('sa', 'ct', '0')}, 6) FROM ct"""
+
+
+@query("in_situ_state", _IN_SITU_SQL)
+def _in_situ(spark, sf):
+    cube = point_profiles(spark, sf, ("quantity", "discount"), _IN_PLACE)
+    value = F.when(F.col("variable") == "quantity", 30 + F.col("value") * 0.16).otherwise(F.col("value") * 250)
+    out = physics.thermodynamic_state(cube.with_(df=cube.df.withColumn("value", value))).table()
+    return rounded(out.where("variable in ('conservative_temperature', 'potential_density')"), "value", digits=6)
+
+
 # ---- paths, events -------------------------------------------------------------------------------
 
 
@@ -574,34 +663,85 @@ def _stock(spark, sf):
 _AREA = "2 * (atan(tan(radians(1.0) / 2) * sin(radians({0} + 0.5))) - atan(tan(radians(1.0) / 2) * sin(radians({0} - 0.5)))) * 6371010.0 * 6371010.0"
 
 
-@query("cell_area", RAW + " SELECT " + XY.format("") + ", round(" + _AREA.format("(-12.0 + y)") + " / 1e6, 4) area FROM place")
-def _area(spark, sf):
-    return rounded(geometry.cell_area(_daily(spark, sf), "km2"), "area", digits=4)
+def _weighted(cube: Cube, weights: DataFrame, weight: str, by: list[str]) -> DataFrame:
+    """Mean of a cube's values by ``by``, weighted by a table of the grid, and the weights' sum."""
+    on = [c for c in ("longitude", "latitude", "depth") if c in weights.columns]
+    rows = cube.table().where("value is not null").join(F.broadcast(weights), on)  # as many rows as the grid has cells
+    return rows.groupBy(*by).agg(F.round(F.sum(F.col("value") * F.col(weight)) / F.sum(weight), 6).alias("value"), F.round(F.sum(weight), 3).alias("weight"))
+
+
+def _monthly(spark, sf):
+    return daily_price(spark, sf, monthly=True)
+
+
+_MEAN = RAW + ", w AS (SELECT mc.*, {0} AS w FROM mc WHERE v IS NOT NULL) SELECT {1}, round(sum(v * w) / sum(w), 6) AS value, round(sum(w), 3) AS weight FROM w GROUP BY ALL"
+
+
+@query("cell_area", _MEAN.format(_AREA.format("(-12.0 + y)") + " / 1e6", "t AS time"))
+def _areas(spark, sf):
+    cube = _monthly(spark, sf)
+    return _weighted(cube, geometry.cell_area(cube, "km2"), "area", ["time"])
+
+
+@query("layer_thickness", _MEAN.format("10.0::DOUBLE", "CAST(-80 + x AS DOUBLE) longitude, t AS time"))
+def _layers(spark, sf):
+    cube = _monthly(spark, sf)
+    return _weighted(cube, geometry.layer_thickness(cube, unit="m"), "thickness", ["longitude", "time"])
+
+
+@query("cell_volume", _MEAN.format(_AREA.format("(-12.0 + y)") + " * 10 / 1e9", "t AS time"))
+def _volumes(spark, sf):
+    cube = _monthly(spark, sf)
+    return _weighted(cube, geometry.cell_volume(cube, unit="km3"), "volume", ["time"])
+
+
+def _share_sql() -> str:
+    """Share of each grid cell that each polygon of ``SQUARE`` covers, by integration over longitude: at a
+    longitude, a figure reaches from the great circle of its lower edge to that of its upper edge, and
+    the area of a sliver is its width times the difference of the sines of latitude."""
+    edge = lambda y, x0, x1: f"tan(radians({y})) * cos(radians(m - ({x0} + {x1}) / 2)) / cos(radians(({x1} - {x0}) / 2))"
+    sine = lambda tangent: f"(({tangent}) / sqrt(1 + ({tangent}) * ({tangent})))"
+    boxes = []
+    for p in SQUARE:
+        xs, ys = [x for x, _ in p["rings"][0]], [y for _, y in p["rings"][0]]
+        boxes.append(f"('{p['id']}', {min(xs)}::DOUBLE, {max(xs)}::DOUBLE, {min(ys)}::DOUBLE, {max(ys)}::DOUBLE)")
+    n = 4000
+    return f"""bx AS (SELECT * FROM (VALUES {', '.join(boxes)}) b(id, x0, x1, y0, y1)),
+ce AS (SELECT x, y, -80.5::DOUBLE + x AS c0, -79.5::DOUBLE + x AS c1, -12.5::DOUBLE + y AS d0, -11.5::DOUBLE + y AS d1 FROM place),
+sl AS (SELECT id, x, y, c0, c1, d0, d1, x0, x1, y0, y1, greatest(c0, x0) AS a, (least(c1, x1) - greatest(c0, x0)) / {n} AS h, greatest(c0, x0) + (k.range + 0.5) * (least(c1, x1) - greatest(c0, x0)) / {n} AS m
+  FROM ce, bx, range({n}) k WHERE least(c1, x1) > greatest(c0, x0)),
+sh AS (SELECT id, x, y, sum(greatest(0, {sine("least(" + edge('d1', 'c0', 'c1') + ", " + edge('y1', 'x0', 'x1') + ")")} - {sine("greatest(" + edge('d0', 'c0', 'c1') + ", " + edge('y0', 'x0', 'x1') + ")")}) * radians(h)) * 6371010.0 * 6371010.0 AS o
+  FROM sl GROUP BY 1, 2, 3)"""
 
 
-@query("layer_thickness", "SELECT CAST(10 * range + 5 AS DOUBLE) depth, 10.0::DOUBLE thickness FROM range(7)")
-def _thick(spark, sf):
-    return geometry.layer_thickness(_daily(spark, sf), unit="m")
+_SHARES = RAW + ", " + _share_sql() + """, w AS (SELECT id, mc.*, o * {0} AS w FROM mc JOIN sh ON sh.x = mc.x AND sh.y = mc.y WHERE v IS NOT NULL AND o > 1e-6)
+SELECT id AS feature_id, t AS time, round(sum(v * w) / sum(w), 3) AS value, round(sum(w) / 1e12, 4) AS weight FROM w GROUP BY 1, 2"""
 
 
-@query("cell_volume", RAW + " SELECT " + AT.format("") + ", round(" + _AREA.format("(-12.0 + y)") + " * 10 / 1e9, 4) volume FROM grid")
-def _vol(spark, sf):
-    return rounded(geometry.cell_volume(_daily(spark, sf), unit="km3"), "volume", digits=4)
+def _by_polygon(cube: Cube, weights: DataFrame, weight: str) -> DataFrame:
+    on = [c for c in ("longitude", "latitude", "depth") if c in weights.columns]
+    rows = cube.table().where("value is not null").join(F.broadcast(weights), on)  # as many rows as polygons have candidate cells
+    return rows.groupBy("feature_id", "time").agg(F.round(F.sum(F.col("value") * F.col(weight)) / F.sum(weight), 3).alias("value"), F.round(F.sum(weight) / 1e12, 4).alias("weight"))
 
 
-@query("polygon_weights")
+@query("polygon_weights", _SHARES.format("1"))
 def _weights(spark, sf):
-    return rounded(geometry.polygon_weights(_daily(spark, sf), SQUARE), "fraction_cell_covered", "overlap_area_m2", digits=5)
+    cube = _monthly(spark, sf)
+    return _by_polygon(cube, geometry.polygon_weights(cube, SQUARE).select("feature_id", "longitude", "latitude", "effective_area_m2"), "effective_area_m2")
 
 
-@query("polygon_weights_3d")
+@query("polygon_weights_3d", _SHARES.format("10"))
 def _weights3(spark, sf):
-    return geometry.polygon_weights(_daily(spark, sf), SQUARE, "3d")
+    cube = _monthly(spark, sf)
+    return _by_polygon(cube, geometry.polygon_weights(cube, SQUARE, "3d").select("feature_id", "longitude", "latitude", "depth", "effective_volume_m3"), "effective_volume_m3")
 
 
-@query("coast_dist", RAW + " SELECT " + XY.format("") + """, round(asin(cos(radians(-12.0 + y)) * sin(radians(1.0 + x))) * 6371010.0 * 0.000539957, 4) distance_nm FROM place""")
+@query("coast_dist", RAW + """, w AS (SELECT mc.*, round(asin(cos(radians(-12.0 + y)) * sin(radians(1.0 + x))) * 6371010.0 * 0.000539957, 4) nm FROM mc WHERE v IS NOT NULL)
+SELECT nm AS distance_nm, count(*) AS n, round(avg(v), 6) AS value FROM w GROUP BY 1""")
 def _coast(spark, sf):
-    return rounded(geometry.coast_dist(_daily(spark, sf), COAST), "distance_nm", digits=4)
+    cube = _monthly(spark, sf)
+    rows = cube.table().where("value is not null").join(F.broadcast(rounded(geometry.coast_dist(cube, COAST), "distance_nm", digits=4)), ["longitude", "latitude"])
+    return rows.groupBy("distance_nm").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
 
 
 # ---- plot tables ---------------------------------------------------------------------------------

@@ -430,3 +430,85 @@ def test_track(spark):
     rows = path.along(frame, "x", "y", "o").orderBy("o").collect()
     assert rows[0].distance_km == 0 and abs(rows[2].distance_km - 2 * 111.195) < 0.05
     assert frame.select(F.count("*")).first()[0] == 3
+
+
+# ---- sea water of in-situ temperature, polygons ---------------------------------------------------
+
+T_IN_SITU = (28.7856, 28.4329, 22.8103, 10.2600, 6.8863, 4.4036)
+CT_PUBLISHED = (28.809919826700281, 28.439227816091140, 22.786176893078498, 10.226189266620782, 6.827213633479988, 4.323575748610455)
+
+
+def state_cube(spark, salinity, temperature, name="sea_water_temperature", unit="degC", pressures=P):
+    data = np.array([salinity, temperature, pressures]).T.reshape(1, 1, len(salinity), 1, 3)
+    cube = Cube.from_arrays(spark, (188.0,), (4.0,), tuple(float(p) for p in P[:len(salinity)]), (date(2020, 1, 1),), ("s", "t", "p"), data, {"s": "g kg-1", "t": unit, "p": "dbar"})
+    return cube.with_(meta=cube.meta | {"vertical": {"kind": "DEPTH_LENGTH", "unit": "m", "positive": "down", "semantics": dict.fromkeys("stp", "VERTICAL_POINT")},
+                                        "standard_names": {"s": "sea_water_absolute_salinity", "t": name, "p": "sea_water_pressure"}})
+
+
+@pytest.mark.parametrize("unit,shift", [("degC", 0.0), ("K", 273.15)])
+def test_in_situ_temperature_becomes_conservative(spark, unit, shift):
+    cube = state_cube(spark, SA, [t + shift for t in T_IN_SITU], unit=unit)
+    got = {r.depth_idx: r.value for r in physics.thermodynamic_state(cube, pressure="p").df.where("variable = 'conservative_temperature'").collect()}
+    assert all(abs(got[k] - want) < 1e-8 for k, want in enumerate(CT_PUBLISHED))
+    assert all(abs(seawater.conservative_from_potential(s, seawater.potential_from_in_situ(s, t, p)) - c) < 1e-8 for s, t, p, c in zip(SA, T_IN_SITU, P, CT_PUBLISHED))
+
+
+def test_newton_steps_reach_the_limit_of_doubles():
+    for s in (0.0, 5.0, 35.0, 42.0):
+        for t in (-2.0, 0.0, 10.0, 30.0):
+            for p in (0.0, 500.0, 4000.0, 10000.0):
+                pt = seawater.potential_from_in_situ(s, t, p)
+                assert abs(seawater.entropy(s, pt, 0.0) - seawater.entropy(s, t, p)) < 1e-10 and (p > 0 or abs(pt - t) < 1e-12)
+
+
+@pytest.mark.parametrize("salinity,temperature,pressure,inside", [
+    (35.0, -4.0, 10.0, False), (35.0, -1.8, 10.0, True), (35.0, -2.2, 600.0, True), (35.0, 30.0, 600.0, False), (35.0, 29.0, 600.0, True), (10.0, 20.0, 3000.0, False), (13.0, 20.0, 3000.0, True),
+    (29.0, 5.0, 7000.0, False), (35.0, 11.0, 7000.0, False), (35.0, 5.0, 7000.0, True), (35.0, 5.0, 8001.0, False)])
+def test_states_outside_the_funnel_are_refused(spark, salinity, temperature, pressure, inside):
+    cube = state_cube(spark, [salinity], [temperature], "sea_water_conservative_temperature", pressures=[pressure])
+    state = physics.thermodynamic_state(cube, pressure="p")
+    if inside:
+        assert state.df.count() == 5
+    else:
+        with pytest.raises(Exception, match="teos10_outside_funnel"):
+            state.df.collect()
+
+
+def grid_of(spark, lon, lat):
+    return Cube.from_arrays(spark, lon, lat, (5.0,), (date(2020, 1, 1),), ("v",), np.ones((len(lon), len(lat), 1, 1, 1)))
+
+
+def test_candidates_of_polygons_are_the_cells_of_their_boxes():
+    up = [(k - 0.5, k + 0.5) for k in range(10)]
+    for low, high, want in ((2.2, 4.1, (2, 5)), (2.5, 3.5, (3, 4)), (-5, -1, (0, 0)), (20, 30, (10, 10)), (-5, 30, (0, 10)), (4.4, 4.4, (4, 5))):
+        assert geometry.candidate_ranges(up, low, high) == want
+        assert geometry.candidate_ranges(up[::-1], low, high) == (10 - want[1], 10 - want[0])
+
+
+def test_polygon_weights_make_one_row_for_each_candidate(spark):
+    cube = grid_of(spark, [float(x) for x in range(40)], [float(y) for y in range(-20, 20)])
+    triangle = {"id": "t", "rings": [[(10.2, 3.1), (14.9, 3.4), (12.0, 6.6)]]}
+    rows = geometry.polygon_weights(cube, [triangle]).collect()
+    assert abs(sum(r.overlap_area_m2 for r in rows) / geometry.polygon_area(triangle) - 1) < 1e-9 and len(rows) < 25
+    every = geometry.polygon_weights(cube, [triangle], include_zero=True)
+    assert every.count() == 1600 and every.where("overlap_area_m2 > 1e-6").count() == len(rows)
+    lon, lat = geometry.cell_edges(cube)
+    i0, i1 = geometry.candidate_ranges(lon, 10.2, 14.9)
+    assert (i0, i1) == (10, 16)  # of 40 columns
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlaps_of_any_polygon_add_up(spark, seed):
+    """A star with a hole, over a grid that covers it: cells add up to its area, whatever the grid."""
+    r = np.random.default_rng(seed)
+    angle = np.sort(r.uniform(0, 2 * np.pi, 24))
+    far = r.uniform(2, 6, 24)
+    outline = [(float(3 + a * np.cos(t)), float(40 + a * np.sin(t))) for a, t in zip(far, angle)]
+    hole = [(float(3 + 0.7 * np.cos(t)), float(40 + 0.7 * np.sin(t))) for t in np.linspace(0, 2 * np.pi, 9)[:-1]]
+    star = {"id": "s", "rings": [outline, hole]}
+    for step in (1.0, 2.5):
+        n = int(20 / step)
+        cube = grid_of(spark, [-8 + step * k for k in range(n + 2)], [30 + step * k for k in range(n + 1)][::-1])
+        rows = geometry.polygon_weights(cube, [star]).collect()
+        assert abs(sum(x.overlap_area_m2 for x in rows) / geometry.polygon_area(star) - 1) < 1e-9
+        assert all(abs(x.fraction_polygon_covered_by_grid - 1) < 1e-9 for x in rows)
