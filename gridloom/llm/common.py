@@ -125,6 +125,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     return known.join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "text").limit(rows)
 
 
+class Known(dict):
+    """Values of keys, worked out when they are first asked for; emptied when it holds ``limit`` keys, or
+    ``chars`` characters (or bytes) of keys."""
+
+    def __init__(self, made, limit: int, chars: int = 16_000_000):
+        super().__init__()
+        self.made, self.limit, self.chars, self.held = made, limit, chars, 0
+
+    def __missing__(self, key):
+        if len(self) >= self.limit or self.held > self.chars:
+            self.clear()
+            self.held = 0
+        self.held += len(key)
+        value = self[key] = self.made(key)
+        return value
+
+
 class Recent:
     """A bounded memory of what has been worked out: when ``young`` holds ``limit`` entries, or keys of
     ``chars`` characters together, it becomes the old generation, and entries asked for again move back.

@@ -255,8 +255,8 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarr
 class Tagger:
     """Labels tokens of texts; keeps the scores of at most ``limit`` distinct words."""
 
-    def __init__(self, model: CrfModel, limit: int = 500_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: CrfModel, limit: int = 500_000, chars: int = 16_000_000):
+        self.model, self.limit, self.chars = model, limit, chars
         # What a label can gain over O through the transitions to both sides.
         move = model.move
         self.gain = (move[:, 1:] - move[:, :1]).max(axis=0) + (move[1:] - move[:1]).max(axis=1)
@@ -264,6 +264,7 @@ class Tagger:
 
     def _reset(self) -> None:
         self.of_word: dict[str, int] = {}
+        self.held = 0
         self.of_features: dict[tuple[str, ...], int] = {(): 0}
         self.table = np.zeros((3, 256, len(LABELS)), dtype=np.float64)  # row 0: between texts
 
@@ -279,10 +280,11 @@ class Tagger:
 
     def labels(self, tokens: list[list[str]]) -> list[np.ndarray]:
         """Best labels of each token list."""
-        if len(self.of_word) > self.limit:
+        if len(self.of_word) > self.limit or self.held > self.chars:
             self._reset()
         for word in set().union(*tokens).difference(self.of_word):
             self.of_word[word] = self._row(word)
+            self.held += len(word)
         known, flat = self.of_word.__getitem__, [0]
         for own in tokens:
             flat.extend(map(known, own))

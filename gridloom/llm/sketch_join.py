@@ -17,9 +17,10 @@ That number prunes before any pair is made: a document whose keys are shared by
 partition go (two sets that share ``need`` keys still share the rarest of them). Pairs of what is left
 are tested by size, by the Hamming distance of whole-set bit sketches, then by exact intersection.
 
-Groups of a key are not expanded at once: members are compared with one hub, then with hubs of growing
-number (each member is a hub in one round, chosen by its hash), and members already connected are never
-compared. Components are kept by contraction.
+Members of a key's group are compared with one hub first; what links is contracted, and groups left with
+one component are done. At the others, members outside the group's largest component are compared with
+the rest in blocks of bounded size, each pair of blocks for itself, and only pairs whose sizes and bit
+sketches leave a link possible become rows: a member's closest ones first, and all that are left in the end. Components are kept by contraction.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_dir, merged_labels, own_session, shared_dir, written
+from gridloom.llm.common import Known, drop_dir, merged_labels, own_session, shared_dir, written
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -51,21 +52,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for at most ``limit`` words."""
-
-    limit = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _word_hash(word: bytes) -> int:
+    import xxhash
 
-        if len(self) > self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    return xxhash.xxh3_64_intdigest(word)
 
 
-_HASHES = _WordHashes()
+_HASHES = Known(_word_hash, 1_000_000)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -186,6 +179,50 @@ def _sets(width: int):
     return run
 
 
+def pairs_in_slices(left: np.ndarray, right: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of the lists of two columns, row by row, given the lists' lengths; about
+    ``most`` pairs at once."""
+    each = np.repeat(right, left)  # pairs of each element on the left
+    first = np.repeat(np.cumsum(right) - right, left)
+    ends = np.cumsum(each)
+    at = 0
+    while at < len(each):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - each[at] + most, side="right")))
+        n = each[at:end]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(np.arange(at, end), n), np.repeat(first[at:end], n) + within
+        at = end
+
+
+def _compared(percent: int, most: int | None):
+    """Pairs of different components whose sizes and bit sketches leave a link possible; of each member on the
+    left the ``most`` closest by sketch, if not all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[c.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4 + len(_SKETCH))] for c in batch.columns]
+            lengths = [c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            (doc_x, comp_x, size_x, n_x, *bits_x), (doc_y, comp_y, size_y, n_y, *bits_y) = columns
+            for i, j in pairs_in_slices(*lengths):
+                keep = (size_x[i] < size_y[j]) | ((size_x[i] == size_y[j]) & (comp_x[i] < comp_y[j]))
+                keep &= 100 * np.minimum(n_x[i], n_y[j]) >= percent * np.maximum(n_x[i], n_y[j])
+                i, j = i[keep], j[keep]
+                apart = np.zeros(len(i), dtype=np.int64)
+                for x, y in zip(bits_x, bits_y):
+                    apart += np.bitwise_count((x[i] ^ y[j]).view(np.uint64))
+                near = apart * (100 + percent) <= (100 - percent) * (n_x[i] + n_y[j])
+                i, j, apart = i[near], j[near], apart[near] / (n_x[i[near]] + n_y[j[near]])
+                if most is not None:
+                    order = np.lexsort((apart, i))
+                    i, j = i[order], j[order]
+                    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, dtype=np.int64)
+                    place = np.arange(len(i)) - np.repeat(first, np.diff(np.concatenate([first, [len(i)]])))
+                    i, j = i[place < most], j[place < most]
+                a, b = doc_x[i], doc_y[j]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
 def _view() -> Column:
     return F.col("key").bitwiseAND(F.lit(15))
 
@@ -215,7 +252,7 @@ def _candidates(spark, folder: str, described, own: DataFrame) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                      hubs: int = 16) -> DataFrame:
+                      block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -224,8 +261,8 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     through others are not compared). A text that is null or has no words has no shingles and links
     with nothing; rows with equal sets are always together; rows with a null id link with nothing and
     have a null component; rows that repeat an id form one component. An empty table gives no rows.
-    Columns of other names are ignored. ``hubs`` is the expected number of hubs of a key's group in the
-    second round; each further round has that many times more, until every pair has been considered.
+    Columns of other names are ignored. ``block`` is the number of members of a key's group that one block
+    holds, about.
     """
     user, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     spark = own_session(user)
@@ -270,22 +307,25 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     tested = close = written(spark, close, folder, "close0")
     links = found = linked(close, "links0")
     labels = merged_labels(spark, folder, "merge0", labels, found)
-    largest, low, high = members.agg(F.max("c")).first()[0] or 0, 0, hubs
-    while low < largest:
-        now = members.join(labels, "doc")
-        still = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        now = now.join(written(spark, still, folder, f"open{high}"), "key", "left_semi").join(sets.drop("tokens"), "doc")
-        now = now.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc"), 11) / F.lit(2.0**53))
-        x = now.where((F.col("u") * F.col("c") >= low) & (F.col("u") * F.col("c") < high))
-        x = x.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc", "comp", "n", "u", *_SKETCH)])
-        y = now.select("key", *[F.col(c).alias(f"{c}_y") for c in ("doc", "comp", "n", "u", *_SKETCH)])
-        after = (F.col("u_y") > F.col("u_x")) | ((F.col("u_y") == F.col("u_x")) & (F.col("doc_y") > F.col("doc_x")))
-        pairs = x.join(y, "key").where(after & (F.col("comp_x") != F.col("comp_y")) & near("x", "y")).select(*ordered("doc_x", "doc_y")).distinct()
-        close = written(spark, pairs.join(tested, ["a", "b"], "left_anti"), folder, f"close{high}")
-        found = linked(close, f"links{high}")
+    # Of two components the smaller one (by size, then label) is compared with what is left of a key's group.
+    # At first only a member's closest partners are verified: most of what links is then connected, and the
+    # last round, which verifies every pair that may link, finds few groups open.
+    for turn, most in enumerate((1, 16, None), 1):
+        sizes = written(spark, labels.groupBy("comp").agg(F.count("*").alias("size")), folder, f"sizes{turn}")
+        weighed = written(spark, labels.join(sizes, "comp").select("doc", "comp", "size"), folder, f"weighed{turn}")
+        now = members.select("key", "doc").join(weighed, "doc")
+        still = now.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
+        still = written(spark, still.where("low < high").select("key", F.col("top.comp").alias("main"), F.ceil(F.col("c") / block).cast("int").alias("blocks")), folder, f"open{turn}")
+        placed = written(spark, now.join(still, "key").join(sets.drop("tokens"), "doc"), folder, f"placed{turn}").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+        row = F.collect_list(F.struct("doc", "comp", "size", "n", *_SKETCH))  # about ``block`` members
+        left = placed.where("comp <> main").groupBy("key", "block").agg(row.alias("x")).select("key", "x")
+        right = placed.groupBy("key", "block").agg(row.alias("y")).select("key", "y")
+        left, right = written(spark, left, folder, f"left{turn}"), written(spark, right, folder, f"right{turn}")
+        close = left.join(right, "key").select("x", "y").mapInArrow(_compared(percent, most), "a long, b long").distinct()
+        close = written(spark, close.join(tested, ["a", "b"], "left_anti"), folder, f"close{turn}")
+        found = linked(close, f"links{turn}")
         tested, links = tested.unionByName(close), links.unionByName(found)
-        labels = merged_labels(spark, folder, f"merge{high}", labels, found)
-        low, high = high, high * hubs
+        labels = merged_labels(spark, folder, f"merge{turn}", labels, found)
 
     # Rows that repeat an id belong together whatever their texts are.
     alike = own.where("doc is not null and node is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")

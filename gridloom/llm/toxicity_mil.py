@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fold, labelled_sample, slices
+from gridloom.llm.common import Known, fold, labelled_sample, slices
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -37,18 +37,9 @@ def _features(word: str) -> tuple[str, ...]:
     return (word, f"^{word[:4]}", f"^{word[:5]}") if len(word) > 5 else (word,)
 
 
-class _WordWeights(dict):
-    """Weight of each word, kept for at most ``limit`` words."""
-
-    def __init__(self, weights: dict[str, float], limit: int = 1_000_000):
-        super().__init__()
-        self.weights, self.limit = weights, limit
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > self.limit:
-            self.clear()
-        value = self[word] = sum(self.weights.get(f, 0.0) for f in _features(word))
-        return value
+def word_weights(weights: dict[str, float], limit: int = 1_000_000) -> Known:
+    """Weight of each word, from those of its features."""
+    return Known(lambda word: sum(weights.get(f, 0.0) for f in _features(word)), limit)
 
 
 def gradients(words: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
@@ -110,13 +101,13 @@ def train(texts: list[str], y: np.ndarray, min_docs: int = 5, vocabulary: int =
     return MilModel(float(bias), {w: float(x) for w, x in zip(names, weights) if x > 0})
 
 
-def sentence_scores(text: str, bias: float, weights: _WordWeights) -> list[tuple[int, int, float]]:
+def sentence_scores(text: str, bias: float, weights: Known) -> list[tuple[int, int, float]]:
     """(start, end, score) of every sentence."""
     weight = weights.__getitem__
     return [(*m.span(), 1 / (1 + math.exp(-min(40.0, bias + sum(map(weight, set(_WORD.findall(m.group().lower())))))))) for m in _SENTENCE.finditer(text)]
 
 
-def scored(text: str, bias: float, weights: _WordWeights) -> tuple[float, str]:
+def scored(text: str, bias: float, weights: Known) -> tuple[float, str]:
     """Document score and offending sentences (score 0.5 or more) as start:end, comma-joined."""
     if not any(map(weights.__getitem__, _WORD.findall(text.lower()))):
         # No word has a weight: every sentence has the bias alone.
@@ -136,7 +127,7 @@ def score(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _WordWeights(model.weights)
+        weights = word_weights(model.weights)
         for batch in slices(batches):
             got = [scored(t or "", model.bias, weights) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array([g[0] for g in got], pa.float64()), "offending": pa.array([g[1] for g in got], pa.string())})

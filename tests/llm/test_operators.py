@@ -176,8 +176,8 @@ def family(r, base, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("width,percent,hubs", [(4, 85, 2), (5, 80, 16)])
-def test_sketch_join_equals_brute_force(spark, width, percent, hubs):
+@pytest.mark.parametrize("width,percent,block", [(4, 85, 3), (5, 80, 1024)])
+def test_sketch_join_equals_brute_force(spark, width, percent, block):
     r = random.Random(width)
     texts = []
     for size in (3, 6, 9, 14, 25, 60, 140, 400):
@@ -188,10 +188,57 @@ def test_sketch_join_equals_brute_force(spark, width, percent, hubs):
     texts += ["", " ", None, "one", "one", "ONE two", "a b c d", "a b c d a b c d"]
     r.shuffle(texts)
     rows = list(enumerate(texts))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in sketch_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, hubs=hubs).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in sketch_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, block=block).collect()}
     assert got == components(rows, width, percent)
 
 
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """1200 documents of one passage of 60 words and 12 of their own link with nothing. Their groups' pairs
+    (hundreds of thousands) stay inside the block comparison; only pairs worth an exact check are rows."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, shared + " " + " ".join(f"u{i}_{k}" for k in range(12))) for i in range(1200)]
+    made, write = {}, sketch_join.written
+
+    def counted(session, frame, folder=None, name="t"):
+        out = write(session, frame, folder, name)
+        if name.startswith(("close", "members")):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sketch_join, "written", counted)
+    got = sketch_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert made["members"] > 1200 and sum(n for name, n in made.items() if name.startswith("close")) < 5 * 1200
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark, monkeypatch):
+    """700 copies of one text with words changed, most of which link with most others."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if r.random() < 0.02 else w for w in base)) for i in range(700)]
+    made, write = {}, sketch_join.written
+
+    def counted(session, frame, folder=None, name="t"):
+        out = write(session, frame, folder, name)
+        if name.startswith("close"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sketch_join, "written", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in sketch_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == components(rows, 4, 85)
+    assert sum(made.values()) < 20 * 700
+
+
+def test_slices_hold_all_pairs():
+    r = np.random.default_rng(4)
+    left, right = r.integers(0, 9, 50), r.integers(0, 9, 50)
+    want = [(a, b) for row in range(50) for a in range(left[:row].sum(), left[:row + 1].sum()) for b in range(right[:row].sum(), right[:row + 1].sum())]
+    for most in (1, 7, 10**6):
+        parts = list(sketch_join.pairs_in_slices(left, right, most))
+        assert [(int(i), int(j)) for a, b in parts for i, j in zip(a, b)] == want and all(len(a) <= max(most, 8) for a, _ in parts)
+
+
 def test_pigeonhole_never_loses_a_pair():
     r = np.random.default_rng(0)
     for n in (7, 8, 12, 20, 37, 75, 150, 500):
@@ -397,7 +444,7 @@ def test_mil_learns_and_locates():
     docs, toxic = planted()
     model = toxicity_mil.train(docs, toxic)
     fresh, truth = planted(seed=7)
-    weights = toxicity_mil._WordWeights(model.weights)
+    weights = toxicity_mil.word_weights(model.weights)
     got = [toxicity_mil.scored(t, model.bias, weights) for t in fresh]
     assert np.mean([(s >= 0.5) == y for (s, _), y in zip(got, truth)]) > 0.98
     for t, (s, where), y in zip(fresh, got, truth):
@@ -567,6 +614,25 @@ def test_max_score_skips_postings_as_the_bar_rises():
         best = sorted((-int(vectors[q] @ v), i) for i, v in zip(ids.tolist(), vectors) if i != q)[:10]
         assert [(-int(s), int(i)) for i, s in zip(places[q], scores[q])] == best
     assert read < 0.4 * 40 * vectors.size
+    bars = max_score.sample_bars(ids[:40], vectors[:40], ids[::4], vectors[::4], 10)
+    again, same, fewer = max_score.cell_top_k(ids[:40], vectors[:40], ids, vectors, 10, bars)
+    assert all((a == b).all() for a, b in zip(scores, same)) and fewer < 0.75 * read
+
+
+def test_max_score_with_bars_from_a_sample():
+    """Ties at the bar, repeated vectors, few candidates, and numbers too large for doubles."""
+    r = np.random.default_rng(6)
+    for scale, n in ((3, 300), (3, 12), (2**29, 200)):
+        vectors = r.integers(-scale, scale, (n, 8))
+        vectors[5:9] = vectors[3]
+        ids = np.sort(r.choice(10 * n, n, replace=False))
+        asked = np.arange(0, n, 3)
+        for sample in (np.arange(n), np.arange(0, n, 2), np.arange(5)):
+            bars = max_score.sample_bars(ids[asked], vectors[asked], ids[sample], vectors[sample], 10)
+            places, scores, _ = max_score.cell_top_k(ids[asked], vectors[asked], ids, vectors, 10, bars)
+            for q, p, s in zip(asked, places, scores):
+                best = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q], v)), int(i)) for i, v in zip(ids, vectors) if i != ids[q])[:10]
+                assert [(-int(x), int(ids[i])) for i, x in zip(p, s)] == best
 
 
 def test_struct_is_little_endian():
