@@ -7,7 +7,7 @@ kind) and packing (token sequences). Each stage's result is written as Parquet a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import line_dedup as _lines
@@ -38,14 +38,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles at 0.8, the one with the smallest id stays.
 
-    Documents without words or without an id link with nothing and stay. Of rows that share an id, the
-    one with the smallest text stays."""
-    heads = (_sketch.linked_components(docs, width=5, percent=80).where("doc_id = component_id")
-             .select(F.col("doc_id").alias("head")).distinct())
-    one = Window.partitionBy("doc_id").orderBy("text")
-    place, = unused(docs, "place")
-    first = docs.join(heads, docs["doc_id"] == heads["head"], "left_semi").withColumn(place, F.row_number().over(one))
-    return first.where(F.col(place) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    Documents without words or without an id link with nothing and stay. Rows that share an id are
+    documents of their own: they link, or not, by their texts, and come after all rows whose id is theirs
+    alone, so of equal rows one stays and no unlinked text is lost."""
+    own, = unused(docs, "own_id")
+    known = docs.where("doc_id is not null")
+    shared = written(spark, known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), name="shared")
+    numbered = known.withColumn(own, F.col("doc_id").cast("long"))
+    if not shared.isEmpty():
+        top = known.agg(F.max("doc_id")).first()[0]
+        alike = docs.join(shared, "doc_id", "left_semi").select(*docs.columns)
+        # Written once, so the numbers stay as they are.
+        alike = written(spark, alike.withColumn(own, F.lit(int(top) + 1) + F.monotonically_increasing_id()), name="alike")
+        numbered = numbered.join(shared, "doc_id", "left_anti").select(*docs.columns, own).unionByName(alike)
+    heads = _sketch.linked_components(numbered, width=5, percent=80, id_col=own).where("doc_id = component_id").select(F.col("doc_id").alias("head"))
+    stay = numbered.join(heads, numbered[own] == heads["head"], "left_semi").select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
