@@ -151,6 +151,7 @@ class Cube:
         """Every cell of the grid, with or without a value; longitude runs fastest. Built by position
         arithmetic on a range, so it is distributed and joins nothing."""
         a, b, c, d, e = self.shape
+        require(math.prod(self.shape) < 2**63, "size_overflow", "the grid has more cells than a 64-bit number tells apart")
         i = F.col("id")
         names = F.array(*[F.lit(v) for v in self.variables])
         step = lambda size, over: F.pmod(F.floor(i / F.lit(over)), F.lit(size)).cast("int")

@@ -107,7 +107,11 @@ def mask(cube: Cube, polygons: list[dict], keep: str = "inside", boundary: str =
     new = {"keep": keep, "boundary": boundary, "polygons": [{"polygons": parts(p)} for p in polygons]}
     if keep == "inside":
         require(not _kept_places(cube, [new]).isEmpty(), "mask_no_centers", "no cell centre lies inside")
-    masks = [*cube.meta.get("mask", {}).get("masks", ()), new]
+    earlier = cube.meta.get("mask")
+    sound = earlier is None or isinstance(earlier, dict) and isinstance(earlier.get("masks"), (list, tuple)) and all(
+        isinstance(m, dict) and m.get("keep") in ("inside", "outside") and m.get("boundary") in ("include", "exclude") and m.get("polygons") for m in earlier["masks"])
+    require(sound, "mask_existing", "the cube's earlier mask is not one that this function made")
+    masks = [*(earlier["masks"] if earlier else ()), new]
     places = _kept_places(cube, masks)
     n = places.count()
     meta = {k: v for k, v in cube.meta.items() if k not in ("climatology", "anomaly")} | {"mask": {"masks": masks, "n_kept": n}}

@@ -201,13 +201,14 @@ def _stored(value):
 
 
 def extract(cube: Cube, longitude=None, latitude=None, depth="all", time=None, variable=None, by: str = "value", match: str = "exact", tolerance: dict | None = None,
-            mode: str = "table", form: str = "long", keep_index: bool = False, keep_distance: bool = False) -> DataFrame:
+            mode: str = "table", form: str = "long", keep_index: bool = False, keep_distance: bool = False, max_rows: int | None = None) -> DataFrame:
     """A table of every selected cell, missing ones too.
 
     Long: longitude, latitude, depth, time, variable, unit, value. Wide: a column for each variable.
     ``point`` and ``profile`` want one longitude, latitude and time (a point also one depth), ``series``
     one longitude, latitude and depth. ``keep_index`` adds 1-based positions on the cube's axes,
-    ``keep_distance`` (nearest only) the requested coordinates and distances (in time: seconds).
+    ``keep_distance`` (nearest only) the requested coordinates and distances (in time: seconds). A table of
+    more than ``max_rows`` rows is refused before anything is read.
     """
     require(mode in ("table", "point", "profile", "series") and form in ("long", "wide"), "extract_mode", "mode is table, point, profile or series; form long or wide")
     require(not keep_distance or match == "nearest" and by == "value", "bad_argument", "distances go with nearest matches")
@@ -221,6 +222,8 @@ def extract(cube: Cube, longitude=None, latitude=None, depth="all", time=None, v
         require(len(picked[axis]) == 1, "extract_mode", f"{mode} wants one {axis}")
     require(form == "long" or all(len(set(at)) == len(at) for at in picked.values()), "extract_mode", "a wide table has no repeated coordinates")
     variables = list(cube.variables) if variable is None else _variables(cube, variable, form == "long")
+    size = math.prod(map(len, picked.values())) * (len(variables) if form == "long" else 1)
+    require(max_rows is None or size <= max_rows, "extract_size", f"the table has {size} rows; {max_rows} are allowed")
     small = taken(cube.with_(meta={}), picked | {"time": sorted(set(picked["time"]))}, list(dict.fromkeys(variables)))
     cells = small.located(small.dense().select(*AXIS_INDEX.values(), "variable", "value", *[F.col(i).alias(f"_{i}") for i in AXIS_INDEX.values()]))
     extra = []

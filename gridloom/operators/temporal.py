@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta
 
 import pandas as pd
@@ -94,7 +94,10 @@ def aggregate_time(cube: Cube, by: str, method: str = "mean", na_rm: bool = True
     totals = [times_of[i] for i in range(len(starts))]
     table = F.broadcast(cube.spark.createDataFrame([(i, p, totals[p]) for i, p in enumerate(of_time)], "time_idx int, period int, n_total long"))
     rows = cube.df.where("value is not null").join(table, "time_idx")
-    got = rows.groupBy(*CELL, "variable", "period").agg(REDUCERS[method]("value").alias("v"), F.count("value").alias("n_valid"), F.first("n_total").alias("n_total"))
+    if max(totals) == 1 and method in ("mean", "median", "sum", "min", "max"):  # a period has one time at most: its value is the result
+        got = rows.select(*CELL, "variable", "period", F.col("value").cast("double").alias("v"), F.lit(1).cast("long").alias("n_valid"), "n_total")
+    else:
+        got = rows.groupBy(*CELL, "variable", "period").agg(REDUCERS[method]("value").alias("v"), F.count("value").alias("n_valid"), F.first("n_total").alias("n_total"))
     enough = (F.col("n_valid") >= min_n) & (F.lit(na_rm) | (F.col("n_valid") == F.col("n_total")))
     got = got.select(*CELL, F.col("period").alias("time_idx"), "variable", F.when(enough, finite(F.col("v"))).alias("value"), "n_valid", "n_total",
                      (F.col("n_valid") / F.col("n_total")).alias("coverage_fraction"))
@@ -120,6 +123,11 @@ class Climatology:
     period: tuple[date, date]
     meta: dict = field(default_factory=dict)
 
+    def stored(self, path: str) -> "Climatology":
+        """The same climatology, written as Parquet and read from there."""
+        self.df.write.mode("overwrite").parquet(path)
+        return replace(self, df=self.df.sparkSession.read.schema(self.df.schema).parquet(path))
+
     def cycle(self) -> tuple[date, ...]:
         """Anchor dates of the groups."""
         if self.by == "month":
@@ -185,8 +193,12 @@ def climatology(cube: Cube, by: str = "month", period: tuple[date, date] | None
     values = cube.df.where("value is not null").join(table, "time_idx")
     keys = [*CELL, "variable", "group_key"]
     merged = by == "day" and leap == "feb28"
-    stage = values.groupBy(*keys, "replicate", *["component"] * merged).agg(F.avg("value").alias("value"))
-    if merged:
+    # The axis tells where a mean would have one value: that aggregation is left out.
+    alone = lambda at: max(Counter(at).values()) == 1
+    stage, each_year = values, alone((g, y) for _, g, y, _ in rows)
+    if not each_year and not (merged and alone((g, y, c) for _, g, y, c in rows)):
+        stage = stage.groupBy(*keys, "replicate", *["component"] * merged).agg(F.avg("value").alias("value"))
+    if merged and not each_year:
         stage = stage.groupBy(*keys, "replicate").agg(F.avg("value").alias("value"))
     got = stage.groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("value").alias("n_valid"))
     offered_table = F.broadcast(spark.createDataFrame([(g, n) for g, n in zip(range(1, size + 1), totals)], "group_key int, n_total int"))

@@ -146,6 +146,7 @@ def cube_open(spark: SparkSession, path: str, variables: list[str] | None = None
         require(name in header.variables, "netcdf_missing_variable", f"there is no variable {name}")
         dims = header.variables[name].dims
         require({found["longitude"], found["latitude"], found["time"]} <= set(dims) <= set(found.values()), "netcdf_schema", f"{name} does not lie on longitude, latitude, time and depth alone")
+        require(len(set(dims)) == len(dims), "netcdf_permutation_error", f"{name} has a dimension twice")
         deep.append(found.get("depth") in dims)
     require(len(set(deep)) == 1, "netcdf_schema", "surface and depth variables do not mix")
     axis_of = {d: a for a, d in found.items()}
@@ -185,6 +186,7 @@ def write_nc(cube: Cube, path: str, fill: float = 9.969209968386869e36, chunk: i
     The header and axes are written first; they say where every value goes, so tasks write the values, a
     contiguous stretch of ``chunk`` cells each, into the file, which all executors must reach by one path.
     A stretch that is written again is the same. Missing cells hold ``fill``, the variables' _FillValue."""
+    require(cube.source is None or netcdf3.local(cube.source.path) != netcdf3.local(path), "netcdf_read_only", "a cube is not written over the file that it is read from")
     lon, lat, depth, time, _ = cube.shape
     surface = cube.depth == (None,)
     require(not isinstance(cube.time[0], CalendarTime), "bad_storage", "calendar times are not written")

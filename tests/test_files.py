@@ -10,7 +10,7 @@ import pytest
 
 from gridloom.cube import Cube
 from gridloom.errors import GridError
-from gridloom.operators import path, select, temporal
+from gridloom.operators import geometry, path, select, temporal
 from gridloom.sources import cf, cf_links, cf_vertical, hyperslab, netcdf3
 from gridloom.sources.cf_climatology import methods_of
 
@@ -414,3 +414,25 @@ def test_steps_of_cell_methods():
 def test_small_helpers():
     assert netcdf3.in_runs([0, 1, 2, 5, 8, 11, 20]) == [[0, 2, 1], [5, 11, 3], [20, 20, 1]]
     assert hyperslab.byte_runs(np.zeros(0, dtype=np.int64), 8)[0].tolist() == []
+
+
+def test_what_is_refused_before_anything_is_read(spark, cube_file, tmp_path):
+    file, cube, _ = cube_file
+    opened = cf.cube_open(spark, file)
+    fails("netcdf_read_only", cf.write_nc, opened, file)
+    fails("extract_size", select.extract, opened, max_rows=10_000)
+    assert select.extract(opened, longitude=1.0, latitude=2.0, time=cube.time[0], max_rows=8).count() == 8
+    fails("bad_storage", cf.write_nc, climatology(tmp_path, spark, calendar="360_day"), str(tmp_path / "out.nc"))
+    twice = header_of(tmp_path, {"lon": 3, "lat": 2, "time": 2}, axes(3, 2, 2) | {"v": (("time", "lat", "lon", "lon"), np.zeros((2, 2, 3, 3)), {})})
+    fails("netcdf_permutation_error", cf.cube_open, spark, twice.path)
+    fails("mask_existing", geometry.mask, cube.with_(meta=cube.meta | {"mask": {"masks": [{"keep": "perhaps"}]}}), [{"id": "p", "rings": [[(0, 0), (5, 0), (5, 5)]]}])
+
+
+def test_a_grid_too_large_to_number(cube_file):
+    class Huge(Cube):
+        @property
+        def shape(self):
+            return 2**16, 2**16, 2**16, 2**16, 1
+
+    _, cube, _ = cube_file
+    fails("size_overflow", Huge(cube.df, cube.longitude, cube.latitude, cube.depth, cube.time, cube.variables).cells)
