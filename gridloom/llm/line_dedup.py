@@ -1,16 +1,22 @@
 """Line deduplication by a suffix array over line ids.
 
 Documents are sequences of line ids. Only lines found at least twice can lie in a repeated run, so
-positions of other lines part the sequences into spans. Prefix doubling ranks the suffixes of the
-spans by their first 1, 2, 4, ... lines: a level's ranks are the order of pairs of the level before, sorted
-by range over the cluster, and equal ranks are the intervals of the suffix array whose common prefix
-has at least that many lines. A prefix of any length is told by the ranks of two overlapping prefixes
-of the next smaller power of two, so intervals of every length come from the same ranks.
-
-A line is deleted if it lies in a run of consecutive lines that holds ``min_words`` words or more and
-stands, line by line the same, at an earlier place (in the order of document id, then line). It is
-enough to look at the shortest such run from each line forward and the shortest from each line
-backward: together they cover every longer run, maximal ones included.
+positions of other lines part the sequences into spans, whose lines are numbered through (``idx``) in the
+order of document id and line: a suffix is a number and the number of its span's last line.
+
+Prefix doubling ranks the suffixes by their first 1, 2, 4, ... lines, a shorter suffix before longer ones: a
+level's ranks are the order of pairs of ranks of the level before, sorted by range over the cluster. The last
+level, whose prefixes are as long as any run that is asked for, orders the suffix array. The longest common
+prefix of neighbours in it comes from a descent through the levels: from the longest on, equal ranks of the
+two suffixes carry both by so many lines.
+
+A line is deleted if it lies in a run of consecutive lines that holds ``min_words`` words or more and stands,
+line by line the same, at an earlier place. Every maximal such run is the union of shortest ones: from each
+line forward, and from each line backward, the run that just reaches ``min_words``. What a shortest run is
+follows from its lines alone, so all suffixes that begin with its lines ask for its length. They stand side by
+side in the suffix array, and neighbours belong together where their common prefix has that length: an
+interval of the array is a stretch without a break, found by running totals over ranges of it. Its earliest
+suffix stays; the others are later copies.
 
 Everything here is DataFrame operations.
 """
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_GAP, drop_dir, shared_dir, written
+from gridloom.llm.common import WORD_GAP, drop_dir, running, shared_dir, written
 
 
 def _ranked(spark, distinct: DataFrame, columns: list[str], folder: str, name: str) -> DataFrame:
@@ -36,6 +42,54 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("doc", "own", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")))
 
 
+def _shortest_runs(here: DataFrame, min_words: int) -> DataFrame:
+    """idx (first line) and size of the shortest runs of ``min_words`` words from each line forward and backward."""
+    none = F.lit(None).cast("long")
+    row = lambda frame, v, kind, mark, idx: frame.select("last", v.alias("v"), F.lit(kind).alias("kind"), mark.alias("mark"), idx.alias("idx"))
+    starts = row(here, F.col("before"), 0, F.col("idx"), none)
+    ends = row(here.where("idx = last"), F.col("upto"), 0, F.col("idx") + 1, none)
+    asked = row(here, F.col("before") + min_words, 1, none, F.col("idx"))
+    down = Window.partitionBy("last").orderBy(F.desc("v"), "kind", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    forward = (starts.unionByName(ends).unionByName(asked).withColumn("stop", F.last("mark", ignorenulls=True).over(down))
+               .where("kind = 1 and stop is not null").select("idx", (F.col("stop") - F.col("idx")).alias("size")))
+    asked = row(here, F.col("upto") - min_words, 1, none, F.col("idx"))
+    upward = Window.partitionBy("last").orderBy("v", "kind", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    backward = (starts.unionByName(asked).withColumn("first", F.last("mark", ignorenulls=True).over(upward))
+                .where("kind = 1 and first is not null").select(F.col("first").alias("idx"), (F.col("idx") - F.col("first") + 1).alias("size")))
+    return forward.unionByName(backward).distinct()
+
+
+def suffix_levels(spark, lines: DataFrame, length: int, folder: str) -> list[DataFrame]:
+    """Levels of idx, last and rank: level k ranks the suffixes of ``lines`` by their first 2**k lines, up to the
+    first level that reaches ``length`` lines."""
+    levels = [lines.select("idx", "last", "rank")]
+    while 1 << (len(levels) - 1) < length:
+        k = len(levels)
+        half, level = 1 << (k - 1), levels[-1]
+        over = level.select(F.col("idx").alias("next"), F.col("rank").alias("after"))
+        pairs = level.withColumn("next", F.least(F.col("idx") + half, "last")).join(over, "next")
+        pairs = pairs.select("idx", "last", F.col("rank").alias("one"), F.when(F.col("idx") + half <= F.col("last"), F.col("after")).otherwise(-1).alias("two"))
+        ranks = _ranked(spark, pairs.select("one", "two").distinct(), ["one", "two"], folder, f"ranks{k}")  # written, so the join's hot pairs can be split
+        levels.append(written(spark, pairs.join(ranks, ["one", "two"]).select("idx", "last", "rank"), folder, f"level{k}"))
+    return levels
+
+
+def common_prefixes(spark, array: DataFrame, levels: list[DataFrame], folder: str) -> DataFrame:
+    """place and lcp: lines that the suffix at each place of ``array`` (place, idx, last) shares with the one
+    before it, counted as far as twice the last level's length less one."""
+    before = array.select((F.col("place") + 1).alias("place"), F.col("idx").alias("j"), F.col("last").alias("end_j"))
+    pairs = array.select("place", F.col("idx").alias("i"), F.col("last").alias("end_i")).join(before, "place").withColumn("lcp", F.lit(0).cast("long"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        at = lambda start, end: F.least(F.col(start) + F.col("lcp"), F.col(end))
+        side = lambda name: levels[k].select(F.col("idx").alias(f"at_{name}"), F.col("rank").alias(f"rank_{name}"))
+        both = pairs.withColumn("at_i", at("i", "end_i")).withColumn("at_j", at("j", "end_j")).join(side("i"), "at_i").join(side("j"), "at_j")
+        inside = (F.col("i") + F.col("lcp") + step - 1 <= F.col("end_i")) & (F.col("j") + F.col("lcp") + step - 1 <= F.col("end_j"))
+        same = inside & (F.col("rank_i") == F.col("rank_j"))
+        pairs = written(spark, both.select("place", "i", "end_i", "j", "end_j", F.when(same, F.col("lcp") + step).otherwise(F.col("lcp")).alias("lcp")), folder, f"prefix{k}")
+    return pairs.select("place", "lcp")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Runs to delete: doc, own (hash of the text), pos (first line), size (lines). Runs may overlap.
     Tables of the steps go to ``folder`` and are needed until the result has been read."""
@@ -50,51 +104,29 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     here = here.repartition("doc", "own").dropDuplicates(["doc", "own", "pos"])
     in_doc = Window.partitionBy("doc", "own").orderBy("pos")
     here = here.withColumn("span", F.col("pos") - F.row_number().over(in_doc))
-    in_span = Window.partitionBy("doc", "own", "span").orderBy("pos")
-    here = here.withColumn("upto", F.sum("w").over(in_span)).withColumn("before", F.col("upto") - F.col("w"))
-    total = F.max("upto").over(Window.partitionBy("doc", "own", "span"))
-    here = here.withColumn("total", total).where(F.col("total") >= min_words)
-    here = written(spark, here.select("doc", "own", "span", "pos", "w", "rank", "upto", "before"), folder, "here")
-
-    key = ["doc", "own", "span"]
-    mark = here.select(*key, F.col("before").alias("v"), F.lit(0).alias("kind"), F.col("pos").alias("mark"), F.lit(None).cast("int").alias("pos"))
-    ends = here.groupBy(*key).agg(F.max("upto").alias("v"), (F.max("pos") + 1).alias("mark")).select(*key, "v", F.lit(0).alias("kind"), "mark", F.lit(None).cast("int").alias("pos"))
-    asked = here.select(*key, (F.col("before") + min_words).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("mark"), "pos")
-    down = Window.partitionBy(*key).orderBy(F.desc("v"), "kind", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
-    forward = (mark.unionByName(ends).unionByName(asked).withColumn("stop", F.last("mark", ignorenulls=True).over(down))
-               .where("kind = 1 and stop is not null").select("doc", "own", "pos", (F.col("stop") - F.col("pos")).alias("size")))
-    asked = here.select(*key, (F.col("upto") - min_words).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("mark"), "pos")
-    upward = Window.partitionBy(*key).orderBy("v", "kind", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    backward = (mark.unionByName(asked).withColumn("first", F.last("mark", ignorenulls=True).over(upward))
-                .where("kind = 1 and first is not null").select("doc", "own", F.col("first").alias("pos"), (F.col("pos") - F.col("first") + 1).alias("size")))
-    windows = written(spark, forward.unionByName(backward).distinct().withColumn("level", F.floor(F.log2("size")).cast("int")), folder, "windows")
-    top = windows.agg(F.max("level")).first()[0]
-
-    level, out = here.select(*key, "pos", "rank"), None
-    place = ["doc", "own", "pos"]
-    null_safe = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.own") == F.col(f"{b}.own"))
-    for k in range(0 if top is None else top + 1):
-        if k:
-            # Both halves lie in one span, the second 2**(k-1) lines on; a pair found once repeats nothing.
-            half = 1 << (k - 1)
-            nxt = F.first(F.struct("pos", "rank")).over(Window.partitionBy(*key).orderBy("pos").rangeBetween(half, half))
-            pairs = level.withColumn("next", nxt["rank"]).where("next is not null")
-            pairs = pairs.select(*key, "pos", F.col("rank").alias("one"), F.col("next").alias("two"))
-            distinct = pairs.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
-            ranks = _ranked(spark, distinct, ["one", "two"], folder, f"ranks{k}")  # written, so the join's hot pairs can be split
-            level = written(spark, pairs.join(ranks, ["one", "two"]).select(*key, "pos", "rank"), folder, f"level{k}")
-        asked = windows.where(F.col("level") == k)
-        first = asked.alias("w").join(level.alias("l"), null_safe("w", "l") & (F.col("w.pos") == F.col("l.pos"))).select("w.*", F.col("l.rank").alias("one"))
-        tail = F.col("w.pos") + F.col("w.size") - (1 << k)
-        both = first.alias("w").join(level.alias("l"), null_safe("w", "l") & (tail == F.col("l.pos"))).select(*[f"w.{c}" for c in place], "w.size", "w.one", F.col("l.rank").alias("two"))
-        out = both if out is None else out.unionByName(both)
-    if out is None:
-        return here.select(*place, F.lit(0).alias("size")).limit(0)
+    span = Window.partitionBy("doc", "own", "span")
+    here = here.withColumn("upto", F.sum("w").over(span.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("w"))
+    here = here.withColumns({"total": F.max("upto").over(span), "end": F.max("pos").over(span)}).where(F.col("total") >= min_words)
+    here = running(spark, here.withColumn("one", F.lit(1).cast("long")), [], ["doc", "own", "pos"], {"idx": ("sum", "one")}, folder, "lines")
+    here = written(spark, here.select("doc", "own", "pos", "idx", (F.col("idx") + F.col("end") - F.col("pos")).alias("last"), "rank", "upto", "before"), folder, "here")
+
+    runs = written(spark, _shortest_runs(here, min_words), folder, "runs")
+    length = runs.agg(F.max("size")).first()[0]
+    if length is None:
+        return here.select("doc", "own", "pos", F.lit(0).alias("size")).limit(0)
+    levels = suffix_levels(spark, here, length, folder)
+    asking = runs.select("idx").distinct()
+    ordered = levels[-1].join(asking, "idx").withColumn("one", F.lit(1).cast("long"))
+    array = written(spark, running(spark, ordered, [], ["rank", "idx"], {"place": ("sum", "one")}, folder, "sorted").select("place", "idx", "last"), folder, "array")
+    prefixes = written(spark, common_prefixes(spark, array, levels, folder), folder, "prefixes")
+    placed = runs.join(array.select("idx", "place"), "idx").join(prefixes, "place", "left")
+    breaks = placed.select("size", "place", "idx", F.when(F.col("lcp") >= F.col("size"), 0).otherwise(1).cast("long").alias("breaks"))
+    found = running(spark, breaks, ["size"], ["place"], {"interval": ("sum", "breaks")}, folder, "breaks").select("size", "interval", "idx")
     # An interval's earliest suffix stays; the others are later copies.
-    out = written(spark, out, folder, "intervals")
-    earliest = out.groupBy("size", "one", "two").agg(F.min(F.struct(*place)).alias("kept"), F.count("*").alias("c")).where("c > 1")
-    earliest = written(spark, earliest, folder, "earliest")
-    return (out.join(earliest, ["size", "one", "two"]).where(~F.struct(*place).eqNullSafe(F.col("kept"))).select(*place, "size"))
+    found = written(spark, found, folder, "intervals")
+    earliest = found.groupBy("size", "interval").agg(F.min("idx").alias("kept"), F.count("*").alias("c")).where("c > 1").select("size", "interval", "kept")
+    later = found.join(written(spark, earliest, folder, "earliest"), ["size", "interval"]).where("idx <> kept").select("idx", "size")
+    return here.select("doc", "own", "pos", "idx").join(written(spark, later, folder, "later"), "idx").select("doc", "own", "pos", F.col("size").cast("int").alias("size"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
