@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chunk_tokens, line_dedup, max_score, packing, pii_crf, piece_bpe, quality_cnn, quality_rules, sketch_join, token_store, toxicity_mil
-from gridloom.llm.common import Recent, labelled_sample
+from gridloom.llm.common import Recent, labelled_sample, shared_dir
 from gridloom.llm.registry import BYTE_VOCABULARY, PIECE_MODEL, WORD_VOCABULARY, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -303,6 +303,35 @@ def test_line_dedup_equals_brute_force(spark):
     assert sum(map(len, want.values())) > 100
 
 
+def test_the_suffix_array_is_in_order_and_its_prefixes_are_right(spark):
+    """Places of the array and common prefixes of neighbours, against sorted suffixes."""
+    r = random.Random(21)
+    spans = [[r.randrange(4) for _ in range(r.randint(1, 23))] for _ in range(25)] + [[1, 2, 3] * 5, [1, 2, 3] * 5, [2] * 9, [2] * 7]
+    rows, own = [], {}
+    for span in spans:
+        first = len(rows) + 1
+        for k, line in enumerate(span):
+            own[first + k] = span[k:]
+            rows.append((first + k, first + len(span) - 1, line))
+    folder = shared_dir(spark)
+    levels = line_dedup.suffix_levels(spark, spark.createDataFrame(rows, "idx long, last long, rank long"), 30, folder)
+    assert len(levels) == 6
+    order = sorted(own, key=lambda i: (own[i], i))
+    ranked = sorted((x["rank"], x.idx) for x in levels[-1].collect())
+    assert [i for _, i in ranked] == order
+    last = {i: end for i, end, _ in rows}
+    array = spark.createDataFrame([(k + 1, i, last[i]) for k, i in enumerate(order)], "place long, idx long, last long")
+    got = {x.place: x.lcp for x in line_dedup.common_prefixes(spark, array, levels, folder).collect()}
+
+    def shared(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    assert got == {k + 1: shared(own[order[k - 1]], own[order[k]]) for k in range(1, len(order))}
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     out = line_dedup.line_dedup(odd).collect()
     assert len(out) == odd.count() and all(r[name] == 1 for r in out for name in CLASHES)
