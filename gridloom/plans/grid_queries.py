@@ -19,6 +19,7 @@ from gridloom.operators import checks, diagnostics, geometry, path, physics, sel
 from gridloom.plans import plotdata
 from gridloom.plans.driver_cubes import daily_price, order_surface, point_profiles
 from gridloom.sources import cf, netcdf3
+from gridloom.streaming.windows import ROCKS, stream_aggregate
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -188,6 +189,38 @@ def _provenance(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+# ---- streams -------------------------------------------------------------------------------------
+
+_STREAM = """SELECT l_returnflag AS flag, CAST(date_trunc('{0}', l_shipdate) AS DATE) AS time, round(avg(l_quantity), 6) AS value, count(l_quantity) AS n_valid FROM lineitem
+GROUP BY 1, 2 HAVING date_trunc('{0}', min(l_shipdate)) + INTERVAL 1 {0} <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY"""
+
+
+def _streamed(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    """The lines as a stream, reduced by period, once all that there is has come: periods that the watermark
+    (a day behind the latest line) has closed."""
+    own, folder = spark.newSession(), _folder(spark)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    lines = own.readStream.schema(spark.read.parquet(f"{sf}/lineitem.parquet").schema).parquet(f"{sf}/lineitem*.parquet")
+    lines = lines.select(F.col("l_returnflag").alias("flag"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_quantity").cast("double").alias("value"))
+    out = stream_aggregate(lines, by, ["flag"], "mean")
+    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = own.read.schema(out.schema).parquet(f"{folder}/out")
+    return rounded(rows.withColumn("time", F.to_date("time")), "value")
+
+
+@query("stream_day", _STREAM.format("day"))
+def _stream_day(spark, sf):
+    return _streamed(spark, sf, "day")
+
+
+@query("stream_month", _STREAM.format("month"))
+def _stream_month(spark, sf):
+    return _streamed(spark, sf, "month")
+
+
 # ---- selection -----------------------------------------------------------------------------------
 
 _SEL = RAW + " SELECT " + AT.format("c.") + ", c.t AS time, round(v, 6) AS value FROM c WHERE "

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,9 @@ from gridloom.errors import require
 from gridloom.operators.temporal import REDUCERS
 
 PERIODS = ("day", "week", "month", "season", "year")
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The process that starts a state's Python on the driver may not find this package: its code goes along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def period_start(time: Column, by: str) -> Column:
@@ -81,7 +85,7 @@ def stream_aggregate(events: DataFrame, by: str, keys: list[str], method: str =
         return (marked.groupBy(*keys, F.window(time, "1 day").alias("w"))
                 .agg(REDUCERS[method]("period_value").alias("value"), F.count("period_value").alias("n_valid")).select(*keys, F.col("w.start").alias("time"), "value", "n_valid"))
     spark = events.sparkSession
-    require(spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == _ROCKS, "stream_state", f"calendar periods need spark.sql.streaming.stateStore.providerClass = {_ROCKS}")
+    require(spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == ROCKS, "stream_state", f"calendar periods need spark.sql.streaming.stateStore.providerClass = {ROCKS}")
     start = period_start(F.col(time), by)
     rows = marked.withColumn("period_start", start).withColumn("period_ends", F.unix_millis(period_end(F.col("period_start"), by)))
     kept = {f.name: f.dataType for f in events.schema}
