@@ -23,6 +23,8 @@ Everything here is DataFrame operations.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,34 +61,47 @@ def _shortest_runs(here: DataFrame, min_words: int) -> DataFrame:
     return forward.unionByName(backward).distinct()
 
 
-def suffix_levels(spark, lines: DataFrame, length: int, folder: str) -> list[DataFrame]:
-    """Levels of idx, last and rank: level k ranks the suffixes of ``lines`` by their first 2**k lines, up to the
-    first level that reaches ``length`` lines."""
-    levels = [lines.select("idx", "last", "rank")]
+def suffix_levels(spark, lines: DataFrame, length: int, folder: str) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of idx and rank, and the suffixes with the ranks that order them.
+
+    Level k ranks the suffixes of ``lines`` (idx, last, rank) by their first 2**k lines, up to the first level that
+    reaches ``length`` lines. A suffix whose lines the level before has all is not ranked again: its array of
+    ranks ends there, and so stands before those that go on."""
+    level = lines.select("idx", "last", "rank", F.array("rank").alias("ranks"))
+    levels, done = [level], []
     while 1 << (len(levels) - 1) < length:
         k = len(levels)
-        half, level = 1 << (k - 1), levels[-1]
-        over = level.select(F.col("idx").alias("next"), F.col("rank").alias("after"))
-        pairs = level.withColumn("next", F.least(F.col("idx") + half, "last")).join(over, "next")
-        pairs = pairs.select("idx", "last", F.col("rank").alias("one"), F.when(F.col("idx") + half <= F.col("last"), F.col("after")).otherwise(-1).alias("two"))
+        half = 1 << (k - 1)
+        longer = F.col("idx") + half <= F.col("last")
+        # Suffixes that ended before are second halves, too: arrays of ranks are in their order.
+        over = functools.reduce(DataFrame.unionByName, [x.select("idx", "ranks") for x in (level, *done)])
+        over = over.select((F.col("idx") - half).alias("idx"), F.col("ranks").alias("two"))
+        done.append(level.where(~longer).select("idx", "last", "ranks"))
+        pairs = level.where(longer).withColumnRenamed("rank", "one").join(over, "idx")
+        pairs = written(spark, pairs, folder, f"pairs{k}")
         ranks = _ranked(spark, pairs.select("one", "two").distinct(), ["one", "two"], folder, f"ranks{k}")  # written, so the join's hot pairs can be split
-        levels.append(written(spark, pairs.join(ranks, ["one", "two"]).select("idx", "last", "rank"), folder, f"level{k}"))
-    return levels
+        level = pairs.join(ranks, ["one", "two"]).select("idx", "last", "rank", F.concat("ranks", F.array("rank")).alias("ranks"))
+        level = written(spark, level, folder, f"level{k}")
+        levels.append(level)
+    every = functools.reduce(DataFrame.unionByName, done, level.select("idx", "last", "ranks"))
+    return [x.select("idx", "rank") for x in levels], every
 
 
 def common_prefixes(spark, array: DataFrame, levels: list[DataFrame], folder: str) -> DataFrame:
     """place and lcp: lines that the suffix at each place of ``array`` (place, idx, last) shares with the one
     before it, counted as far as twice the last level's length less one."""
-    before = array.select((F.col("place") + 1).alias("place"), F.col("idx").alias("j"), F.col("last").alias("end_j"))
-    pairs = array.select("place", F.col("idx").alias("i"), F.col("last").alias("end_i")).join(before, "place").withColumn("lcp", F.lit(0).cast("long"))
+    left = F.col("last") - F.col("idx") + 1
+    before = array.select((F.col("place") + 1).alias("place"), F.col("idx").alias("y"), left.alias("left_y"))
+    pairs = array.select("place", F.col("idx").alias("x"), left.alias("left_x")).join(before, "place")
+    pairs = pairs.select("place", "x", "y", F.least("left_x", "left_y").cast("int").alias("left"), F.lit(0).alias("lcp"))
+    pairs = written(spark, pairs, folder, "neighbours")
     for k in range(len(levels) - 1, -1, -1):
-        step = 1 << k
-        at = lambda start, end: F.least(F.col(start) + F.col("lcp"), F.col(end))
-        side = lambda name: levels[k].select(F.col("idx").alias(f"at_{name}"), F.col("rank").alias(f"rank_{name}"))
-        both = pairs.withColumn("at_i", at("i", "end_i")).withColumn("at_j", at("j", "end_j")).join(side("i"), "at_i").join(side("j"), "at_j")
-        inside = (F.col("i") + F.col("lcp") + step - 1 <= F.col("end_i")) & (F.col("j") + F.col("lcp") + step - 1 <= F.col("end_j"))
-        same = inside & (F.col("rank_i") == F.col("rank_j"))
-        pairs = written(spark, both.select("place", "i", "end_i", "j", "end_j", F.when(same, F.col("lcp") + step).otherwise(F.col("lcp")).alias("lcp")), folder, f"prefix{k}")
+        step = 1 << k  # both go on from x and y, as far as they have lines left
+        side = lambda name: levels[k].select(F.col("idx").alias(name), F.col("rank").alias(f"rank_{name}"))
+        both = pairs.where(F.col("left") >= step).join(side("x"), "x").join(side("y"), "y")
+        on = F.when(F.col("rank_x") == F.col("rank_y"), step).otherwise(0)
+        both = both.select("place", (F.col("x") + on).alias("x"), (F.col("y") + on).alias("y"), (F.col("left") - on).alias("left"), (F.col("lcp") + on).alias("lcp"))
+        pairs = written(spark, both.unionByName(pairs.where(F.col("left") < step)), folder, f"prefix{k}")
     return pairs.select("place", "lcp")
 
 
@@ -114,10 +129,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     length = runs.agg(F.max("size")).first()[0]
     if length is None:
         return here.select("doc", "own", "pos", F.lit(0).alias("size")).limit(0)
-    levels = suffix_levels(spark, here, length, folder)
-    asking = runs.select("idx").distinct()
-    ordered = levels[-1].join(asking, "idx").withColumn("one", F.lit(1).cast("long"))
-    array = written(spark, running(spark, ordered, [], ["rank", "idx"], {"place": ("sum", "one")}, folder, "sorted").select("place", "idx", "last"), folder, "array")
+    levels, suffixes = suffix_levels(spark, here, length, folder)
+    asking = written(spark, runs.select("idx").distinct(), folder, "asking")
+    ordered = suffixes.join(asking, "idx").withColumn("one", F.lit(1).cast("long"))
+    array = written(spark, running(spark, ordered, [], ["ranks", "idx"], {"place": ("sum", "one")}, folder, "sorted").select("place", "idx", "last"), folder, "array")
     prefixes = written(spark, common_prefixes(spark, array, levels, folder), folder, "prefixes")
     placed = runs.join(array.select("idx", "place"), "idx").join(prefixes, "place", "left")
     breaks = placed.select("size", "place", "idx", F.when(F.col("lcp") >= F.col("size"), 0).otherwise(1).cast("long").alias("breaks"))

@@ -314,10 +314,10 @@ def test_the_suffix_array_is_in_order_and_its_prefixes_are_right(spark):
             own[first + k] = span[k:]
             rows.append((first + k, first + len(span) - 1, line))
     folder = shared_dir(spark)
-    levels = line_dedup.suffix_levels(spark, spark.createDataFrame(rows, "idx long, last long, rank long"), 30, folder)
+    levels, suffixes = line_dedup.suffix_levels(spark, spark.createDataFrame(rows, "idx long, last long, rank long"), 30, folder)
     assert len(levels) == 6
     order = sorted(own, key=lambda i: (own[i], i))
-    ranked = sorted((x["rank"], x.idx) for x in levels[-1].collect())
+    ranked = sorted((x["ranks"], x.idx) for x in suffixes.collect())
     assert [i for _, i in ranked] == order
     last = {i: end for i, end, _ in rows}
     array = spark.createDataFrame([(k + 1, i, last[i]) for k, i in enumerate(order)], "place long, idx long, last long")
