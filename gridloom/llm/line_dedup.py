@@ -165,7 +165,8 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")]
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").alias("doc_"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("own_"))
-    joined = rows.join(gone, F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("own_") == F.col("own")), "left")
+    # The plan of any size: what goes grows with the corpus, so it is not broadcast.
+    joined = rows.join(gone.hint("merge"), F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("own_") == F.col("own")), "left")
     whole = F.col("row")[text_col]
     lines = F.split(whole, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
