@@ -12,11 +12,14 @@ other codewords at distance two, and the home with one of the other bits turned.
 differ in at most one bit of the piece, the home of each is among the anchors of the other, so at every
 anchor only fingerprints at home are compared with all that were sent there.
 
-Copies go by their fingerprint from the start, and anchors that only one fingerprint reaches go before
-anything is compared. An anchor's fingerprints are compared with one hub first; what links is contracted,
-and anchors left with one component are done. At the others, fingerprints at home outside the anchor's
-largest component are compared with the rest in blocks of bounded size, each pair of blocks for itself,
-and a pair of blocks gives a spanning forest of its links, never the links themselves.
+Copies go by their fingerprint from the start. At each anchor that more than one fingerprint reaches, the
+others are compared with one hub at home there, and only what links becomes rows; it is contracted. Then
+components are ranked by size and label: of two that link, the lesser has a fingerprint at home at an
+anchor that the other reaches. So an anchor is left where no fingerprint at home is of lesser rank than the
+highest there, and of the others' fingerprints only those at home below the highest, and those above the
+lowest at home, become rows: each fingerprint once for each of its anchors at most, however many meet
+there. These are compared in blocks of bounded size, each pair of blocks for itself, and a pair of blocks
+gives a spanning forest of its links, never the links themselves.
 """
 
 from __future__ import annotations
@@ -136,12 +139,14 @@ def _printed(width: int):
     return run
 
 
-def _anchored(piece: int):
+def _anchored(piece: int, more: int = 0):
+    """Fingerprints at all their anchors, with ``more`` further columns as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 20_000):
             prints = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at, keys = anchors(prints.view(np.uint64), piece)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "print": pa.array(prints[at]), "home": pa.array(np.arange(len(at)) < len(prints))})
+            rest = {some.schema.names[k]: some.column(k).take(pa.array(at)) for k in range(1, 1 + more)}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "print": pa.array(prints[at]), "home": pa.array(np.arange(len(at)) < len(prints))} | rest)
 
     return run
 
@@ -162,15 +167,38 @@ def _compared(distance: int):
     return run
 
 
-def _members(spark, folder: str, nodes: DataFrame) -> DataFrame:
-    """key, print, home: anchors that more than one fingerprint reaches, at least one of them at home."""
+def _ends(spark, folder: str, name: str, links: DataFrame) -> DataFrame:
+    """Labels to begin with: every end of a link is a component of its own."""
+    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).distinct()
+    return written(spark, ends.select("doc", F.col("doc").alias("comp")), folder, name)
+
+
+def _hub_links(spark, folder: str, nodes: DataFrame, distance: int) -> DataFrame:
+    """a, b: links of fingerprints with one hub at home for each anchor that more than one reaches."""
     for piece in range(len(_PIECES)):  # one after another, so the shuffles of one piece are all that is on disk
         sent = nodes.select("print").mapInArrow(_anchored(piece), "key long, print long, home boolean")
-        met = sent.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("used")).where("c > 1 and used").select("key")
+        hub = F.min_by("print", F.when(F.col("home"), F.xxhash64("print")))
+        hubs = sent.groupBy("key").agg(F.count("*").alias("c"), hub.alias("hub")).where("c > 1 and hub is not null").select("key", "hub")
         # Written first: a join that reads two plain exchanges is one whose hot keys Spark can split.
-        met = written(spark, met, folder, f"met{piece}")
-        sent.join(met, "key").write.parquet(f"{folder}/members/piece={piece}")
-    return spark.read.schema("key long, print long, home boolean").parquet(*[f"{folder}/members/piece={piece}" for piece in range(len(_PIECES))])
+        hubs = written(spark, hubs, folder, f"hubs{piece}")
+        near = sent.join(hubs, "key").where((F.col("print") != F.col("hub")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("hub"))) <= distance))
+        near.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).write.parquet(f"{folder}/near/piece={piece}")
+    near = spark.read.schema(_EDGES).parquet(*[f"{folder}/near/piece={piece}" for piece in range(len(_PIECES))])
+    return written(spark, near.distinct(), folder, "links0")
+
+
+def _open_members(spark, folder: str, weighed: DataFrame, block: int) -> DataFrame:
+    """key, print, comp, lesser, higher, block: what anchors still have to compare. A pair of components that
+    may link meets where a fingerprint of the one of lesser rank is at home (``lesser``), as ``higher``."""
+    for piece in range(len(_PIECES)):
+        sent = weighed.select("print", "comp", "size").mapInArrow(_anchored(piece, 2), "key long, print long, home boolean, comp long, size long")
+        sent = sent.select("key", "print", "home", "comp", F.struct("size", "comp").alias("rank"))
+        still = sent.groupBy("key").agg(F.max("rank").alias("top"), F.min(F.when(F.col("home"), F.col("rank"))).alias("low"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        still = written(spark, still.where("low < top"), folder, f"open{piece}")
+        members = sent.join(still, "key").where("rank > low or home and rank < top")
+        members.select("key", "print", "comp", F.expr("home and rank < top").alias("lesser"), F.expr("rank > low").alias("higher"),
+                       F.pmod(F.xxhash64("print"), F.col("blocks")).alias("block")).write.parquet(f"{folder}/members/piece={piece}")
+    return spark.read.schema("key long, print long, comp long, lesser boolean, higher boolean, block long").parquet(*[f"{folder}/members/piece={piece}" for piece in range(len(_PIECES))])
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text",
@@ -193,30 +221,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     own = spark.read.schema(printed).parquet(f"{folder}/own")
     nodes = written(spark, own.where("doc is not null").groupBy("print").agg(F.min("doc").alias("low")), folder, "nodes")
 
-    members = _members(spark, folder, nodes)
-    labels = written(spark, members.select(F.col("print").alias("doc")).distinct().select("doc", F.col("doc").alias("comp")), folder, "labels")
-    hubs = members.where("home").groupBy("key").agg(F.min(F.struct(F.xxhash64("print").alias("h"), F.col("print").alias("hub"))).alias("hub")).select("key", "hub.hub")
-    hubs = written(spark, hubs, folder, "hubs")
-    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("hub")))
-    near = members.join(hubs, "key").where((F.col("print") != F.col("hub")) & (apart <= distance))
-    links = written(spark, near.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct(), folder, "links0")
-    labels = merged_labels(spark, folder, "merge0", labels, links)
-
-    # Of two linked components the smaller one (by size, then label) has a fingerprint at home that meets the other.
-    sizes = written(spark, labels.groupBy("comp").agg(F.count("*").alias("size")), folder, "sizes")
-    weighed = written(spark, labels.join(sizes, "comp").select(F.col("doc").alias("print"), "comp", "size"), folder, "weighed")
-    now = members.join(weighed, "print")
-    still = now.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
-    still = written(spark, still.where("low < high").select("key", F.col("top.comp").alias("main"), F.ceil(F.col("c") / block).cast("int").alias("blocks")), folder, "open")
-    placed = now.join(still, "key").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
+    links = _hub_links(spark, folder, nodes, distance)
+    labels = merged_labels(spark, folder, "merge0", _ends(spark, folder, "ends0", links), links)
+    comps = written(spark, nodes.join(labels, F.col("print") == F.col("doc"), "left").select("print", "low", F.coalesce("comp", "print").alias("comp")), folder, "comps")
+    sizes = written(spark, comps.groupBy("comp").agg(F.count("*").alias("size")), folder, "sizes")
+    weighed = written(spark, comps.join(sizes, "comp").select("print", "comp", "size"), folder, "weighed")
+
+    members = _open_members(spark, folder, weighed, block)
     row = F.collect_list(F.struct("print", "comp"))  # about ``block`` members
-    left = placed.where("home and comp <> main").groupBy("key", "block").agg(row.alias("x")).select("key", "x")
-    right = placed.groupBy("key", "block").agg(row.alias("y")).select("key", "y")
-    left, right = written(spark, left, folder, "left"), written(spark, right, folder, "right")
-    found = left.join(right, "key").select("x", "y").mapInArrow(_compared(distance), _EDGES).distinct()
-    labels = merged_labels(spark, folder, "merge1", labels, written(spark, found, folder, "links1"))
+    left = written(spark, members.where("lesser").groupBy("key", "block").agg(row.alias("x")).select("key", "x"), folder, "left")
+    right = written(spark, members.where("higher").groupBy("key", "block").agg(row.alias("y")).select("key", "y"), folder, "right")
+    links = written(spark, left.join(right, "key").select("x", "y").mapInArrow(_compared(distance), _EDGES).distinct(), folder, "links1")
+    labels = merged_labels(spark, folder, "merge1", _ends(spark, folder, "ends1", links), links)
 
-    named = written(spark, nodes.join(labels, F.col("print") == F.col("doc"), "left").select("print", "low", F.coalesce("comp", "print").alias("comp")), folder, "named")
+    joined = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("whole"))
+    named = written(spark, comps.join(joined, "comp", "left").select("print", "low", F.coalesce("whole", "comp").alias("comp")), folder, "named")
     heads = written(spark, named.groupBy("comp").agg(F.min("low").alias("component")), folder, "heads")
     ends = written(spark, named.join(heads, "comp").select("print", "component"), folder, "ends")
     out = own.join(ends, "print", "left").select(

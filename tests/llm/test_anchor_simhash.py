@@ -147,6 +147,46 @@ def test_a_large_group_of_near_copies(spark):
     assert [got[i] for i in range(len(prints))] == plain_components(range(len(prints)), prints, 4)
 
 
+def rows_joined_by_anchor(spark, since=-1):
+    """Rows that joins by ``key`` made in executions after number ``since``, and the last number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for number in (runs.apply(i).executionId() for i in range(runs.size())):
+        if number <= since:
+            continue
+        last, values, nodes = max(last, number), store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join [key#" in node.desc():
+                rows = [m for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in rows if values.get(m.accumulatorId()).isDefined())
+    return made, last
+
+
+def test_near_copies_that_seldom_link_make_few_rows(spark):
+    """1500 fingerprints five to nine bits from one: they meet at many anchors, most of them link with nothing."""
+    r = random.Random(4)
+    centre = r.getrandbits(64)
+    turned = set()
+    while len(turned) < 1500:
+        x = centre
+        for k in r.sample(range(64), r.randint(5, 9)):
+            x ^= 1 << k
+        turned.add(x)
+    prints = sorted(turned)
+    frame = spark.createDataFrame([(i,) for i in range(len(prints))], "doc_id long").withColumn("text", F.col("doc_id").cast("string"))
+    held, simhash.fingerprint = simhash.fingerprint, lambda text, width=4, prints=prints: prints[int(text)]
+    _, since = rows_joined_by_anchor(spark)
+    try:
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame).collect()}
+    finally:
+        simhash.fingerprint = held
+    want = plain_components(range(len(prints)), prints, 4)
+    assert [got[i] for i in range(len(prints))] == want and len(set(want)) > 1000
+    made, _ = rows_joined_by_anchor(spark, since)
+    assert 1500 < made < 30 * 1500
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "something else entirely here now"), (1, "a b c d e"), (None, "a b c d e"), (None, None), (7, None), (3, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("doc", "print", "key", "home", "comp", "low", "fingerprint", "component_id")})
